@@ -1,0 +1,228 @@
+"""Synthetic logs: the same lines for the same seed, at any size."""
+
+from __future__ import annotations
+
+import re
+from datetime import datetime
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# The line templates after the timestamp, fields separated by tabs.
+TEMPLATES = """
+INFO\tUserService\tUser login successful\tuser_id={user_id}\t{ip}
+DEBUG\tDatabasePool\tConnection acquired from pool\tpool_size={pool_size}\tthread-{thread}
+INFO\tOrderService\tOrder created\torder_id=ORD-{order_id}\tamount={amount}
+WARN\tPaymentGateway\tPayment retry attempt {retry}\ttransaction_id=TXN-{txn_id}\terror={error}
+ERROR\tPaymentGateway\tPayment failed after retries\ttransaction_id=TXN-{txn_id}\terror={error}
+INFO\tEmailService\tEmail sent successfully\trecipient={email}\ttemplate={template}
+DEBUG\tCacheManager\tCache hit\tkey={cache_key}\tttl={ttl}
+INFO\tAuthService\tToken refreshed\tuser_id={user_id}\texpires_in={expires}
+WARN\tRateLimiter\tRate limit warning\tuser_id={user_id}\trequests={requests}\tlimit=100
+INFO\tProductService\tProduct viewed\tproduct_id=PROD-{product_id}\tcategory={category}
+ERROR\tDatabasePool\tConnection timeout\tpool_size={pool_size}\twait_time_ms={wait_time}
+INFO\tUserService\tUser logout\tuser_id={user_id}\tsession_duration_sec={duration}
+DEBUG\tScheduledTask\tDaily report job started\tjob_id=DAILY-REPORT-{job_id}\t
+INFO\tReportService\tReport generated\treport_id=RPT-{report_id}\trecords={records}
+WARN\tDiskMonitor\tDisk usage high\tpath={path}\tusage_percent={usage}
+INFO\tBackupService\tBackup completed\tbackup_id=BKP-{backup_id}\tsize_mb={size}
+DEBUG\tHttpClient\tAPI request sent\tendpoint={endpoint}\tmethod={method}
+DEBUG\tHttpClient\tAPI response received\tstatus={status}\tduration_ms={duration_ms}
+ERROR\tFileProcessor\tFile processing failed\tfile={filename}\terror={error}
+INFO\tNotificationService\tPush notification sent\tuser_id={user_id}\tmessage_type={msg_type}
+WARN\tSecurityService\tMultiple failed login attempts\tip_address={ip}\tattempts={attempts}
+INFO\tCartService\tItem added to cart\tuser_id={user_id}\tproduct_id=PROD-{product_id}
+DEBUG\tSessionManager\tSession created\tsession_id={session_id}\tuser_id={user_id}
+INFO\tSearchService\tSearch executed\tquery={query}\tresults={results}
+ERROR\tImageProcessor\tImage resize failed\timage_id=IMG-{image_id}\terror={error}
+INFO\tOrderService\tOrder shipped\torder_id=ORD-{order_id}\ttracking_number={tracking}
+WARN\tApiGateway\tResponse time degraded\tendpoint={endpoint}\tavg_time_ms={avg_time}
+DEBUG\tMetricsCollector\tMetrics collected\tnamespace={namespace}\tmetric_count={count}
+FATAL\tCoreService\tCritical system error\terror_code={error_code}\tmessage={message}\t
+ERROR\tThirdPartyService\tExternal API unavailable\tservice={service}\tretry_in_sec={retry_sec}
+""".strip("\n").split("\n")
+
+# Placeholders drawn from a list.
+CHOICES = {
+    "category": ["electronics", "books", "clothing", "home", "sports", "toys", "food"],
+    "error": [
+        "timeout", "connection_refused", "invalid_format",
+        "out_of_memory", "disk_full", "not_found",
+    ],
+    "query": [
+        "laptop", "wireless headphones", "smartphone", "tablet", "camera", "printer", "keyboard",
+    ],
+    "template": ["order_confirmation", "password_reset", "welcome", "newsletter", "promotion"],
+    "endpoint": [
+        "/api/v1/users", "/api/v1/orders", "/api/v1/products", "/api/v2/search",
+        "/api/v1/payments",
+    ],
+    "method": ["GET", "POST", "PUT", "DELETE", "PATCH"],
+    "path": ["/var/log", "/var/data", "/home/app", "/tmp", "/opt/application"],
+    "namespace": ["application", "database", "cache", "network", "security"],
+    "service": ["payment_provider", "email_service", "sms_gateway", "analytics", "cdn"],
+    "msg_type": ["promotion", "alert", "reminder", "update"],
+    "ttl": ["300", "600", "1800", "3600", "7200"],
+    "expires": ["1800", "3600", "7200", "14400"],
+    "status": ["200", "201", "400", "404", "500", "503"],
+    "message": ["Critical error in core service"],
+}
+
+# Placeholders that are whole numbers, both ends included.
+RANGES = {
+    "user_id": (10000, 99999),
+    "pool_size": (5, 20),
+    "thread": (1, 10),
+    "order_id": (10000, 99999),
+    "retry": (1, 5),
+    "txn_id": (10000, 99999),
+    "requests": (50, 99),
+    "product_id": (100, 999),
+    "wait_time": (1000, 10000),
+    "duration": (60, 3600),
+    "records": (100, 10000),
+    "usage": (70, 95),
+    "size": (100, 5000),
+    "duration_ms": (50, 5000),
+    "attempts": (3, 10),
+    "results": (0, 100),
+    "image_id": (100, 999),
+    "avg_time": (1000, 5000),
+    "count": (10, 100),
+    "error_code": (5000, 5999),
+    "retry_sec": (30, 300),
+}
+
+# First timestamp, seconds per line, amounts, pool sizes, alphabet.
+BASE_TIME = "2026-01-17 00:00:00"
+SECONDS_PER_LINE = (0.1, 2.0)
+AMOUNT = (100.0, 50000.0)
+IP_POOL = 100
+EMAIL_POOL = 1000
+SESSION_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+DEFAULT_BYTES = 100 * 1024 * 1024
+
+_SAMPLE_LINES = 10_000
+_UNIT = 1 << 53
+
+
+class _Draws:
+    """Pseudo-random columns: a hash of the line, the seed and a name."""
+
+    def __init__(self, line: Column, seed: int, now: datetime):
+        self.line, self.seed, self.now = line, seed, now
+
+    def whole(self, name: str, low: int, high: int, of: Column | None = None) -> Column:
+        key = F.xxhash64(self.line if of is None else of, F.lit(self.seed), F.lit(name))
+        return F.pmod(key, F.lit(high - low + 1)) + low
+
+    def real(self, name: str, low: float, high: float) -> Column:
+        return self.whole(name, 0, _UNIT - 1) / float(_UNIT) * (high - low) + low
+
+    def choice(self, name: str, items: list[str]) -> Column:
+        if len(items) == 1:
+            return F.lit(items[0])
+        array = F.array(*[F.lit(i) for i in items])
+        return F.element_at(array, self.whole(name, 1, len(items)).cast("int"))
+
+    def padded(self, name: str, high: int, digits: int) -> Column:
+        return F.lpad(self.whole(name, 1, high).cast("string"), digits, "0")
+
+    def value(self, name: str) -> Column:
+        """Text for one placeholder."""
+        if name in CHOICES:
+            return self.choice(name, CHOICES[name])
+        if name in RANGES:
+            return self.whole(name, *RANGES[name]).cast("string")
+        return getattr(self, name)()
+
+    def ip(self) -> Column:
+        member = self.whole("ip", 0, IP_POOL - 1)
+        x, y = (self.whole(part, 1, 255, of=member) for part in ("ip x", "ip y"))
+        return F.concat(F.lit("192.168."), x.cast("string"), F.lit("."), y.cast("string"))
+
+    def email(self) -> Column:
+        user = self.whole("email", 0, EMAIL_POOL - 1).cast("string")
+        return F.concat(F.lit("user"), user, F.lit("@example.com"))
+
+    def amount(self) -> Column:
+        return F.round(self.real("amount", *AMOUNT), 2).cast("decimal(8,2)").cast("string")
+
+    def cache_key(self) -> Column:
+        return F.concat(F.lit("user:"), self.whole("cache_key", 10000, 99999).cast("string"))
+
+    def job_id(self) -> Column:
+        return self.padded("job_id", 999, 3)
+
+    def report_id(self) -> Column:
+        return F.concat(F.lit(f"{self.now:%Y%m%d}"), self.padded("report_id", 999, 3))
+
+    def backup_id(self) -> Column:
+        return F.concat(F.lit(f"{self.now:%Y%m%d%H%M}"), self.padded("backup_id", 99, 2))
+
+    def filename(self) -> Column:
+        return F.lit(f"data_{self.now:%Y%m%d}.csv")
+
+    def session_id(self) -> Column:
+        size = len(SESSION_ALPHABET)
+        letters = [
+            F.substr(F.lit(SESSION_ALPHABET), self.whole(f"session {i}", 1, size), F.lit(1))
+            for i in range(8)
+        ]
+        return F.concat(F.lit("SES-"), *letters)
+
+    def tracking(self) -> Column:
+        number = self.whole("tracking", 1_000_000_000, 9_999_999_999)
+        return F.concat(F.lit("TRK-"), number.cast("string"))
+
+
+def log_line(line: Column, seed: int = 0, now: str = BASE_TIME) -> Column:
+    """The log line at index ``line`` (0-based BIGINT).
+
+    ``now`` stands in ids that carry the day of the run.  Timestamps drift at
+    random around the line index, so they are not monotonic.
+    """
+    draws = _Draws(line, seed, datetime.fromisoformat(now))
+    seconds = F.floor(line * draws.real("offset", *SECONDS_PER_LINE)).cast("bigint")
+    # Plain calendar arithmetic: the session time zone has no say.
+    base = F.lit(BASE_TIME).cast("timestamp_ntz")
+    stamp = base + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    template = draws.whole("line", 0, len(TEMPLATES) - 1)
+    texts = [_fill(t, draws) for t in TEMPLATES]
+    first = F.when(template == 0, texts[0])
+    body = reduce(lambda c, i: c.when(template == i, texts[i]), range(1, len(texts)), first)
+    return F.concat_ws("\t", F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"), body)
+
+
+def _fill(template: str, draws: _Draws) -> Column:
+    # Splitting at a group keeps it: literal text and names alternate.
+    pieces = re.split(r"\{(\w+)\}", template)
+    parts = [draws.value(p) if i % 2 else F.lit(p) for i, p in enumerate(pieces) if p]
+    return F.concat(*parts)
+
+
+def generate_lines(
+    spark: SparkSession,
+    rows: int | None = None,
+    size: int = DEFAULT_BYTES,
+    seed: int = 0,
+    now: str = BASE_TIME,
+    partitions: int | None = None,
+) -> DataFrame:
+    """``value``: log lines in order; ``rows`` of them, or about ``size`` bytes."""
+    count = rows_for_bytes(spark, size, seed, now) if rows is None else rows
+    ids = spark.range(0, count, 1, partitions)
+    return ids.select(log_line(F.col("id"), seed, now).alias("value"))
+
+
+def rows_for_bytes(spark: SparkSession, size: int, seed: int = 0, now: str = BASE_TIME) -> int:
+    """Lines needed for a size, by the average length of the first ones."""
+    sample = generate_lines(spark, rows=_SAMPLE_LINES, seed=seed, now=now)
+    average = sample.agg(F.avg(F.octet_length("value") + 1)).first()[0]
+    return max(1, -int(-size // average)) if size > 0 else 0
+
+
+def write_generated(spark: SparkSession, path: str, **options) -> None:
+    """Write generated lines as text with ``\\n`` endings."""
+    generate_lines(spark, **options).write.mode("overwrite").text(path, lineSep="\n")
