@@ -291,7 +291,7 @@ def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as text files per language: rows and widest row."""
     path = scratch_path(spark, "documents")
     table(spark, sf_dir, "documents").select("lang", "text").write.partitionBy("lang").text(path)
-    summary = tl.read_log(spark, path, separator=" ").summary
+    summary = tl.read_log(spark, path, separator=" ").summarize()
     lang = F.regexp_extract("file_path", "lang=([^/]*)/", 1)
     return summary.groupBy(lang.alias("lang")).agg(
         F.sum("rows").alias("rows"),

@@ -95,9 +95,9 @@ def _running(counts: DataFrame, key: str) -> DataFrame:
     )
 
 
-def rank_rows(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Number the rows of a durable table 0, 1, … in the order of unique keys."""
-    if df.count() <= WINDOW_ROWS:
+def rank_rows(df: DataFrame, keys: list[str], name: str, rows: int) -> DataFrame:
+    """Number the ``rows`` rows of a table 0, 1, … in the order of unique keys."""
+    if rows <= WINDOW_ROWS:
         rank = F.row_number().over(Window.orderBy(*keys)).cast("bigint") - 1
         return df.withColumn(name, rank)
     return sorted_table(df, [F.col(k) for k in keys]).positions(name)

@@ -68,8 +68,8 @@ def load_summary(log: Log) -> DataFrame:
     Files read from storage come with their profile; a table has one row per
     file that has lines.
     """
-    if log.summary is not None:
-        return log.summary.select("file_name", "rows", "columns", "truncated")
+    if log.summarize is not None:
+        return log.summarize().select("file_name", "rows", "columns", "truncated")
     return log.frame.groupBy("file_name").agg(
         F.count(F.lit(1)).alias("rows"),
         F.max(F.size("fields")).alias("columns"),

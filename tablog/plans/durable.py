@@ -55,11 +55,14 @@ def row_bytes(df: DataFrame) -> Column:
     return total
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get(BROADCAST_SETTING, str(BROADCAST_BYTES)))
+
+
 def fits_broadcast(lookup: DataFrame) -> bool:
     """Whether the lookup, measured, is small enough to send to every executor."""
-    limit = int(lookup.sparkSession.conf.get(BROADCAST_SETTING, str(BROADCAST_BYTES)))
     size = lookup.agg(F.coalesce(F.sum(row_bytes(lookup)), F.lit(0))).first()[0]
-    return size <= limit
+    return size <= broadcast_limit(lookup.sparkSession)
 
 
 def attach(

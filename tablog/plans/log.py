@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,7 @@ class Log:
     * ``blocked``: rows of a ``block_no`` are contiguous in one partition and
       in line order, the same way in every evaluation.
     * ``in_order``: partitions and their rows come in line order.
+    * ``summarize``: makes the load summary, one row per file.
     """
 
     frame: DataFrame
@@ -37,7 +39,7 @@ class Log:
     dense: bool = False
     blocked: bool = False
     in_order: bool = False
-    summary: DataFrame | None = None
+    summarize: Callable[[], DataFrame] | None = None
 
     @property
     def rows(self) -> DataFrame:
@@ -67,5 +69,5 @@ class Log:
             total=None,
             max_line=None,
             dense=False,
-            summary=None,
+            summarize=None,
         )

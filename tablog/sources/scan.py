@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,17 @@ def rebase(spark: SparkSession, df: DataFrame) -> DataFrame:
     return empty.unionByName(df)
 
 
+def _text(
+    spark: SparkSession, paths: Paths, glob: str | None, line_end: str | None = None
+) -> DataFrame:
+    reader = spark.read
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob)
+    if line_end is not None:
+        reader = reader.option("lineSep", line_end)
+    return reader.text(paths)
+
+
 def text_lines(
     own: SparkSession,
     paths: Paths,
@@ -49,12 +62,7 @@ def text_lines(
     ``\\n``, ``\\r`` and ``\\r\\n`` all end a line.  ``only`` prunes the file
     list before anything is read.
     """
-    reader = own.read
-    if glob is not None:
-        reader = reader.option("pathGlobFilter", glob)
-    if line_end is not None:
-        reader = reader.option("lineSep", line_end)
-    lines = reader.text(paths)
+    lines = _text(own, paths, glob, line_end)
     if only is not None:
         lines = lines.where(F.col("_metadata.file_path").isin(only))
     return lines.select(
@@ -72,15 +80,13 @@ def bare_name(file_path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, paths: Paths, glob: str | None = None) -> DataFrame:
-    """``file_path, file_name, bytes`` of every input file, empty ones too.
+    """``file_path, file_name`` of every input file.
 
-    Only the listing is used; no content is read.
+    Scans leave out empty files, so the names come from the listing the
+    driver holds; no content is read.
     """
-    reader = spark.read.format("binaryFile")
-    if glob is not None:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(paths).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        bare_name(F.col("_metadata.file_path")).alias("file_name"),
-        F.col("length").alias("bytes"),
-    )
+    listed = sorted(_text(spark, paths, glob).inputFiles())
+    # Metadata paths write an empty authority as file:/x, listings as file:///x.
+    named = [(re.sub(r"^(\w+):///", r"\1:/", path),) for path in listed]
+    files = spark.createDataFrame(named, "file_path string")
+    return files.withColumn("file_name", bare_name(F.col("file_path")))

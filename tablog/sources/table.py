@@ -65,7 +65,7 @@ def log_from_texts(
         order=("file_key", "line_number"),
         separator=separator,
         raw=separator in RAW_SEPARATORS,
-        summary=_text_summary(df, text, key, separator, max_rows),
+        summarize=lambda: _text_summary(df, text, key, separator, max_rows),
     )
 
 

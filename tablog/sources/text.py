@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablog.functions.text import split_fields
 from tablog.operators.numbering import rank_rows
-from tablog.plans.durable import attach, durable, fits_broadcast
+from tablog.plans.durable import attach, broadcast_limit, durable, row_bytes
 from tablog.plans.log import Log
 from tablog.sources.checks import (
     HEAD_BYTES,
@@ -60,13 +60,14 @@ def read_log(
     lines = rebase(spark, text_lines(own, paths, glob))
 
     profile = durable(_profile(lines, separator))
-    binary = _binary(spark, paths, glob, profile)
+    splits, suspects = profile.agg(F.count(F.lit(1)), F.count_if("nul")).first()
+    binary = _binary(spark, paths, glob, profile) if suspects else None
     if binary is not None:
         if on_binary == "error":
             names = [r[0] for r in binary.limit(5).collect()]
             raise BinaryFileError(f"binary files cannot be read: {names}")
         profile = profile.join(binary, "file_path", "left_anti")
-    blocks = durable(_blocks(profile, max_rows))
+    blocks = durable(_blocks(profile, max_rows, splits))
     facts = _facts(blocks)
 
     malformed = facts["malformed"] > 0
@@ -76,14 +77,12 @@ def read_log(
         raise MalformedTextError(f"malformed UTF-8 at (file, line) {places}")
 
     unique = facts["keys"] == facts["blocks"]
-    small = fits_broadcast(blocks)
+    small = facts["bytes"] <= broadcast_limit(spark)
     frame = _number(lines, blocks, unique, small, binary is not None)
     if facts["files"] == 1:
-        first = blocks.select("file_name", "file_path").first()
-        frame = frame.withColumns(
-            {"file_name": F.lit(first[0]), "file_path": F.lit(first[1])}
-        )
-    if facts["cut_files"]:
+        names = {name: F.lit(facts[name]) for name in ("file_name", "file_path")}
+        frame = frame.withColumns(names)
+    if facts["cut"]:
         frame = frame.where(F.col("line_number") <= max_rows)
     if malformed and on_malformed == "drop":
         frame = frame.where(F.is_valid_utf8("value"))
@@ -92,7 +91,7 @@ def read_log(
     frame = frame.withColumn("fields", split_fields(F.col("value"), separator))
 
     dropped = malformed and on_malformed == "drop"
-    exact = not dropped and not facts["cut_blocks"]
+    exact = not dropped and not facts["cut_inside"]
     return Log(
         frame=frame,
         order=("line_number",) if facts["files"] <= 1 else ("block_no", "line_number"),
@@ -103,8 +102,10 @@ def read_log(
         max_line=None if dropped else facts["max_line"],
         dense=facts["files"] <= 1 and not dropped,
         blocked=small,
-        in_order=small and _in_order(blocks),
-        summary=_summary(list_files(spark, paths, glob), blocks, binary, frame, exact),
+        in_order=small and facts["files"] <= 1 and facts["backward"] == 0,
+        summarize=lambda: _summary(
+            list_files(spark, paths, glob), blocks, binary, frame, exact
+        ),
     )
 
 
@@ -132,19 +133,20 @@ def _binary(
     """Paths of binary files, or None; only files with a NUL are looked at again."""
     suspects = profile.where("nul").select("file_path").distinct()
     named = [r[0] for r in suspects.limit(_NAMED_FILES + 1).collect()]
-    if not named:
-        return None
     only = named if len(named) <= _NAMED_FILES else None
     found = durable(binary_paths(spark, paths, glob, only))
     return None if found.isEmpty() else found
 
 
-def _blocks(profile: DataFrame, max_rows: int | None) -> DataFrame:
-    """The profile with running line counts per file and a rank over all splits."""
-    before = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    ranked = rank_rows(profile, ["file_path", "block_start"], "block_no")
+def _blocks(profile: DataFrame, max_rows: int | None, splits: int) -> DataFrame:
+    """The profile with running line counts per file and a rank over all splits.
+
+    ``backward`` marks a split the scan meets before the one ahead of it in
+    the file.
+    """
+    file = Window.partitionBy("file_path").orderBy("block_start")
+    before = file.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rank_rows(profile, ["file_path", "block_start"], "block_no", splits)
     ahead = F.coalesce(F.sum("lines").over(before), F.lit(0))
     kept = F.col("lines")
     if max_rows is not None:
@@ -152,6 +154,7 @@ def _blocks(profile: DataFrame, max_rows: int | None) -> DataFrame:
     return (
         ranked.withColumn("lines_before", ahead)
         .withColumn("kept", kept)
+        .withColumn("backward", F.lag("first_mid").over(file) > F.col("first_mid"))
         .withColumn("bad_line", F.col("bad_mid") - F.col("first_mid") + F.col("lines_before") + 1)
         .withColumn("file_name", bare_name(F.col("file_path")))
         .withColumn("block_key", F.xxhash64("file_path", "block_start"))
@@ -162,37 +165,35 @@ def _blocks(profile: DataFrame, max_rows: int | None) -> DataFrame:
 def _facts(blocks: DataFrame) -> dict:
     retained = F.col("kept") > 0
     cut = F.col("kept") < F.col("lines")
+    end = F.col("lines_before") + F.col("kept")
+
+    def total(column: Column) -> Column:
+        return F.coalesce(column, F.lit(0))
+
     row = blocks.agg(
         F.count(F.lit(1)).alias("blocks"),
         F.count_distinct("block_key").alias("keys"),
-        F.count_distinct("file_path").alias("files"),
-        F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"),
-        F.coalesce(F.max(F.col("lines_before") + F.col("kept")), F.lit(0)).alias("max_line"),
-        F.coalesce(F.max(F.when(retained, F.col("width"))), F.lit(0)).alias("columns"),
-        F.count_if(cut).alias("cut_files"),
-        F.count_if(cut & retained).alias("cut_blocks"),
-        F.count_if(F.col("bad_line") <= F.col("lines_before") + F.col("kept")).alias("malformed"),
+        F.count_if(F.col("lines_before") == 0).alias("files"),
+        F.min("file_name").alias("file_name"),
+        F.min("file_path").alias("file_path"),
+        total(F.sum(row_bytes(blocks))).alias("bytes"),
+        total(F.sum("kept")).alias("kept"),
+        total(F.max(end)).alias("max_line"),
+        total(F.max(F.when(retained, F.col("width")))).alias("columns"),
+        F.count_if(cut).alias("cut"),
+        F.count_if(cut & retained).alias("cut_inside"),
+        F.count_if(F.col("bad_line") <= end).alias("malformed"),
+        F.count_if("backward").alias("backward"),
     ).first()
     return row.asDict()
 
 
-def _in_order(blocks: DataFrame) -> bool:
-    """Whether the scan meets the splits in line order."""
-    here = blocks.select("block_no", "first_mid")
-    following = blocks.select(
-        (F.col("block_no") - 1).alias("block_no"), F.col("first_mid").alias("next_mid")
-    )
-    return here.join(following, "block_no").where("next_mid < first_mid").isEmpty()
-
-
 def _number(
     lines: DataFrame, blocks: DataFrame, unique: bool, small: bool, partial: bool
 ) -> DataFrame:
     """Lines with their number, by a lookup of the split they came from."""
     keys = ["block_key"] if unique else ["file_path", "block_start"]
-    keyed = lines.select(
-        "value", "mid", *_split_columns(unique)
-    )
+    keyed = lines.select("value", "mid", *_split_columns(unique))
     lookup = blocks.select(
         *keys,
         *(["file_path"] if unique else []),

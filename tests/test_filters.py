@@ -91,7 +91,7 @@ def test_rebind():
 
 def test_blank_and_trim():
     assert is_blank(None) and is_blank("") and is_blank(" \t\u3000\u2028")
-    assert not is_blank("\u00a0") and not is_blank("\x01") and not is_blank(" ")
+    assert not is_blank("\u00a0") and not is_blank("\x01") and not is_blank("\u2007")
     assert trim_query("\x00\x1f a\u00a0 ") == "a\u00a0"
 
 

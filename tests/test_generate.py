@@ -1,0 +1,94 @@
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from tablog import Condition, View, ViewSpec, read_log
+from tablog.sources.generate import (
+    CHOICES,
+    RANGES,
+    TEMPLATES,
+    generate_lines,
+    rows_for_bytes,
+    write_generated,
+)
+
+SPECIAL = {
+    "ip": r"192\.168\.\d{1,3}\.\d{1,3}",
+    "email": r"user\d{1,3}@example\.com",
+    "amount": r"\d{3,5}\.\d\d",
+    "cache_key": r"user:\d{5}",
+    "job_id": r"\d{3}",
+    "report_id": r"20260117\d{3}",
+    "backup_id": r"202601170000\d\d",
+    "filename": r"data_20260117\.csv",
+    "session_id": r"SES-[A-Z0-9]{8}",
+    "tracking": r"TRK-\d{10}",
+}
+
+
+def as_regex(template):
+    def one(match):
+        name = match.group(1)
+        if name in CHOICES:
+            body = "|".join(map(re.escape, CHOICES[name]))
+        elif name in RANGES:
+            body = r"\d+"
+        else:
+            body = SPECIAL[name]
+        return f"(?P<{name}>{body})"
+
+    pieces = re.split(r"(\{\w+\})", template)
+    return "".join(
+        re.sub(r"\{(\w+)\}", one, p) if p.startswith("{") else re.escape(p) for p in pieces
+    )
+
+
+def test_lines(spark):
+    lines = [r[0] for r in generate_lines(spark, rows=3000, seed=3).collect()]
+    stamp = r"2026-01-17 \d\d:\d\d:\d\d\t"
+    used = Counter()
+    for line in lines:
+        found = [i for i, t in enumerate(TEMPLATES) if re.fullmatch(stamp + as_regex(t), line)]
+        assert len(found) == 1, line
+        used[found[0]] += 1
+        for name, text in re.fullmatch(stamp + as_regex(TEMPLATES[found[0]]), line).groupdict().items():
+            if name in RANGES:
+                low, high = RANGES[name]
+                assert low <= int(text) <= high
+    assert len(TEMPLATES) == 30 == len(used)
+    assert min(used.values()) > 50
+    assert Counter(t.count("\t") + 2 for t in TEMPLATES) == {6: 28, 7: 2}
+
+
+def test_same_seed_same_lines(spark):
+    def lines(**options):
+        return [r[0] for r in generate_lines(spark, rows=200, **options).collect()]
+
+    assert lines(seed=1, partitions=1) == lines(seed=1, partitions=7)
+    assert lines(seed=1) != lines(seed=2)
+
+
+def test_times_follow_the_line(spark):
+    lines = generate_lines(spark, rows=5000).withColumn("i", F.monotonically_increasing_id())
+    seconds = F.unix_timestamp(F.substring("value", 1, 19)) - F.unix_timestamp(F.lit("2026-01-17 00:00:00"))
+    rows = generate_lines(spark, rows=5000, partitions=1).select(
+        F.monotonically_increasing_id().alias("i"), seconds.alias("s")
+    ).collect()
+    assert lines.count() == 5000
+    assert all(int(r["i"] * 0.1) <= r["s"] <= r["i"] * 2 for r in rows)
+    assert any(a["s"] > b["s"] for a, b in zip(rows, rows[1:]))
+
+
+def test_size_and_reading(spark, tmp_path):
+    path = str(tmp_path / "log")
+    size = 300_000
+    write_generated(spark, path, size=size, partitions=3)
+    written = sum(p.stat().st_size for p in (tmp_path / "log").glob("part-*"))
+    assert abs(written - size) < size * 0.02
+    log = read_log(spark, path)
+    assert log.known_columns() == 7
+    assert View(log).count() == rows_for_bytes(spark, size)
+    fatal = View(log, ViewSpec(conditions=(Condition("/FATAL|ERROR/", 1),)))
+    assert 0 < fatal.count() < View(log).count()
+    assert rows_for_bytes(spark, 0) == 0

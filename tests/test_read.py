@@ -1,0 +1,291 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablog import (
+    BinaryFileError,
+    Condition,
+    MalformedTextError,
+    Sort,
+    View,
+    ViewSpec,
+    binary_files,
+    load_summary,
+    malformed_lines,
+    page,
+    read_log,
+    with_positions,
+)
+from tablog.plans import durable
+
+
+def loaded(log):
+    rows = log.rows.orderBy("file_name", "line_number").collect()
+    return [(r["line_number"], r["fields"]) for r in rows]
+
+
+def summary(log):
+    rows = load_summary(log).orderBy("file_name").collect()
+    return [(r["file_name"], r["rows"], r["columns"], r["truncated"]) for r in rows]
+
+
+@pytest.mark.parametrize(
+    "data,rows",
+    [
+        (b"a\tb\r\nc\rd\n\n\te\t", [["a", "b"], ["c"], ["d"], [""], ["", "e", ""]]),
+        (b"", []),
+        (b"\n", [[""]]),
+        (b"x\n", [["x"]]),
+        (b"x", [["x"]]),
+        ("日本語\tテスト\n".encode(), [["日本語", "テスト"]]),
+        (b"\xef\xbb\xbfx\ty\n", [["x", "y"]]),  # the reader drops a byte-order mark
+        (b'"a\tb"\n#c,d\n', [['"a', 'b"'], ["#c,d"]]),
+    ],
+)
+def test_bytes(spark, write, data, rows):
+    path = write("a.weird-extension", data)
+    log = read_log(spark, path)
+    assert loaded(log) == list(enumerate(rows, 1))
+    columns = max((len(r) for r in rows), default=0)
+    assert summary(log) == [("a.weird-extension", len(rows), columns, False)]
+    assert log.known_columns() == columns
+    assert View(log).count() == len(rows)
+    assert View(log).is_empty() == (not rows)
+
+
+@pytest.mark.parametrize("separator", [",", "|", "ab", "\\", " ", "||"])
+def test_separators(spark, write, separator):
+    fields = ["x1", "", "Y 2" if separator != " " else "Y2", ""]
+    log = read_log(spark, write("a", separator.join(fields).encode()), separator=separator)
+    assert loaded(log) == [(1, fields)]
+    assert View(log, ViewSpec(conditions=(Condition("y"),))).count() == 1
+    assert View(log, ViewSpec(conditions=(Condition(f"1{separator}{separator}y"),))).count() == 0
+
+
+def test_names(spark, write, tmp_path):
+    for name in ("a b.tsv", "a+b%20.tsv", "ü.log", "empty"):
+        write(f"in/{name}", b"" if name == "empty" else b"x\n")
+    log = read_log(spark, str(tmp_path / "in"))
+    assert {r[0] for r in log.rows.select("file_name").collect()} == {
+        "a b.tsv", "a+b%20.tsv", "ü.log",
+    }
+    assert sorted(summary(log))[2] == ("empty", 0, 0, False)
+    assert read_log(spark, str(tmp_path / "in"), glob="*.log").known_max_line() == 1
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    old = {k: spark.conf.get(k, None) for k in ("maxPartitionBytes", "openCostInBytes")}
+    for key in old:
+        spark.conf.set(f"spark.sql.files.{key}", "700b")
+    yield
+    for key in old:
+        spark.conf.unset(f"spark.sql.files.{key}")
+
+
+def make_files(write, count=4, seed=5):
+    """Files of random ragged lines with mixed line ends; their lines by name."""
+    draw = random.Random(seed)
+    files = {}
+    for i in range(count):
+        lines = [
+            "\t".join(draw.choice(["", "ab", "Error", "x" * 9]) for _ in range(draw.randint(1, 5)))
+            for _ in range(draw.randint(200, 400))
+        ]
+        ends = draw.choice([["\n"], ["\r\n"], ["\n", "\r\n"]])
+        write(f"in/f{i}", "".join(x + draw.choice(ends) for x in lines).encode())
+        files[f"f{i}"] = lines
+    return files
+
+
+def test_many_splits(spark, write, tmp_path, tiny_splits):
+    files = make_files(write)
+    log = read_log(spark, str(tmp_path / "in"))
+    # The session may change between loading and using the log.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000b")
+    got = log.frame.select("file_name", "line_number", "value").collect()
+    assert log.frame.select("block_no").distinct().count() > 20
+    want = [(n, i, x) for n, lines in files.items() for i, x in enumerate(lines, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert View(log).count() == len(want)
+
+    spec = ViewSpec(conditions=(Condition("error", 1),))
+    hits = [w for w in want if "error" in (w[2].split("\t") + [""])[1].lower()]
+    for ascending in (True, False):
+        view = View(log, ViewSpec(conditions=spec.conditions, sort=Sort(ascending=ascending)))
+        placed = with_positions(view).orderBy("position").collect()
+        ranked = hits if ascending else hits[::-1]
+        assert [(r["file_name"], r["line_number"]) for r in placed] == [w[:2] for w in ranked]
+        assert [r["position"] for r in placed] == list(range(len(hits)))
+        first = page(view, 0, 3).collect()
+        assert [(r["file_name"], r["line_number"]) for r in first] == [w[:2] for w in ranked[:3]]
+
+
+def test_one_file_is_read_in_order_without_a_sort(spark, write, tiny_splits):
+    files = make_files(write, count=1)
+    path = [str(p) for p in [write("one", "\n".join(files["f0"]).encode())]][0]
+    log = read_log(spark, path)
+    assert log.in_order and log.dense and log.order == ("line_number",)
+    view = View(log, ViewSpec(conditions=(Condition("error"),)))
+    plan = view.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange rangepartitioning" not in plan
+    want = [i for i, x in enumerate(files["f0"], 1) if "error" in x.lower()]
+    assert [r["line_number"] for r in view.rows().collect()] == want
+
+
+def test_lookup_too_large_to_broadcast(spark, write, tmp_path, tiny_splits, monkeypatch):
+    monkeypatch.setattr(durable, "BROADCAST_BYTES", 0)
+    files = make_files(write)
+    log = read_log(spark, str(tmp_path / "in"))
+    assert not log.blocked and not log.in_order
+    plan = log.frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan
+    want = [(n, i, x) for n, lines in files.items() for i, x in enumerate(lines, 1)]
+    got = log.frame.select("file_name", "line_number", "value").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    view = View(log, ViewSpec(conditions=(Condition("error"),)))
+    hits = [w[:2] for w in want if "error" in w[2].lower()]
+    placed = with_positions(view).orderBy("position").collect()
+    assert [(r["file_name"], r["line_number"]) for r in placed] == hits
+
+
+def test_many_blocks_are_ranked_by_a_sort(spark, write, tmp_path, tiny_splits, monkeypatch):
+    from tablog.operators import numbering
+
+    monkeypatch.setattr(numbering, "WINDOW_ROWS", 3)
+    monkeypatch.setattr(numbering, "_CHUNK_BITS", 2)
+    files = make_files(write)
+    log = read_log(spark, str(tmp_path / "in"))
+    want = [(n, i) for n, lines in files.items() for i, _ in enumerate(lines, 1)]
+    ordered = log.frame.orderBy(*log.order).collect()
+    assert [(r["file_name"], r["line_number"]) for r in ordered] == want
+    placed = with_positions(View(log, ViewSpec(conditions=(Condition("b"),))))
+    assert placed.select("position").distinct().count() == placed.count()
+    assert placed.agg(F.max("position")).first()[0] == placed.count() - 1
+
+
+def test_changed_files_are_noticed(spark, write):
+    path = write("a", b"x\n" * 10)
+    log = read_log(spark, path)
+    write("a", b"xyz\n" * 5)
+    with pytest.raises(Exception, match="changed while being read|FILE_NOT_EXIST|READ_FILE"):
+        log.frame.select(F.max("line_number")).collect()
+        write("a", b"\n" * 20)
+        read = log.frame.select(F.sum("line_number")).collect()
+        raise AssertionError(read)
+
+
+@pytest.mark.parametrize("cap,rows,truncated", [(5, 5, True), (6, 6, False), (0, 0, True)])
+def test_row_cap(spark, write, cap, rows, truncated):
+    path = write("a", b"1\ta\n2\n3\n4\n5\n6\tx\ty\n")
+    log = read_log(spark, path, max_rows=cap)
+    columns = {5: 2, 6: 3, 0: 0}[cap]
+    assert summary(log) == [("a", rows, columns, truncated)]
+    assert len(loaded(log)) == rows and log.known_columns() == columns
+    assert View(log).count() == rows
+
+
+def test_row_cap_over_splits(spark, write, tmp_path, tiny_splits):
+    files = make_files(write)
+    log = read_log(spark, str(tmp_path / "in"), max_rows=150)
+    assert [r[1] for r in summary(log)] == [150] * 4
+    widest = [max(x.count("\t") + 1 for x in lines[:150]) for lines in files.values()]
+    assert [r[2] for r in summary(log)] == widest
+    assert log.frame.count() == 600 and View(log).count() == 600
+
+
+@pytest.mark.parametrize("at,binary", [(0, True), (8191, True), (8192, False), (9000, False)])
+@pytest.mark.parametrize("line", [b"abcdef\r\n", b"abcdefg\r"])
+def test_binary_head(spark, write, tmp_path, at, binary, line):
+    text = bytearray(line * 2000)
+    text[at] = 0
+    write("in/x.bin", bytes(text))
+    write("in/a.txt", b"fine\n")
+    write("in/empty", b"")
+    folder = str(tmp_path / "in")
+    flags = {r["file_name"]: r["is_binary"] for r in binary_files(spark, folder).collect()}
+    assert flags == {"x.bin": binary, "a.txt": False, "empty": False}
+    if not binary:
+        assert read_log(spark, folder).frame.where("file_name = 'a.txt'").count() == 1
+        return
+    with pytest.raises(BinaryFileError, match="x.bin"):
+        read_log(spark, folder)
+    log = read_log(spark, folder, on_binary="skip")
+    assert loaded(log) == [(1, ["fine"])]
+    assert [s[0] for s in summary(log)] == ["a.txt", "empty"]
+
+
+def test_binary_head_over_tiny_splits(spark, write, tiny_splits):
+    text = bytearray(b"abcdefg\n" * 2000)
+    text[5000] = 0
+    with pytest.raises(BinaryFileError):
+        read_log(spark, write("a", bytes(text)))
+
+
+BAD = b"ok\n\xff\xfebad\tx\nend\n"
+
+
+def test_malformed(spark, write):
+    path = write("a", BAD)
+    with pytest.raises(MalformedTextError, match=r"\('a', 2\)"):
+        read_log(spark, path)
+    assert loaded(read_log(spark, path, on_malformed="drop")) == [(1, ["ok"]), (3, ["end"])]
+    replaced = [(1, ["ok"]), (2, ["��bad", "x"]), (3, ["end"])]
+    assert loaded(read_log(spark, path, on_malformed="replace")) == replaced
+    kept = read_log(spark, path, on_malformed="keep")
+    found = [tuple(r) for r in malformed_lines(kept).collect()]
+    assert found == [("a", 2, "��bad\tx")]
+
+
+def test_malformed_after_the_cap(spark, write):
+    assert loaded(read_log(spark, write("a", BAD), max_rows=1)) == [(1, ["ok"])]
+
+
+def test_dropped_lines_keep_their_numbers(spark, write):
+    log = read_log(spark, write("a", BAD), on_malformed="drop")
+    assert summary(log) == [("a", 2, 1, False)]
+    assert View(log).count() == 2
+    placed = with_positions(View(log)).orderBy("position").collect()
+    assert [(r["position"], r["line_number"]) for r in placed] == [(0, 1), (1, 3)]
+
+
+def test_bad_options(spark, write):
+    path = write("a", b"x")
+    for options in ({"on_binary": "x"}, {"on_malformed": "x"}, {"separator": ""}):
+        with pytest.raises(ValueError):
+            read_log(spark, path, **options)
+
+
+def model(rows, conditions, sort):
+    """The semantics in plain Python: rows are (line, fields)."""
+
+    def meets(fields, text, column):
+        chosen = fields if column is None else fields[column : column + 1]
+        if text.startswith("/"):
+            return any(re.fullmatch(text[1:-1], f) for f in chosen)
+        return any(text.lower() in f.lower() for f in chosen)
+
+    kept = [r for r in rows if all(meets(r[1], c.text, c.column) for c in conditions)]
+    if sort.by_line:
+        return sorted(kept, key=lambda r: r[0], reverse=not sort.ascending)
+    key = lambda r: (r[1][sort.column] if sort.column < len(r[1]) else "").lower()
+    return sorted(kept, key=key, reverse=not sort.ascending)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_against_model(spark, write, seed, tiny_splits):
+    lines = make_files(write, count=1, seed=seed)["f0"]
+    log = read_log(spark, write("one", "\n".join(lines).encode() + b"\n"))
+    rows = [(i, x.split("\t")) for i, x in enumerate(lines, 1)]
+    draw = random.Random(seed)
+    pool = [
+        Condition("err"), Condition("AB", 1), Condition("/x+|/", 2),
+        Condition("/[a-z]*/"), Condition("b", 0),
+    ]
+    for sort in (Sort(1, False), Sort(3), Sort(ascending=False)):
+        conditions = tuple(draw.sample(pool, 2))
+        view = View(log, ViewSpec(conditions=conditions, sort=sort))
+        got = [(r["line_number"], r["fields"]) for r in view.rows().collect()]
+        assert got == model(rows, conditions, sort)
