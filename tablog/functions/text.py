@@ -28,12 +28,20 @@ def trim_query(text: str) -> str:
     return text.strip(TRIMMED_CHARACTERS)
 
 
-def split_fields(line: Column, separator: str) -> Column:
-    """Fields of a raw line; trailing empty fields stay, an empty line has one field."""
+def _separator_pattern(separator: str) -> str:
     # A plain or backslash-escaped single character keeps the JVM's split off
     # the regex engine.
-    pattern = "".join("\\" + c if c in _REGEX_SPECIAL else c for c in separator)
-    return F.split(line, pattern, -1)
+    return "".join("\\" + c if c in _REGEX_SPECIAL else c for c in separator)
+
+
+def split_fields(line: Column, separator: str) -> Column:
+    """Fields of a raw line; trailing empty fields stay, an empty line has one field."""
+    return F.split(line, _separator_pattern(separator), -1)
+
+
+def line_field(line: Column, separator: str, index: int) -> Column:
+    """One field of a raw line, or NULL; the line is split no further than needed."""
+    return F.get(F.split(line, _separator_pattern(separator), index + 2), F.lit(index))
 
 
 def raw_field(fields: Column, index: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablog.functions.regex import full_match_pattern, matches, regex_body
-from tablog.functions.text import is_blank, raw_field, trim_query
+from tablog.functions.text import is_blank, trim_query
 from tablog.plans.log import Log
 from tablog.plans.spec import Condition, ViewSpec
 
@@ -53,9 +53,9 @@ def _test_fields(log: Log, column: int | None, test) -> Column:
     if column is not None:
         if column < 0 or (log.rectangular and column >= log.columns):
             return F.lit(False)
-        return F.coalesce(test(raw_field(log.fields, column)), F.lit(False))
+        return F.coalesce(test(log.field(column)), F.lit(False))
     if log.rectangular:  # plain columns: prunable and compiled with the scan
-        tests = [test(raw_field(log.fields, i)) for i in range(log.columns)]
+        tests = [test(log.field(i)) for i in range(log.columns)]
         return F.coalesce(reduce(Column.__or__, tests, F.lit(False)), F.lit(False))
     return F.coalesce(F.exists(log.fields, test), F.lit(False))
 
@@ -66,7 +66,17 @@ def combine(predicates: Iterable[Column]) -> Column:
 
 
 def spec_predicate(spec: ViewSpec, log: Log) -> Column:
-    return combine(build_predicate(c, log) for c in spec.active_conditions())
+    """AND of the request's conditions, those that are cheap to reject by first."""
+    conditions = sorted(spec.active_conditions(), key=lambda c: _cost(c, log))
+    return combine(build_predicate(c, log) for c in conditions)
+
+
+def _cost(condition: Condition | Column, log: Log) -> int:
+    if isinstance(condition, Column):
+        return 3
+    if regex_body(trim_query(condition.text)) is not None:
+        return 2 if condition.column is None else 1
+    return 0 if log.raw or condition.column is not None else 2
 
 
 def apply_filter(log: Log, predicate: Column) -> DataFrame:

@@ -72,13 +72,12 @@ def _firsts(keyed: DataFrame, names: list[str], ups: list[bool]) -> DataFrame:
     if len(set(ups)) == 1:
         first = keyed.groupBy("line_number").agg(best(names, ups[0]))
         return first.select("line_number", "_best.*")
-    lead, ties = names[:1], names[1:]
-    leading = keyed.groupBy("line_number").agg(best(lead, ups[0]))
-    leading = leading.select("line_number", "_best.*")
-    # At most COUNTED_REQUESTS rows.
-    tied = keyed.join(F.broadcast(leading), ["line_number", *lead])
-    first = tied.groupBy("line_number", *lead).agg(best(ties, ups[1]))
-    return first.select("line_number", *lead, "_best.*")
+    # The text key and the ties run in opposite directions: the ties first.
+    lead, ties = names[0], names[1:]
+    tied = keyed.groupBy("line_number", lead).agg(best(ties, ups[1]))
+    pick = F.min_by if ups[0] else F.max_by
+    first = tied.groupBy("line_number").agg(pick(F.struct(lead, "_best"), lead).alias("_row"))
+    return first.select("line_number", f"_row.{lead}", "_row._best.*")
 
 
 def _ahead(names: list[str], ups: list[bool], target: dict) -> Column:

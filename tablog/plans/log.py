@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablog.functions.text import line_field, raw_field
+
 
 @dataclass(frozen=True, eq=False)
 class Log:
@@ -17,7 +19,8 @@ class Log:
     raw line), ``file_no`` and ``block_no``.
 
     * ``order``: columns that together give every row its unique place.
-    * ``raw``: ``value`` can be searched instead of the fields.
+    * ``lines``: ``value`` holds the line the fields were split from.
+    * ``raw``: that line can be searched instead of the fields.
     * ``columns``: number of columns if already known.
     * ``rectangular``: every row has exactly ``columns`` fields.
     * ``total``: number of rows if already known.
@@ -31,6 +34,7 @@ class Log:
     frame: DataFrame
     order: tuple[str, ...] = ("line_number",)
     separator: str = "\t"
+    lines: bool = False
     raw: bool = False
     columns: int | None = None
     rectangular: bool = False
@@ -49,6 +53,14 @@ class Log:
     def fields(self) -> Column:
         return F.col("fields")
 
+    def field(self, index: int) -> Column:
+        """One field, or NULL where the row has no such column."""
+        if index < 0:
+            return F.lit(None).cast("string")
+        if self.lines:
+            return line_field(F.col("value"), self.separator, index)
+        return raw_field(self.fields, index)
+
     def known_columns(self) -> int:
         """Widest row; 0 for an empty log."""
         if self.columns is not None:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
+import zlib
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,78 +103,93 @@ EMAIL_POOL = 1000
 SESSION_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 DEFAULT_BYTES = 100 * 1024 * 1024
 
+# Placeholders with a form of their own are drawn as one number.
+FORMS = {
+    "ip": IP_POOL,
+    "email": EMAIL_POOL,
+    "amount": None,
+    "cache_key": 90000,
+    "job_id": 999,
+    "report_id": 999,
+    "backup_id": 99,
+    "filename": 1,
+    "session_id": len(SESSION_ALPHABET) ** 8,
+    "tracking": 9_000_000_000,
+}
+
 _SAMPLE_LINES = 10_000
 _UNIT = 1 << 53
 
 
-class _Draws:
-    """Pseudo-random columns: a hash of the line, the seed and a name."""
-
-    def __init__(self, line: Column, seed: int, now: datetime):
-        self.line, self.seed, self.now = line, seed, now
-
-    def whole(self, name: str, low: int, high: int, of: Column | None = None) -> Column:
-        key = F.xxhash64(self.line if of is None else of, F.lit(self.seed), F.lit(name))
-        return F.pmod(key, F.lit(high - low + 1)) + low
+def _hash(line: Column, seed: int, what: str) -> Column:
+    """A pseudo-random number of a line, the same for the same seed."""
+    salt = (seed << 32) + zlib.crc32(what.encode())
+    return F.xxhash64(line, F.lit(salt).cast("bigint"))
 
-    def real(self, name: str, low: float, high: float) -> Column:
-        return self.whole(name, 0, _UNIT - 1) / float(_UNIT) * (high - low) + low
 
-    def choice(self, name: str, items: list[str]) -> Column:
-        if len(items) == 1:
-            return F.lit(items[0])
-        array = F.array(*[F.lit(i) for i in items])
-        return F.element_at(array, self.whole(name, 1, len(items)).cast("int"))
+def _real(draw: Column, low: float, high: float) -> Column:
+    return F.pmod(draw, F.lit(_UNIT)) / float(_UNIT) * (high - low) + low
 
-    def padded(self, name: str, high: int, digits: int) -> Column:
-        return F.lpad(self.whole(name, 1, high).cast("string"), digits, "0")
 
-    def value(self, name: str) -> Column:
-        """Text for one placeholder."""
-        if name in CHOICES:
-            return self.choice(name, CHOICES[name])
-        if name in RANGES:
-            return self.whole(name, *RANGES[name]).cast("string")
-        return getattr(self, name)()
+def _padded(number: Column, digits: int) -> Column:
+    return F.lpad(number.cast("string"), digits, "0")
 
-    def ip(self) -> Column:
-        member = self.whole("ip", 0, IP_POOL - 1)
-        x, y = (self.whole(part, 1, 255, of=member) for part in ("ip x", "ip y"))
-        return F.concat(F.lit("192.168."), x.cast("string"), F.lit("."), y.cast("string"))
 
-    def email(self) -> Column:
-        user = self.whole("email", 0, EMAIL_POOL - 1).cast("string")
-        return F.concat(F.lit("user"), user, F.lit("@example.com"))
+def _form(name: str, draw: Column, seed: int, now: datetime) -> Column:
+    """Text of a placeholder in :data:`FORMS`."""
+    if name == "amount":
+        return F.round(_real(draw, *AMOUNT), 2).cast("decimal(8,2)").cast("string")
+    number = F.pmod(draw, F.lit(FORMS[name]))
+    if name == "ip":
+        parts = [F.pmod(_hash(number, seed, part), F.lit(255)) + 1 for part in ("ip x", "ip y")]
+        return F.concat_ws(".", F.lit("192.168"), *[p.cast("string") for p in parts])
+    if name == "email":
+        return F.concat(F.lit("user"), number.cast("string"), F.lit("@example.com"))
+    if name == "cache_key":
+        return F.concat(F.lit("user:"), (number + 10000).cast("string"))
+    if name == "job_id":
+        return _padded(number + 1, 3)
+    if name == "report_id":
+        return F.concat(F.lit(f"{now:%Y%m%d}"), _padded(number + 1, 3))
+    if name == "backup_id":
+        return F.concat(F.lit(f"{now:%Y%m%d%H%M}"), _padded(number + 1, 2))
+    if name == "filename":
+        return F.lit(f"data_{now:%Y%m%d}.csv")
+    if name == "session_id":  # digits of base 36 are the alphabet
+        digits = F.conv(number.cast("string"), 10, len(SESSION_ALPHABET))
+        return F.concat(F.lit("SES-"), F.lpad(digits, 8, "0"))
+    return F.concat(F.lit("TRK-"), (number + 1_000_000_000).cast("string"))
 
-    def amount(self) -> Column:
-        return F.round(self.real("amount", *AMOUNT), 2).cast("decimal(8,2)").cast("string")
 
-    def cache_key(self) -> Column:
-        return F.concat(F.lit("user:"), self.whole("cache_key", 10000, 99999).cast("string"))
+def _value(names: list[str], template: Column, draw: Column, seed, now) -> Column:
+    """Text of the placeholder each template has at this slot ('' for none).
 
-    def job_id(self) -> Column:
-        return self.padded("job_id", 999, 3)
-
-    def report_id(self) -> Column:
-        return F.concat(F.lit(f"{self.now:%Y%m%d}"), self.padded("report_id", 999, 3))
+    Numbers and choices are looked up in tables by template, so the compiled
+    code stays small whatever the number of templates.
+    """
+    ranges = [RANGES.get(n, (0, 0)) for n in names]
+    low = _lookup([r[0] for r in ranges], template)
+    span = _lookup([r[1] - r[0] + 1 for r in ranges], template)
+    number = (low + F.pmod(draw, span)).cast("string")
 
-    def backup_id(self) -> Column:
-        return F.concat(F.lit(f"{self.now:%Y%m%d%H%M}"), self.padded("backup_id", 99, 2))
+    pools = F.array(*[F.array(*map(F.lit, CHOICES.get(n, [""]))) for n in names])
+    pool = F.element_at(pools, template)
+    choice = F.element_at(pool, (F.pmod(draw, F.size(pool)) + 1).cast("int"))
 
-    def filename(self) -> Column:
-        return F.lit(f"data_{self.now:%Y%m%d}.csv")
+    kinds = ["number" if n in RANGES else n if n in FORMS else "choice" for n in names]
+    codes = sorted(set(kinds))
+    kind = _lookup([codes.index(k) for k in kinds], template)
+    text = F.when(kind == codes.index("choice"), choice)
+    for name in codes:
+        if name == "number":
+            text = text.when(kind == codes.index(name), number)
+        elif name != "choice":
+            text = text.when(kind == codes.index(name), _form(name, draw, seed, now))
+    return text
 
-    def session_id(self) -> Column:
-        size = len(SESSION_ALPHABET)
-        letters = [
-            F.substr(F.lit(SESSION_ALPHABET), self.whole(f"session {i}", 1, size), F.lit(1))
-            for i in range(8)
-        ]
-        return F.concat(F.lit("SES-"), *letters)
 
-    def tracking(self) -> Column:
-        number = self.whole("tracking", 1_000_000_000, 9_999_999_999)
-        return F.concat(F.lit("TRK-"), number.cast("string"))
+def _lookup(values: list, template: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), template)
 
 
 def log_line(line: Column, seed: int = 0, now: str = BASE_TIME) -> Column:
@@ -183,22 +198,24 @@ def log_line(line: Column, seed: int = 0, now: str = BASE_TIME) -> Column:
     ``now`` stands in ids that carry the day of the run.  Timestamps drift at
     random around the line index, so they are not monotonic.
     """
-    draws = _Draws(line, seed, datetime.fromisoformat(now))
-    seconds = F.floor(line * draws.real("offset", *SECONDS_PER_LINE)).cast("bigint")
+    moment = datetime.fromisoformat(now)
+    seconds = F.floor(line * _real(_hash(line, seed, "time"), *SECONDS_PER_LINE))
     # Plain calendar arithmetic: the session time zone has no say.
     base = F.lit(BASE_TIME).cast("timestamp_ntz")
     stamp = base + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
-    template = draws.whole("line", 0, len(TEMPLATES) - 1)
-    texts = [_fill(t, draws) for t in TEMPLATES]
-    first = F.when(template == 0, texts[0])
-    body = reduce(lambda c, i: c.when(template == i, texts[i]), range(1, len(texts)), first)
-    return F.concat_ws("\t", F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"), body)
-
-
-def _fill(template: str, draws: _Draws) -> Column:
-    # Splitting at a group keeps it: literal text and names alternate.
-    pieces = re.split(r"\{(\w+)\}", template)
-    parts = [draws.value(p) if i % 2 else F.lit(p) for i, p in enumerate(pieces) if p]
+    choice = F.pmod(_hash(line, seed, "line"), F.lit(len(TEMPLATES))) + 1
+    template = choice.cast("int")
+
+    # Literal text and placeholder names alternate.
+    pieces = [re.split(r"\{(\w+)\}", t) for t in TEMPLATES]
+    parts = [F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"), F.lit("\t")]
+    for i in range(max(map(len, pieces))):
+        here = [p[i] if i < len(p) else "" for p in pieces]
+        if i % 2:
+            draw = _hash(line, seed, f"slot {i}")
+            parts.append(_value(here, template, draw, seed, moment))
+        else:
+            parts.append(_lookup(here, template))
     return F.concat(*parts)
 
 

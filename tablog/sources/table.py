@@ -64,6 +64,7 @@ def log_from_texts(
         frame=text_rows(df, text, key, separator, max_rows),
         order=("file_key", "line_number"),
         separator=separator,
+        lines=True,
         raw=separator in RAW_SEPARATORS,
         summarize=lambda: _text_summary(df, text, key, separator, max_rows),
     )

@@ -96,6 +96,7 @@ def read_log(
         frame=frame,
         order=("line_number",) if facts["files"] <= 1 else ("block_no", "line_number"),
         separator=separator,
+        lines=True,
         raw=separator in RAW_SEPARATORS and not (malformed and on_malformed == "keep"),
         columns=facts["columns"] if exact else None,
         total=None if dropped else facts["kept"],

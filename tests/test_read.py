@@ -167,14 +167,10 @@ def test_many_blocks_are_ranked_by_a_sort(spark, write, tmp_path, tiny_splits, m
 
 
 def test_changed_files_are_noticed(spark, write):
-    path = write("a", b"x\n" * 10)
-    log = read_log(spark, path)
-    write("a", b"xyz\n" * 5)
-    with pytest.raises(Exception, match="changed while being read|FILE_NOT_EXIST|READ_FILE"):
+    log = read_log(spark, write("a", b"x\n" * 10))
+    write("a", b"\n" * 20)
+    with pytest.raises(Exception, match="changed while being read"):
         log.frame.select(F.max("line_number")).collect()
-        write("a", b"\n" * 20)
-        read = log.frame.select(F.sum("line_number")).collect()
-        raise AssertionError(read)
 
 
 @pytest.mark.parametrize("cap,rows,truncated", [(5, 5, True), (6, 6, False), (0, 0, True)])
