@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablog.plans.durable import attach, durable, scratch_path
+from tablog.plans.durable import attach, broadcast_limit, durable, scratch_path
 
 # Tables up to this size (one row per split, partition, …) are ranked by a
 # single window task; larger ones by a distributed sort.
@@ -15,6 +15,8 @@ WINDOW_ROWS = 1_000_000
 # monotonically_increasing_id keeps the row's index in its partition in the
 # lower bits and the partition in the bits above.
 _INDEX_BITS = 33
+# Size of one entry of a broadcast table of running totals, with overhead.
+_ENTRY_BYTES = 64
 # Running totals are taken over chunks of this many neighbouring keys (as bits).
 _CHUNK_BITS = 16
 
@@ -30,12 +32,13 @@ class SortedTable:
     frame: DataFrame
     starts: DataFrame
     total: int
+    small: bool
 
     def positions(self, name: str = "position") -> DataFrame:
         index = F.col("mid").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
         keyed = self.frame.withColumn("part", F.shiftright("mid", _INDEX_BITS))
         return (
-            attach(keyed, self.starts, ["part"], spread="mid", how="inner")
+            attach(keyed, self.starts, ["part"], spread="mid", how="inner", small=self.small)
             .withColumn(name, F.col("first") + index)
             .drop("part", "first", "mid")
         )
@@ -50,8 +53,8 @@ class SortedTable:
         return (row["part"] << _INDEX_BITS) + position - row["first"]
 
 
-def sorted_table(df: DataFrame, keys: list[Column]) -> SortedTable:
-    """Sort once and write the result to the shared folder.
+def sorted_table(df: DataFrame, keys: list[Column], kept: list[str]) -> SortedTable:
+    """Sort once and write the ``kept`` columns to the shared folder.
 
     The written copy is what makes positions exact: a range sort samples its
     boundaries anew each time it is evaluated.  It is columnar, so counting
@@ -59,34 +62,41 @@ def sorted_table(df: DataFrame, keys: list[Column]) -> SortedTable:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "sorted")
-    df.orderBy(*keys).withColumn("mid", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.orderBy(*keys).select(*kept, F.monotonically_increasing_id().alias("mid"))
+    rows.write.parquet(path)
     stored = spark.read.parquet(path)
     parts = durable(
         stored.groupBy(F.shiftright("mid", _INDEX_BITS).alias("part")).agg(
             F.count(F.lit(1)).alias("rows")
         )
     )
-    starts = durable(_running(parts, "part"))
-    total = parts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    return SortedTable(stored, starts.select("part", "first"), total)
+    count, total = _size(parts)
+    starts = _running(parts, "part", count).select("part", "first")
+    return SortedTable(stored, starts, total, count * _ENTRY_BYTES <= broadcast_limit(spark))
 
 
-def _running(counts: DataFrame, key: str) -> DataFrame:
+def _size(counts: DataFrame) -> tuple[int, int]:
+    """Number of entries and sum of their rows."""
+    return tuple(counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first())
+
+
+def _running(counts: DataFrame, key: str, entries: int) -> DataFrame:
     """``first``: the number of rows of all smaller keys (unique integers).
 
-    Added up in chunks of neighbouring keys, then over the chunks, so that no
-    task meets all keys.
+    More than a few entries are added up in chunks of neighbouring keys, then
+    over the chunks, so that no task meets all of them.
     """
+    ahead = (Window.unboundedPreceding, -1)
+
+    def before(rows: str, window) -> Column:
+        return F.coalesce(F.sum(rows).over(window.rowsBetween(*ahead)), F.lit(0))
+
+    if entries <= WINDOW_ROWS:
+        return counts.withColumn("first", before("rows", Window.orderBy(key)))
     chunked = counts.withColumn("chunk", F.shiftright(key, _CHUNK_BITS))
     sums = chunked.groupBy("chunk").agg(F.sum("rows").alias("chunk_rows"))
-    ahead = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(
-        "chunk", F.coalesce(F.sum("chunk_rows").over(ahead), F.lit(0)).alias("base")
-    )
-    before = (
-        Window.partitionBy("chunk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    inside = F.coalesce(F.sum("rows").over(before), F.lit(0))
+    bases = sums.select("chunk", before("chunk_rows", Window.orderBy("chunk")).alias("base"))
+    inside = before("rows", Window.partitionBy("chunk").orderBy(key))
     return (
         chunked.withColumn("inside", inside)
         .join(bases, "chunk")
@@ -100,7 +110,7 @@ def rank_rows(df: DataFrame, keys: list[str], name: str, rows: int) -> DataFrame
     if rows <= WINDOW_ROWS:
         rank = F.row_number().over(Window.orderBy(*keys)).cast("bigint") - 1
         return df.withColumn(name, rank)
-    return sorted_table(df, [F.col(k) for k in keys]).positions(name)
+    return sorted_table(df, [F.col(k) for k in keys], df.columns).positions(name)
 
 
 def number_blocked(df: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -115,12 +125,13 @@ def number_blocked(df: DataFrame, name: str) -> tuple[DataFrame, int]:
             F.count(F.lit(1)).alias("rows"), F.min("mid").alias("first_mid")
         )
     )
-    starts = durable(_running(counts, "block_no"))
-    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    count, total = _size(counts)
+    starts = _running(counts, "block_no", count)
+    small = count * _ENTRY_BYTES <= broadcast_limit(df.sparkSession)
     offset = F.col("mid") - F.col("first_mid")
     moved = F.raise_error("the rows changed while being counted").cast("bigint")
     place = F.when(offset.between(0, F.col("rows") - 1), F.col("first") + offset)
-    numbered = attach(marked, starts, ["block_no"], spread="mid").withColumn(
+    numbered = attach(marked, starts, ["block_no"], spread="mid", small=small).withColumn(
         name, place.otherwise(moved)
     )
     return numbered.drop("mid", "rows", "first_mid", "first"), total

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,15 +30,15 @@ def with_positions(view: View) -> DataFrame:
         if not sort.ascending:
             numbered = numbered.withColumn("position", F.lit(total - 1) - F.col("position"))
         return numbered.select(*POSITIONED)
-    return view.sorted.positions().select(*POSITIONED)
+    return view.show(view.sorted.positions(), "position")
 
 
 def _near(view: View, end: int) -> DataFrame:
     """The first ``end`` rows (few) with their positions."""
-    keys = view.keys()
-    rank = F.row_number().over(Window.orderBy(*keys)).cast("bigint") - 1
-    top = view.filtered.orderBy(*keys).limit(end)
-    return top.withColumn("position", rank).select(*POSITIONED)
+    df, order = view.sortable()
+    rank = F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1
+    top = df.orderBy(*order).limit(end)
+    return view.show(top.withColumn("position", rank), "position")
 
 
 def _slice(view: View, start: int, end: int) -> DataFrame:
@@ -56,8 +57,8 @@ def _slice(view: View, start: int, end: int) -> DataFrame:
     # The stored row ids rise with the position: only row groups of the
     # requested range are read.
     inside = F.col("mid").between(table.mid_of(start), table.mid_of(end - 1))
-    part = type(table)(table.frame.where(inside), table.starts, table.total)
-    return part.positions().select(*POSITIONED)
+    part = replace(table, frame=table.frame.where(inside))
+    return view.show(part.positions(), "position")
 
 
 def page(view: View, offset: int, limit: int) -> DataFrame:
@@ -84,6 +85,9 @@ def rows_at(view: View, positions: Iterable[int] | DataFrame) -> DataFrame:
             with_positions(view), chosen, ["position"], spread="position", how="left_semi"
         )
     wanted = sorted({p for p in positions if p >= 0})
+    if wanted and wanted[-1] >= NEAR_ROWS:  # counting is cheaper than numbering
+        rows = view.count()
+        wanted = [p for p in wanted if p < rows]
     if not wanted:
         return _near(view, 0)
     if wanted[-1] < NEAR_ROWS:

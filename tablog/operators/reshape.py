@@ -80,4 +80,4 @@ def load_summary(log: Log) -> DataFrame:
 def export_lines(view: View, visible: list[int] | None = None) -> DataFrame:
     """The view's rows as output lines, in view order."""
     shown = view.visible_columns() if visible is None else visible
-    return view.ordered().select(visible_line(view.log.fields, shown).alias("value"))
+    return view.ordered(visible_line(view.log.fields, shown).alias("value"))

@@ -7,9 +7,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablog.functions.text import folded, padded_field
+from tablog.functions.text import folded, split_fields
 from tablog.operators.filters import spec_predicate
-from tablog.operators.numbering import SortedTable, number_blocked, sorted_table
+from tablog.operators.numbering import SortedTable, sorted_table
 from tablog.plans.log import Log
 from tablog.plans.spec import ViewSpec
 
@@ -47,26 +47,64 @@ class View:
         sort = self.spec.sort
         if sort.by_line:
             return [(F.col(name), sort.ascending) for name in self.log.order]
-        text = padded_field(self.log.fields, sort.column)
+        text = F.coalesce(self.log.field(sort.column), F.lit(""))
         ties = [(F.col(name), True) for name in self.log.order]
         return [(folded(text, self.spec.text_order), sort.ascending), *ties]
 
-    def keys(self) -> list[Column]:
-        own = list(self.spec.order_by)
-        return own + [c.asc() if up else c.desc() for c, up in self.key_parts()]
+    @property
+    def kept(self) -> list[str]:
+        """Columns a row needs to be shown; a line stands in for its fields.
+
+        A line is a fraction of the size of its fields in a shuffle and is
+        split again afterwards.
+        """
+        body = "value" if self.log.lines else "fields"
+        names = ["file_name", *self.log.order, "line_number", body]
+        return list(dict.fromkeys(names))
 
-    def ordered(self) -> DataFrame:
-        """The rows in view order.
+    def sortable(self, *columns: Column) -> tuple[DataFrame, list[Column]]:
+        """The rows (``columns``, or :attr:`kept`) with the keys to sort them by.
 
-        A line-order request on a scan that already is in line order needs no
-        sort.
+        The text key is a column of its own, so that sorting does not compute
+        it at each comparison.
         """
-        if self.by_line and self.spec.sort.ascending and self.log.in_order:
-            return self.filtered
-        return self.filtered.orderBy(*self.keys())
+        if self.spec.order_by:  # may name any column
+            own = [c.asc() if up else c.desc() for c, up in self.key_parts()]
+            extra = [c.alias(f"_out{i}") for i, c in enumerate(columns)]
+            return self.filtered.select("*", *extra), [*self.spec.order_by, *own]
+        keys, order = [], []
+        for key, up in self.key_parts():
+            name = f"_key{len(order)}"
+            keys.append(key.alias(name))
+            order.append(F.col(name).asc() if up else F.col(name).desc())
+        chosen = [c.alias(f"_out{i}") for i, c in enumerate(columns)] or self.kept
+        return self.filtered.select(*chosen, *keys), order
+
+    def show(self, df: DataFrame, *more: str) -> DataFrame:
+        """Rows of :attr:`kept` columns as they are shown, with ``more`` in front."""
+        fields = F.col("fields")
+        if self.log.lines:
+            fields = split_fields(F.col("value"), self.log.separator).alias("fields")
+        return df.select(*more, "file_name", "line_number", fields)
+
+    @property
+    def needs_sort(self) -> bool:
+        """False if the scan already meets the rows in view order."""
+        return not (self.by_line and self.spec.sort.ascending and self.log.in_order)
+
+    def ordered(self, line: Column) -> DataFrame:
+        """One output column of the view, in view order."""
+        if not self.needs_sort:
+            return self.filtered.select(line)
+        df, order = self.sortable(line)
+        return df.orderBy(*order).select(F.col("_out0").alias("value"))
 
     def rows(self) -> DataFrame:
-        return self.ordered().select(*SHOWN)
+        """The rows of the view in view order."""
+        if not self.needs_sort:
+            return self.filtered.select(*SHOWN)
+        df, order = self.sortable()
+        return self.show(df.orderBy(*order))
 
     def count(self) -> int:
         if self.unfiltered and self.log.total is not None:
@@ -81,10 +119,8 @@ class View:
     @cached_property
     def sorted(self) -> SortedTable:
         """The view sorted and written once, shared by all lookups by position."""
-        kept = [*SHOWN, *[name for name in self.log.order if name not in SHOWN]]
-        # Sort keys of the caller may name any column of the frame.
-        frame = self.filtered if self.spec.order_by else self.filtered.select(*kept)
-        return sorted_table(frame, self.keys())
+        df, order = self.sortable()
+        return sorted_table(df, order, self.kept)
 
     def visible_columns(self) -> list[int]:
         return self.spec.visible(self.log.known_columns())

@@ -31,10 +31,10 @@ def write_view(
     visible = view.visible_columns()
     line = _line(view, visible, on_conflict)
     if single_file:
-        rows = view.filtered.repartition(1).sortWithinPartitions(*view.keys())
-    else:
-        rows = view.ordered()
-    return _write(rows.select(line), path, compression)
+        df, order = view.sortable(line)
+        rows = df.repartition(1).sortWithinPartitions(*order)
+        return _write(rows.select(F.col("_out0").alias("value")), path, compression)
+    return _write(view.ordered(line), path, compression)
 
 
 def write_rows_at(

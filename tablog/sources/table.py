@@ -30,7 +30,7 @@ def log_from_table(
         raise ValueError("give either line_number or order_by")
     total = None
     if line_number is None:
-        table = sorted_table(df, order_by)
+        table = sorted_table(df, order_by, df.columns)
         df, total = table.positions("_position"), table.total
         line_number, dense = F.col("_position") + 1, True
     fields = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
@@ -72,8 +72,11 @@ def log_from_texts(
 
 def _lines(text: str) -> Column:
     """The lines of a text; a final line end adds no line."""
-    body = F.regexp_replace(F.col(text), "(?:\\r\\n|\\r|\\n)\\z", "")
-    return F.split(body, "\\r\\n|\\r|\\n", -1)
+    # Byte-wise replacements and a one-character split: no regex engine.
+    one_end = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
+    body = F.replace(one_end, F.lit("\r"), F.lit("\n"))
+    open_end = F.when(F.endswith(body, F.lit("\n")), F.left(body, F.length(body) - 1))
+    return F.split(open_end.otherwise(body), "\n", -1)
 
 
 def _text_summary(
