@@ -21,6 +21,7 @@ from tablog.sources.checks import (
     binary_files,
     malformed_lines,
 )
+from tablog.sources.stored import open_log, store_log
 from tablog.sources.table import log_from_table, log_from_texts
 from tablog.sources.text import read_log
 
@@ -46,12 +47,14 @@ __all__ = [
     "log_from_table",
     "log_from_texts",
     "malformed_lines",
+    "open_log",
     "page",
     "position_table",
     "read_log",
     "row_range",
     "row_text",
     "rows_at",
+    "store_log",
     "wide_table",
     "with_positions",
     "write_rows_at",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablog.functions.text import INT_MAX, parse_line_number
-from tablog.operators.positions import with_positions
+from tablog.operators.positions import line_positions
 from tablog.plans.durable import attach
 from tablog.plans.view import View
 
@@ -34,7 +34,7 @@ def find_positions(view: View, line_numbers: list[int]) -> dict[int, int]:
     found = dict.fromkeys(wanted, -1)
     if view.spec.order_by:
         # The caller's sort columns may carry any direction: number the view.
-        rows = with_positions(view).where(F.col("line_number").isin(wanted))
+        rows = line_positions(view).where(F.col("line_number").isin(wanted))
         first = rows.groupBy("line_number").agg(F.min("position").alias("position"))
         return found | {r["line_number"]: r["position"] for r in first.collect()}
 
@@ -96,7 +96,7 @@ def position_table(view: View, lines: DataFrame) -> DataFrame:
     """``line_number, position`` for a table of line numbers (-1: not in the view)."""
     wanted = lines.select(F.col("line_number").cast("bigint")).distinct()
     shown = attach(
-        with_positions(view).select("line_number", "position"),
+        line_positions(view),
         wanted,
         ["line_number"],
         spread="position",

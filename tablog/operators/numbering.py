@@ -53,7 +53,7 @@ class SortedTable:
         return (row["part"] << _INDEX_BITS) + position - row["first"]
 
 
-def sorted_table(df: DataFrame, keys: list[Column], kept: list[str]) -> SortedTable:
+def sorted_table(df: DataFrame, keys: list[Column], kept: list) -> SortedTable:
     """Sort once and write the ``kept`` columns to the shared folder.
 
     The written copy is what makes positions exact: a range sort samples its

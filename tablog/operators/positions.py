@@ -20,6 +20,20 @@ POSITIONED = ("position", *SHOWN)
 
 def with_positions(view: View) -> DataFrame:
     """``position`` (0-based, BIGINT) for every row of the view, unordered."""
+    placed = _in_line_order(view)
+    return view.show(view.sorted.positions(), "position") if placed is None else placed
+
+
+def line_positions(view: View) -> DataFrame:
+    """``position, line_number`` for every row of the view, unordered."""
+    placed = _in_line_order(view)
+    if placed is None:
+        placed = view.sorted_lines.positions()
+    return placed.select("position", "line_number")
+
+
+def _in_line_order(view: View) -> DataFrame | None:
+    """The numbered rows if they need no sort."""
     log, sort = view.log, view.spec.sort
     if view.by_line and view.unfiltered and log.dense and (sort.ascending or log.total is not None):
         line = F.col("line_number")
@@ -30,7 +44,7 @@ def with_positions(view: View) -> DataFrame:
         if not sort.ascending:
             numbered = numbered.withColumn("position", F.lit(total - 1) - F.col("position"))
         return numbered.select(*POSITIONED)
-    return view.show(view.sorted.positions(), "position")
+    return None
 
 
 def _near(view: View, end: int) -> DataFrame:

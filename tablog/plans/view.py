@@ -122,5 +122,13 @@ class View:
         df, order = self.sortable()
         return sorted_table(df, order, self.kept)
 
+    @cached_property
+    def sorted_lines(self) -> SortedTable:
+        """Like :attr:`sorted` with nothing but the line numbers to carry."""
+        if "sorted" in vars(self):
+            return self.sorted
+        df, order = self.sortable(F.col("line_number"))
+        return sorted_table(df, order, [F.col("_out0").alias("line_number")])
+
     def visible_columns(self) -> list[int]:
         return self.spec.visible(self.log.known_columns())

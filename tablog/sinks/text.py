@@ -12,6 +12,9 @@ from tablog.operators.positions import rows_at
 from tablog.operators.reshape import LINE_END, OUTPUT_SEPARATOR, visible_line
 from tablog.plans.view import View
 
+# Fixed value: a single file is one text of at most this many bytes.
+SINGLE_FILE_BYTES = 2**31 - 1
+
 
 def write_view(
     view: View,
@@ -24,7 +27,8 @@ def write_view(
 
     Lines are tab-separated, end with CR LF and carry no header and no line
     number.  ``path`` becomes a folder of part files in name order, replacing
-    what was there.  An empty view writes nothing.
+    what was there; ``single_file`` writes one part, up to 2 GB.  An empty view
+    writes nothing.
     """
     if view.is_empty():
         return 0
@@ -32,6 +36,7 @@ def write_view(
     line = _line(view, visible, on_conflict)
     if single_file:
         df, order = view.sortable(line)
+        _check_one_task(df, "_out0")
         rows = df.repartition(1).sortWithinPartitions(*order)
         return _write(rows.select(F.col("_out0").alias("value")), path, compression)
     return _write(view.ordered(line), path, compression)
@@ -60,11 +65,20 @@ def write_rows_at(
     if not visible or view.is_empty():
         return 0
     chosen = rows_at(view, positions)
+    lines = chosen.select("position", _line(view, visible, on_conflict))
     if single_file:
-        rows = chosen.repartition(1).sortWithinPartitions("position")
+        _check_one_task(lines, "value")
+        lines = lines.repartition(1).sortWithinPartitions("position")
     else:
-        rows = chosen.orderBy("position")
-    return _write(rows.select(_line(view, visible, on_conflict)), path, compression)
+        lines = lines.orderBy("position")
+    return _write(lines.select("value"), path, compression)
+
+
+def _check_one_task(lines: DataFrame, column: str) -> None:
+    """Refuse to push more than a file's worth of text through one task."""
+    size = lines.agg(F.coalesce(F.sum(F.octet_length(column) + len(LINE_END)), F.lit(0)))
+    if size.first()[0] > SINGLE_FILE_BYTES:
+        raise ValueError("too much text for a single file; write part files instead")
 
 
 def _line(view: View, visible: list[int], on_conflict: str) -> Column:

@@ -106,3 +106,18 @@ def test_compressed(spark, make_log, tmp_path):
     assert write_view(View(make_log(ROWS)), out, compression="gzip") == 3
     back = read_log(spark, out)
     assert sorted(r["fields"] for r in back.rows.collect()) == sorted(ROWS)
+
+
+def test_single_file_is_bounded(make_log, tmp_path, monkeypatch):
+    from tablog.sinks import text
+
+    monkeypatch.setattr(text, "SINGLE_FILE_BYTES", 10)
+    out = tmp_path / "out"
+    for write_it in (
+        lambda **o: write_view(View(make_log(ROWS)), str(out), **o),
+        lambda **o: write_rows_at(View(make_log(ROWS)), [0, 1], str(out), **o),
+    ):
+        with pytest.raises(ValueError, match="part files"):
+            write_it(single_file=True)
+        assert not out.exists()
+    assert write_view(View(make_log(ROWS)), str(out)) == 3
