@@ -114,8 +114,9 @@ FLAGSHIP = dict(
 def filter_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two conditions, sort by a column, visible columns, position in the view."""
     view = event_view(spark, sf_dir, **FLAGSHIP)
-    line = visible_line(F.col("fields"), view.visible_columns())
-    return tl.with_positions(view).select("position", "line_number", line.alias("line"))
+    placed = tl.with_positions(view)
+    line = visible_line(tl.Log(placed), view.visible_columns())
+    return placed.select("position", "line_number", line.alias("line"))
 
 
 def sort_column_asc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +138,7 @@ def sort_line_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sort_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The caller's own sort expression in front: widest lines first."""
-    view = document_view(spark, sf_dir, order_by=(F.size("fields").desc(),))
+    view = document_view(spark, sf_dir, order_by=((F.size("fields"), False),))
     return lines_of(tl.with_positions(view), "position")
 
 

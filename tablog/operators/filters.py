@@ -51,11 +51,11 @@ def _substring(log: Log, column: int | None, query: str) -> Column:
 
 def _test_fields(log: Log, column: int | None, test) -> Column:
     if column is not None:
-        if column < 0 or (log.rectangular and column >= log.columns):
+        if column < 0 or (log.cells and column >= len(log.cells)):
             return F.lit(False)
         return F.coalesce(test(log.field(column)), F.lit(False))
-    if log.rectangular:  # plain columns: prunable and compiled with the scan
-        tests = [test(log.field(i)) for i in range(log.columns)]
+    if log.cells:  # plain columns: prunable and compiled with the scan
+        tests = [test(F.col(cell)) for cell in log.cells]
         return F.coalesce(reduce(Column.__or__, tests, F.lit(False)), F.lit(False))
     return F.coalesce(F.exists(log.fields, test), F.lit(False))
 

@@ -33,12 +33,12 @@ def find_positions(view: View, line_numbers: list[int]) -> dict[int, int]:
         raise ValueError("use position_table for many lines")
     found = dict.fromkeys(wanted, -1)
     if view.spec.order_by:
-        # The caller's sort columns may carry any direction: number the view.
+        # The caller's sort keys may be NULL: number the view.
         rows = line_positions(view).where(F.col("line_number").isin(wanted))
         first = rows.groupBy("line_number").agg(F.min("position").alias("position"))
         return found | {r["line_number"]: r["position"] for r in first.collect()}
 
-    parts = view.key_parts()
+    parts = view.key_parts() + [(F.col(n), view.ties_ascend) for n in view.log.order]
     names = [f"_key{i}" for i in range(len(parts))]
     ups = [up for _, up in parts]
     keyed = view.filtered.select(

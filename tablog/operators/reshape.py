@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablog.functions.text import join_fields, pad_fields, padded_field
+from tablog.functions.text import join_fields, pad_fields
 from tablog.plans.log import Log
 from tablog.plans.view import View
 
@@ -18,9 +18,7 @@ def wide_table(log: Log, columns: int | None = None, hidden=()) -> DataFrame:
     """``col_0 … col_{n-1}`` with short rows padded; ``n`` is found if not given."""
     n = log.known_columns() if columns is None else columns
     gone = set(hidden)
-    cells = [
-        padded_field(log.fields, i).alias(f"col_{i}") for i in range(n) if i not in gone
-    ]
+    cells = [log.padded(i).alias(f"col_{i}") for i in range(n) if i not in gone]
     return log.frame.select("file_name", "line_number", *cells)
 
 
@@ -29,11 +27,9 @@ def row_text(fields: Column, separator: str = OUTPUT_SEPARATOR) -> Column:
     return F.array_join(fields, separator)
 
 
-def visible_line(
-    fields: Column, visible: list[int], separator: str = OUTPUT_SEPARATOR
-) -> Column:
+def visible_line(log: Log, visible: list[int], separator: str = OUTPUT_SEPARATOR) -> Column:
     """The visible fields as one output line, missing ones empty."""
-    return join_fields([padded_field(fields, i) for i in visible], separator)
+    return join_fields([log.padded(i) for i in visible], separator)
 
 
 def visible_fields(fields: Column, hidden: Column, columns: int) -> Column:
@@ -80,4 +76,4 @@ def load_summary(log: Log) -> DataFrame:
 def export_lines(view: View, visible: list[int] | None = None) -> DataFrame:
     """The view's rows as output lines, in view order."""
     shown = view.visible_columns() if visible is None else visible
-    return view.ordered(visible_line(view.log.fields, shown).alias("value"))
+    return view.ordered(visible_line(view.log, shown).alias("value"))

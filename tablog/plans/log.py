@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablog.functions.text import line_field, raw_field
+from tablog.functions.text import line_field, raw_field, split_fields
 
 
 @dataclass(frozen=True, eq=False)
@@ -22,7 +22,8 @@ class Log:
     * ``lines``: ``value`` holds the line the fields were split from.
     * ``raw``: that line can be searched instead of the fields.
     * ``columns``: number of columns if already known.
-    * ``rectangular``: every row has exactly ``columns`` fields.
+    * ``cells``: the columns the fields were made of, in a table of rows of
+      one width; each can be read without the others.
     * ``total``: number of rows if already known.
     * ``dense``: line numbers are 1, 2, … without gaps over the whole log.
     * ``blocked``: rows of a ``block_no`` are contiguous in one partition and
@@ -37,7 +38,7 @@ class Log:
     lines: bool = False
     raw: bool = False
     columns: int | None = None
-    rectangular: bool = False
+    cells: tuple[str, ...] = ()
     total: int | None = None
     max_line: int | None = None
     dense: bool = False
@@ -55,11 +56,30 @@ class Log:
 
     def field(self, index: int) -> Column:
         """One field, or NULL where the row has no such column."""
-        if index < 0:
-            return F.lit(None).cast("string")
-        if self.lines:
+        if index >= 0 and self.lines:
             return line_field(F.col("value"), self.separator, index)
-        return raw_field(self.fields, index)
+        return self.cell(index)
+
+    def cell(self, index: int) -> Column:
+        """Like :meth:`field`, for when several fields of a row are wanted."""
+        if 0 <= index < len(self.cells):
+            return F.col(self.cells[index])
+        return raw_field(self.fields, -1 if self.cells else index)
+
+    def padded(self, index: int) -> Column:
+        """One field of several, empty where the row has no such column."""
+        return F.coalesce(self.cell(index), F.lit(""))
+
+    @property
+    def body(self) -> tuple[str, ...]:
+        """The columns that carry a row's fields most compactly."""
+        return ("value",) if self.lines else self.cells or ("fields",)
+
+    def from_body(self) -> Column:
+        """The fields, made anew from :attr:`body`."""
+        if self.lines:
+            return split_fields(F.col("value"), self.separator).alias("fields")
+        return F.array(*self.cells).alias("fields") if self.cells else self.fields
 
     def known_columns(self) -> int:
         """Widest row; 0 for an empty log."""
@@ -77,7 +97,7 @@ class Log:
         return replace(
             self,
             frame=self.frame.where(F.col("file_name") == file_name),
-            columns=self.columns if self.rectangular else None,
+            columns=len(self.cells) or None,
             total=None,
             max_line=None,
             dense=False,

@@ -43,14 +43,14 @@ class ViewSpec:
     ``conditions`` are ANDed and may mix :class:`Condition` with any boolean
     ``Column``.  ``single`` applies only while the list is empty; a list of
     blank conditions still replaces it.  ``order_by`` puts the caller's own
-    sort expressions in front of ``sort``.
+    ``(expression, ascending)`` pairs in front of ``sort``.
     """
 
     conditions: tuple[Condition | Column, ...] = ()
     single: Condition | None = None
     sort: Sort = field(default_factory=Sort)
     hidden: tuple[int, ...] = ()
-    order_by: tuple[Column, ...] = ()
+    order_by: tuple[tuple[Column, bool], ...] = ()
     text_order: str = "utf8"
 
     def active_conditions(self) -> list[Condition | Column]:

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablog.functions.text import folded, split_fields
+from tablog.functions.text import folded
 from tablog.operators.filters import spec_predicate
 from tablog.operators.numbering import SortedTable, sorted_table
 from tablog.plans.log import Log
@@ -43,13 +43,16 @@ class View:
         return self.log.frame.where(spec_predicate(self.spec, self.log))
 
     def key_parts(self) -> list[tuple[Column, bool]]:
-        """Sort expressions with their direction (True: ascending)."""
-        sort = self.spec.sort
-        if sort.by_line:
-            return [(F.col(name), sort.ascending) for name in self.log.order]
-        text = F.coalesce(self.log.field(sort.column), F.lit(""))
-        ties = [(F.col(name), True) for name in self.log.order]
-        return [(folded(text, self.spec.text_order), sort.ascending), *ties]
+        """Sort expressions with their direction (True: ascending), ties aside."""
+        parts = list(self.spec.order_by)
+        if not self.spec.sort.by_line:
+            text = F.coalesce(self.log.field(self.spec.sort.column), F.lit(""))
+            parts.append((folded(text, self.spec.text_order), self.spec.sort.ascending))
+        return parts
+
+    @property
+    def ties_ascend(self) -> bool:
+        return self.spec.sort.ascending or not self.spec.sort.by_line
 
     @property
     def kept(self) -> list[str]:
@@ -58,34 +61,27 @@ class View:
         A line is a fraction of the size of its fields in a shuffle and is
         split again afterwards.
         """
-        body = "value" if self.log.lines else "fields"
-        names = ["file_name", *self.log.order, "line_number", body]
+        names = ["file_name", *self.log.order, "line_number", *self.log.body]
         return list(dict.fromkeys(names))
 
     def sortable(self, *columns: Column) -> tuple[DataFrame, list[Column]]:
         """The rows (``columns``, or :attr:`kept`) with the keys to sort them by.
 
-        The text key is a column of its own, so that sorting does not compute
-        it at each comparison.
+        Each key is a column of its own, so that sorting does not compute it at
+        each comparison; the columns of the log's order break ties.
         """
-        if self.spec.order_by:  # may name any column
-            own = [c.asc() if up else c.desc() for c, up in self.key_parts()]
-            extra = [c.alias(f"_out{i}") for i, c in enumerate(columns)]
-            return self.filtered.select("*", *extra), [*self.spec.order_by, *own]
-        keys, order = [], []
-        for key, up in self.key_parts():
-            name = f"_key{len(order)}"
-            keys.append(key.alias(name))
-            order.append(F.col(name).asc() if up else F.col(name).desc())
-        chosen = [c.alias(f"_out{i}") for i, c in enumerate(columns)] or self.kept
+        chosen = [c.alias(f"_out{i}") for i, c in enumerate(columns)]
+        chosen = [*chosen, *self.log.order] if columns else self.kept
+        parts = self.key_parts()
+        keys = [key.alias(f"_key{i}") for i, (key, _) in enumerate(parts)]
+        names = [f"_key{i}" for i in range(len(parts))] + list(self.log.order)
+        ups = [up for _, up in parts] + [self.ties_ascend] * len(self.log.order)
+        order = [F.col(n).asc() if up else F.col(n).desc() for n, up in zip(names, ups)]
         return self.filtered.select(*chosen, *keys), order
 
     def show(self, df: DataFrame, *more: str) -> DataFrame:
         """Rows of :attr:`kept` columns as they are shown, with ``more`` in front."""
-        fields = F.col("fields")
-        if self.log.lines:
-            fields = split_fields(F.col("value"), self.log.separator).alias("fields")
-        return df.select(*more, "file_name", "line_number", fields)
+        return df.select(*more, "file_name", "line_number", self.log.from_body())
 
     @property
     def needs_sort(self) -> bool:

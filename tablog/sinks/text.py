@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tablog.functions.text import padded_field
+from tablog.functions.text import join_fields
 from tablog.operators.positions import rows_at
 from tablog.operators.reshape import LINE_END, OUTPUT_SEPARATOR, visible_line
+from tablog.plans.log import Log
 from tablog.plans.view import View
 
 # Fixed value: a single file is one text of at most this many bytes.
@@ -33,7 +34,7 @@ def write_view(
     if view.is_empty():
         return 0
     visible = view.visible_columns()
-    line = _line(view, visible, on_conflict)
+    line = _line(view.log, visible, on_conflict, _clean(view))
     if single_file:
         df, order = view.sortable(line)
         _check_one_task(df, "_out0")
@@ -65,7 +66,8 @@ def write_rows_at(
     if not visible or view.is_empty():
         return 0
     chosen = rows_at(view, positions)
-    lines = chosen.select("position", _line(view, visible, on_conflict))
+    line = _line(Log(chosen), visible, on_conflict, _clean(view))
+    lines = chosen.select("position", line)
     if single_file:
         _check_one_task(lines, "value")
         lines = lines.repartition(1).sortWithinPartitions("position")
@@ -81,23 +83,27 @@ def _check_one_task(lines: DataFrame, column: str) -> None:
         raise ValueError("too much text for a single file; write part files instead")
 
 
-def _line(view: View, visible: list[int], on_conflict: str) -> Column:
+def _clean(view: View) -> bool:
+    """Fields split from lines at tabs hold neither tabs nor line ends."""
+    return view.log.lines and view.log.separator == OUTPUT_SEPARATOR
+
+
+def _line(log: Log, visible: list[int], on_conflict: str, clean: bool) -> Column:
     """The output line; what would not read back as one field is refused or spaced."""
-    fields = view.log.fields
     if on_conflict not in ("error", "replace"):
         raise ValueError(f"on_conflict must be 'error' or 'replace', not {on_conflict!r}")
-    from_file = "value" in view.log.frame.columns
-    if from_file and view.log.separator == OUTPUT_SEPARATOR:
-        return visible_line(fields, visible).alias("value")
+    line = visible_line(log, visible)
+    if clean:
+        return line.alias("value")
     special = "[\\t\\r\\n]"
     if on_conflict == "replace":
-        spaced = F.transform(fields, lambda f: F.regexp_replace(f, special, " "))
-        return visible_line(spaced, visible).alias("value")
+        spaced = [F.regexp_replace(log.padded(i), special, " ") for i in visible]
+        return join_fields(spaced, OUTPUT_SEPARATOR).alias("value")
     conflict = F.lit(False)
     for i in visible:
-        conflict = conflict | padded_field(fields, i).rlike(special)
+        conflict = conflict | log.padded(i).rlike(special)
     refused = F.raise_error("a field contains a tab or a line end").cast("string")
-    return F.when(conflict, refused).otherwise(visible_line(fields, visible)).alias("value")
+    return F.when(conflict, refused).otherwise(line).alias("value")
 
 
 def _write(lines: DataFrame, path: str, compression: str | None) -> int:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from tablog.functions.text import split_fields
 from tablog.plans.log import Log
 
 # Facts about a log that hold for its stored copy, too.
 FACTS = (
     "order array<string>, separator string, lines boolean, raw boolean, columns int, "
-    "rectangular boolean, total bigint, max_line bigint, dense boolean"
+    "cells array<string>, total bigint, max_line bigint, dense boolean"
 )
 
 
@@ -21,9 +21,8 @@ def store_log(log: Log, path: str) -> Log:
     Rows are written where they are, without a shuffle; the line stands in for
     its fields.  Opening the copy again needs no pass over the rows.
     """
-    kept = ["file_name", "line_number", "value" if log.lines else "fields"]
-    kept += [name for name in log.order if name not in kept]
-    log.frame.select(*kept).write.mode("overwrite").parquet(f"{path}/rows")
+    kept = ["file_name", "line_number", *log.order, *log.body]
+    log.frame.select(*dict.fromkeys(kept)).write.mode("overwrite").parquet(f"{path}/rows")
     spark = log.frame.sparkSession
     names = [fact.split()[0] for fact in FACTS.split(", ")]
     row = spark.createDataFrame([tuple(getattr(log, name) for name in names)], FACTS)
@@ -35,7 +34,9 @@ def open_log(spark: SparkSession, path: str) -> Log:
     """A log written by :func:`store_log`."""
     about = spark.read.schema(FACTS).json(f"{path}/about").first().asDict()
     rows = spark.read.parquet(f"{path}/rows")
-    if about["lines"]:
-        rows = rows.withColumn("fields", split_fields(F.col("value"), about["separator"]))
-    about["order"] = tuple(about["order"])
-    return Log(frame=rows, **about)
+    for name in ("order", "cells"):
+        about[name] = tuple(about[name])
+    log = Log(frame=rows, **about)
+    if "fields" not in rows.columns:
+        log = replace(log, frame=rows.select("*", log.from_body()))
+    return log

@@ -33,16 +33,18 @@ def log_from_table(
         table = sorted_table(df, order_by, df.columns)
         df, total = table.positions("_position"), table.total
         line_number, dense = F.col("_position") + 1, True
-    fields = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    cells = tuple(f"cell_{i}" for i in range(len(columns)))
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    rows = df.select(
+        F.lit(file_name).alias("file_name"),
+        line_number.cast("bigint").alias("line_number"),
+        *[text.alias(cell) for text, cell in zip(texts, cells)],
+    )
     return Log(
-        frame=df.select(
-            F.lit(file_name).alias("file_name"),
-            line_number.cast("bigint").alias("line_number"),
-            fields.alias("fields"),
-        ),
+        frame=rows.withColumn("fields", F.array(*cells)),
         separator=separator,
         columns=len(columns),
-        rectangular=True,
+        cells=cells,
         total=total,
         max_line=total,
         dense=dense,
@@ -72,11 +74,18 @@ def log_from_texts(
 
 def _lines(text: str) -> Column:
     """The lines of a text; a final line end adds no line."""
+    whole = F.col(text)
+
+    def without(end: str) -> Column:
+        return F.left(whole, F.length(whole) - len(end))
+
+    body = whole
+    for end in ("\r", "\n", "\r\n"):
+        body = F.when(F.endswith(whole, F.lit(end)), without(end)).otherwise(body)
     # Byte-wise replacements and a one-character split: no regex engine.
-    one_end = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
-    body = F.replace(one_end, F.lit("\r"), F.lit("\n"))
-    open_end = F.when(F.endswith(body, F.lit("\n")), F.left(body, F.length(body) - 1))
-    return F.split(open_end.otherwise(body), "\n", -1)
+    for end in ("\r\n", "\r"):
+        body = F.replace(body, F.lit(end), F.lit("\n"))
+    return F.split(body, "\n", -1)
 
 
 def _text_summary(
