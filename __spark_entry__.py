@@ -288,6 +288,13 @@ def read_back_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("position", tl.row_text(F.col("fields")).alias("text"))
 
 
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A numbered copy of the documents, searched and sorted again."""
+    log = tl.store_log(document_log(spark, sf_dir), scratch_path(spark, "stored"))
+    spec = tl.ViewSpec(conditions=(tl.Condition("/[a-z]+/", 1),), sort=tl.Sort(1))
+    return lines_of(tl.with_positions(tl.View(log, spec)), "position")
+
+
 def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as text files per language: rows and widest row."""
     path = scratch_path(spark, "documents")
@@ -461,6 +468,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "column_count": column_count,
         "text_roundtrip": text_roundtrip,
         "read_back_search": read_back_search,
+        "stored_log": stored_log,
         "file_summary": file_summary,
         "export_lines": export_lines,
         "export_selected": export_selected,
@@ -627,6 +635,9 @@ def oracle_sql() -> dict[str, str]:
         "text_roundtrip": f"WITH {EV} SELECT line_number - 1 AS position, {TEXT} FROM ev",
         "read_back_search": f"""WITH {EV} SELECT {positions("line_number DESC")}, {TEXT}
             FROM ev WHERE {FLAGSHIP_WHERE}""",
+        "stored_log": f"""WITH {DOC} SELECT {LINES},
+            {positions("lower(fields[2]), file_key, line_number")} FROM doc
+            WHERE coalesce(regexp_full_match(fields[2], '[a-z]+'), false)""",
         "file_summary": r"""SELECT lang, CAST(sum(len(lines)) AS BIGINT) AS rows,
               CAST(max(list_max([len(string_split(l, ' ')) FOR l IN lines])) AS BIGINT) AS columns,
               false AS truncated

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,14 +84,21 @@ class Log:
 
     def known_columns(self) -> int:
         """Widest row; 0 for an empty log."""
-        if self.columns is not None:
-            return self.columns
-        return self.frame.agg(F.coalesce(F.max(F.size("fields")), F.lit(0))).first()[0]
+        return self._measured[0] if self.columns is None else self.columns
 
     def known_max_line(self) -> int:
-        if self.max_line is not None:
-            return self.max_line
-        return self.frame.agg(F.coalesce(F.max("line_number"), F.lit(0))).first()[0]
+        return self._measured[1] if self.max_line is None else self.max_line
+
+    @cached_property
+    def _measured(self) -> tuple[int, int]:
+        """Facts the source did not know, from one pass over the rows."""
+        columns = F.lit(self.columns) if self.columns is not None else F.max(F.size("fields"))
+        zero = F.lit(0)
+        return tuple(
+            self.frame.agg(
+                F.coalesce(columns, zero), F.coalesce(F.max("line_number"), zero)
+            ).first()
+        )
 
     def one_file(self, file_name: str) -> Log:
         """The part of the log that came from one file."""

@@ -78,6 +78,28 @@ def test_own_predicate(make_log):
     assert passing(log, F.get("fields", F.lit(1)) == "a") == [1]
 
 
+def test_pandas_predicate(make_log):
+    import pandas as pd
+
+    @F.pandas_udf("boolean")
+    def palindrome(texts: pd.Series) -> pd.Series:
+        return texts == texts.str[::-1]
+
+    log = make_log([["anna"], ["bob", "x"], ["eve2"]])
+    assert passing(log, palindrome(F.get("fields", F.lit(0))), Condition("b")) == [1]
+
+
+def test_one_file(make_log, spark):
+    from dataclasses import replace
+
+    both = make_log([["a"], ["b"]], file_name="x").frame.union(
+        make_log([["a", "c"]], file_name="y").frame
+    )
+    log = replace(make_log([["a"]]), frame=both, order=("file_name", "line_number"), columns=2)
+    assert passing(log.one_file("x"), Condition("a")) == [0]
+    assert log.one_file("x").known_columns() == 1 and log.one_file("x").known_max_line() == 2
+
+
 def test_rebind():
     spec = ViewSpec(
         conditions=(Condition("x", 2), Condition("y", 5), Condition("z")),
