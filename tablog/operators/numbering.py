@@ -63,7 +63,7 @@ def sorted_table(df: DataFrame, keys: list[Column], kept: list) -> SortedTable:
     spark = df.sparkSession
     path = scratch_path(spark, "sorted")
     rows = df.orderBy(*keys).select(*kept, F.monotonically_increasing_id().alias("mid"))
-    rows.write.parquet(path)
+    rows.write.parquet(path, compression="zstd")
     stored = spark.read.parquet(path)
     parts = durable(
         stored.groupBy(F.shiftright("mid", _INDEX_BITS).alias("part")).agg(

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from tablog.plans.durable import attach, durable
 from tablog.plans.log import Log
-from tablog.sources.scan import Paths, frozen_session, list_files, rebase, text_lines
+from tablog.sources.scan import (
+    Paths,
+    distinct_paths,
+    frozen_session,
+    list_files,
+    rebase,
+    text_lines,
+)
 
 # Fixed value: a NUL byte among this many first bytes makes a file binary.
 HEAD_BYTES = 8192
@@ -59,6 +66,7 @@ def binary_paths(
 
 def binary_files(spark: SparkSession, paths: Paths, glob: str | None = None) -> DataFrame:
     """``file_name, file_path, is_binary`` of every input file."""
+    paths = distinct_paths(paths)
     found = binary_paths(spark, paths, glob).withColumn("is_binary", F.lit(True))
     return (
         list_files(spark, paths, glob)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,29 @@ def frozen_session(spark: SparkSession, **settings: str) -> SparkSession:
     return own
 
 
+def distinct_paths(paths: Paths) -> list[str]:
+    """The given paths, each once; a file reached in two ways is refused.
+
+    Spark would read such a file twice, and its lines would have two numbers.
+    """
+    given = [paths] if isinstance(paths, str) else list(paths)
+    names = list(dict.fromkeys(p.rstrip("/") or "/" for p in given))
+    parts = {name: name.split("/") for name in names}
+    globs = [name for name in names if re.search(r"[*?\[{]", name)]
+    for name in names:
+        folders = ("/".join(parts[name][:n]) for n in range(1, len(parts[name])))
+        covers = [f for f in folders if f in parts]
+        covers += [g for g in globs if g != name and _covers(parts[g], parts[name])]
+        if covers:
+            raise ValueError(f"{name} is also part of {covers[0]}")
+    return names
+
+
+def _covers(glob: list[str], path: list[str]) -> bool:
+    """Whether a path, or a folder it is in, matches a glob part by part."""
+    return len(glob) <= len(path) and all(map(fnmatch.fnmatchcase, path, glob))
+
+
 def rebase(spark: SparkSession, df: DataFrame) -> DataFrame:
     """The same plan seen from ``spark``; the empty branch is optimized away."""
     nothing = spark.range(1).where("false")

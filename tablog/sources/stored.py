@@ -22,7 +22,9 @@ def store_log(log: Log, path: str) -> Log:
     its fields.  Opening the copy again needs no pass over the rows.
     """
     kept = ["file_name", "line_number", *log.order, *log.body]
-    log.frame.select(*dict.fromkeys(kept)).write.mode("overwrite").parquet(f"{path}/rows")
+    log.frame.select(*dict.fromkeys(kept)).write.mode("overwrite").parquet(
+        f"{path}/rows", compression="zstd"
+    )
     spark = log.frame.sparkSession
     names = [fact.split()[0] for fact in FACTS.split(", ")]
     row = spark.createDataFrame([tuple(getattr(log, name) for name in names)], FACTS)

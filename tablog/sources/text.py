@@ -19,6 +19,7 @@ from tablog.sources.checks import (
 from tablog.sources.scan import (
     Paths,
     bare_name,
+    distinct_paths,
     frozen_session,
     list_files,
     rebase,
@@ -56,6 +57,7 @@ def read_log(
     _one_of("on_malformed", on_malformed, ("error", "drop", "replace", "keep"))
     if not separator:
         raise ValueError("the separator must not be empty")
+    paths = distinct_paths(paths)
     own = frozen_session(spark)
     lines = rebase(spark, text_lines(own, paths, glob))
 

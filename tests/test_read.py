@@ -247,6 +247,18 @@ def test_dropped_lines_keep_their_numbers(spark, write):
     assert [(r["position"], r["line_number"]) for r in placed] == [(0, 1), (1, 3)]
 
 
+def test_paths_given_twice(spark, write, tmp_path):
+    a, b = write("in/a", b"x\ny\n"), write("in/b", b"z\n")
+    assert View(read_log(spark, [a, a, b])).count() == 3
+    for paths in ([a, str(tmp_path / "in")], [str(tmp_path / "in/*"), a], [f"{tmp_path}/", a]):
+        with pytest.raises(ValueError, match="also part of"):
+            read_log(spark, paths)
+    other = write("in/sub/c.txt", b"w\n")
+    assert View(read_log(spark, [str(tmp_path / "in/?"), other])).count() == 4
+    with pytest.raises(ValueError, match="also part of"):
+        binary_files(spark, [a, str(tmp_path / "in")])
+
+
 def test_bad_options(spark, write):
     path = write("a", b"x")
     for options in ({"on_binary": "x"}, {"on_malformed": "x"}, {"separator": ""}):
