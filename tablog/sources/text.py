@@ -64,10 +64,12 @@ def read_log(
     profile = durable(_profile(lines, separator))
     splits, suspects = profile.agg(F.count(F.lit(1)), F.count_if("nul")).first()
     binary = _binary(spark, paths, glob, profile) if suspects else None
+    skipped = None
     if binary is not None:
         if on_binary == "error":
             names = [r[0] for r in binary.limit(5).collect()]
             raise BinaryFileError(f"binary files cannot be read: {names}")
+        skipped = profile.join(binary, "file_path", "left_semi")
         profile = profile.join(binary, "file_path", "left_anti")
     blocks = durable(_blocks(profile, max_rows, splits))
     facts = _facts(blocks)
@@ -79,8 +81,9 @@ def read_log(
         raise MalformedTextError(f"malformed UTF-8 at (file, line) {places}")
 
     unique = facts["keys"] == facts["blocks"]
-    small = facts["bytes"] <= broadcast_limit(spark)
-    frame = _number(lines, blocks, unique, small, binary is not None)
+    size = facts["bytes"] * splits / max(facts["blocks"], 1)  # skipped splits, too
+    small = size <= broadcast_limit(spark)
+    frame = _number(lines, blocks, skipped, unique, small)
     if facts["files"] == 1:
         names = {name: F.lit(facts[name]) for name in ("file_name", "file_path")}
         frame = frame.withColumns(names)
@@ -192,24 +195,21 @@ def _facts(blocks: DataFrame) -> dict:
 
 
 def _number(
-    lines: DataFrame, blocks: DataFrame, unique: bool, small: bool, partial: bool
+    lines: DataFrame, blocks: DataFrame, skipped: DataFrame | None, unique: bool, small: bool
 ) -> DataFrame:
     """Lines with their number, by a lookup of the split they came from."""
-    keys = ["block_key"] if unique else ["file_path", "block_start"]
-    keyed = lines.select("value", "mid", *_split_columns(unique))
-    lookup = blocks.select(
-        *keys,
-        *(["file_path"] if unique else []),
-        "file_name",
-        "first_mid",
-        "lines",
-        "lines_before",
-        "block_no",
-    )
-    if partial:  # lines of skipped files have no entry
-        found = attach(keyed, lookup, keys, spread="mid", how="inner", small=small)
-    else:
-        found = attach(keyed, lookup, keys, spread="mid", small=small)
+    place = ["file_path", "block_start"]
+    key = F.xxhash64(*place).alias("block_key")
+    keys = ["block_key"] if unique else place
+    keyed = lines.select("value", "mid", *([key] if unique else place))
+    shown = ["file_name", "first_mid", "lines", "lines_before", "block_no"]
+    lookup = blocks.select(*dict.fromkeys([*keys, "file_path"]), *shown)
+    if skipped is not None:  # known splits whose lines are left out
+        out = skipped.select(*place, key, F.lit(True).alias("out")).select(*keys, "out")
+        lookup = lookup.unionByName(out, allowMissingColumns=True)
+    found = attach(keyed, lookup, keys, spread="mid", small=small)
+    if skipped is not None:
+        found = found.where("out IS NULL")
     offset = F.col("mid") - F.col("first_mid")
     moved = F.raise_error("the input files changed while being read").cast("bigint")
     number = F.when(
@@ -220,12 +220,6 @@ def _number(
     )
 
 
-def _split_columns(unique: bool) -> list:
-    if unique:
-        return [F.xxhash64("file_path", "block_start").alias("block_key")]
-    return ["file_path", "block_start"]
-
-
 def _summary(
     files: DataFrame,
     blocks: DataFrame,
