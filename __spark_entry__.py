@@ -29,6 +29,14 @@ from tablog.plans.durable import scratch_path
 from tablog.sources.generate import log_line
 from tablog.sources.table import log_from_table, log_from_texts
 
+try:  # the training-data operators are a package of their own, which may be absent
+    import corpus_pipeline
+    from tablog.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("tablog.llm", "corpus_pipeline"):
+        raise
+    llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 EVENT_FIELDS = ["event_id", "user_id", "event_type", "props"]
 ORDER_FIELDS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
@@ -482,7 +490,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "explode_fields": explode_fields,
         "detail_text": detail_text,
         "line_labels": line_labels,
-    }
+    } | (llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {})
 
 
 # The logs in SQL: file_name, file_key, line_number, fields.
@@ -670,4 +678,4 @@ def oracle_sql() -> dict[str, str]:
                FOR i IN range(1, len(fields) + 1)], '') AS detail FROM doc""",
         "line_labels": f"""WITH {ORD} SELECT line_number,
             format('{{:,}}', line_number) AS label FROM ord""",
-    }
+    } | (llm.oracle_sql() if llm else {})
