@@ -4,13 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablog.llm.bpe import decode, encode
 from tablog.llm.columns import documents
 from tablog.llm.exact import exact_groups
 from tablog.llm.mixing import mix
 
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Every document's token ids, and what they decode to, as digests."""
+    ranks = public_tokenizers.path(RANKS)
+    rows = decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), keep="largest")
 
@@ -22,6 +45,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_byte_bpe": op3_byte_bpe,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_mixing": op9_mixing,
     }
