@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablog.llm.bpe import decode, encode
-from tablog.llm.columns import documents
+from tablog.llm.columns import documents, held_out
 from tablog.llm.exact import exact_groups
 from tablog.llm.mixing import mix
+from tablog.llm.quality import fit_rules, score_quality
 
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -43,11 +44,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_bpe": op3_byte_bpe,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_mixing": op9_mixing,
+        "op10_quality": op10_quality,
     }
 
 
