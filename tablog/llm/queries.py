@@ -13,6 +13,7 @@ from tablog.llm.columns import documents, held_out
 from tablog.llm.exact import exact_groups
 from tablog.llm.mixing import mix
 from tablog.llm.quality import fit_rules, score_quality
+from tablog.llm.toxicity import fit_sentences, score_toxicity
 
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +40,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), keep="largest")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_sentences(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        "predicted",
+        F.size("sentences").alias("n_offending"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -55,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_bpe": op3_byte_bpe,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
     }
