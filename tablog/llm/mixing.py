@@ -11,7 +11,7 @@ from tablog.llm.columns import named, whole_text, word_count
 from tablog.plans.durable import durable
 
 # Rows of a source per step of the running total, on average.
-ROWS_PER_STEP = 10_000
+ROWS_PER_STEP = 1_000
 PLAIN = r"[0-9!-/:-@\[-`{-~]"
 
 
@@ -77,7 +77,7 @@ def mix(
     within half a document of its target.
 
     The cut is found without sorting a source: keys fall into steps of about
-    10,000 rows, totals per step are added up, and only the step that holds
+    1,000 rows, totals per step are added up, and only the step that holds
     the cut is ordered.  The cuts, one row per source, are then joined to the
     documents, whose texts are not shuffled.
 
