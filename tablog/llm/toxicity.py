@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablog.llm.columns import named, whole_text
-from tablog.llm.labels import SAMPLE, training_rows
+from tablog.llm.labels import training_rows
 from tablog.llm.words import LOWER, Words, chunks, text_bytes
+from tablog.plans.durable import durable
 
-# Words learned about, and documents of the sample a word must be in.
+# Word beginnings of so many bytes are features beside whole words.
+STEMS = [4, 5, 6, 7, 8]
+# Features learned about, and documents of the sample one must be in.
 VOCABULARY = 2000
 LEAST_DOCS = 4
 STEPS = 300
+SAMPLE = 10_000
 
 # A word is a run of ASCII letters and of bytes from 0x80 on; a sentence ends at . ! ? or a line end.
 _NOT_WORD = np.ones(256, bool)
@@ -28,20 +32,33 @@ _STOP[[ord("."), ord("!"), ord("?"), ord("\n")]] = True
 
 @dataclass(frozen=True)
 class SentenceModel:
-    """Weights of words, by ascending hash, and the log-odds of a sentence without any."""
+    """Weights of features, by ascending hash, and the log-odds of a sentence without any."""
 
-    words: np.ndarray
+    features: np.ndarray
     weights: np.ndarray
     bias: float
 
 
-def _sentences(texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words, their hashes, and the sentence (numbered over all texts) of each word."""
+def _sentences(texts: list[bytes]) -> tuple[Words, np.ndarray, list[np.ndarray]]:
+    """Words, the sentence (numbered over all texts) of each, and their features' hashes."""
     words = Words(texts, _NOT_WORD)
     stops = np.flatnonzero(_STOP[words.data])
     # The end of a text ends its last sentence.
     stops = np.union1d(stops, words.text_start[1:] - 1)
-    return words, words.hashes(LOWER), np.searchsorted(stops, words.start)
+    return words, np.searchsorted(stops, words.start), words.prefix_hashes([*STEMS, None], LOWER)
+
+
+def _hits(
+    known: np.ndarray, sentence: np.ndarray, hashes: list[np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sentences and places of known features, each once in a sentence."""
+    found = []
+    for hashed in hashes:
+        place = np.minimum(np.searchsorted(known, hashed), max(len(known) - 1, 0))
+        hit = np.flatnonzero(known[place] == hashed) if len(known) else np.empty(0, np.int64)
+        found.append(sentence[hit].astype(np.int64) * len(known) + place[hit])
+    once = np.unique(np.concatenate(found))
+    return once // max(len(known), 1), once % max(len(known), 1)
 
 
 def fit_sentences(
@@ -55,75 +72,97 @@ def fit_sentences(
 ) -> SentenceModel:
     """Learn sentence scores from document labels.
 
-    At most ``sample`` labelled documents that aren't held out are used.  Their
-    words are hashed in Spark tasks; the words that tell the labels apart best
-    are kept (at most ``vocabulary``), and the likelihood of the labels under
-    noisy-or of the sentences' logistic scores is climbed by gradient steps.
-    Without labels of both kinds there is no vocabulary and scores are near 0.
+    At most ``sample`` labelled documents that aren't held out are used.  The
+    features (words and their beginnings) that tell the labels apart best by
+    document counts, at most ``vocabulary``, are found by a Spark aggregation;
+    then the likelihood of the labels under noisy-or of the sentences' logistic
+    scores is climbed by gradient steps over those features alone.  Without
+    labels of both kinds there are no features and scores are near 0.
     """
     rows = training_rows(docs.select(named(id_column), named(text_column)), labels, label, id_column, sample)
-    rows = rows.select("_label", whole_text(text_column).alias("_text"))
+    rows = durable(rows.select("_label", whole_text(text_column).alias("_text")).coalesce(8))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for a, b in chunks(list(map(len, texts))):
-                words, hashes, sentence = _sentences(texts[a:b])
-                lists = []
-                for i in range(b - a):
-                    own = slice(words.first[i], words.first[i + 1])
-                    lists.append(np.stack([hashes[own].view(np.int64), sentence[own]], 1).tobytes())
+                words, _, hashes = _sentences(texts[a:b])
+                all_of = np.stack(hashes, 1).view(np.int64)
+                lists = [np.unique(all_of[x:y]) for x, y in zip(words.first[:-1], words.first[1:])]
+                ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+                values = pa.array(np.concatenate(lists))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(lists, pa.binary())], ["label", "pairs"]
+                    [batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(ends), values)],
+                    ["label", "features"],
                 )
 
-    found = rows.mapInArrow(run, "label double, pairs binary").toArrow()
-    y = found.column("label").to_numpy()
-    pairs = [np.frombuffer(p, np.int64).reshape(-1, 2) for p in found.column("pairs").to_pylist()]
+    totals = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_label"), F.lit(0.0))).first()
+    count, ones = totals[0], totals[1]
     nothing = SentenceModel(np.empty(0, np.uint64), np.empty(0), -20.0)
-    if len(set(y.tolist())) < 2:
+    if ones in (0, count):
         return nothing
-    # Words by how far apart their document shares among both labels are, in standard errors.
-    seen = [np.unique(p[:, 0]) for p in pairs]
-    words, at = np.unique(np.concatenate(seen), return_inverse=True)
-    of = np.repeat(np.arange(len(y)), [len(s) for s in seen])
-    n, n1 = np.bincount(at), np.bincount(at, weights=y[of])
-    share = n / len(y)
-    spread = np.sqrt(share * (1 - share) * (1 / y.sum() + 1 / (len(y) - y.sum()))) + 1e-9
-    apart = (n1 / y.sum() - (n - n1) / (len(y) - y.sum())) / spread
-    rank = np.where(n >= LEAST_DOCS, np.abs(apart), -1.0)
-    chosen = np.sort(words[np.argsort(-rank, kind="stable")[:vocabulary]][: int((rank >= 0).sum())])
-    if not len(chosen):
-        return nothing
-    # Distinct (document, sentence, word) triples with a chosen word; the other sentences only count.
+    share, zeros = F.col("n") / count, count - ones
+    spread = F.sqrt(share * (1 - share) * (1 / ones + 1 / zeros)) + 1e-9
+    apart = F.abs(F.col("n1") / ones - (F.col("n") - F.col("n1")) / zeros) / spread
+    best = (
+        rows.mapInArrow(features, "label double, features array<bigint>")
+        .select("label", F.explode("features").alias("feature"))
+        .groupBy("feature")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1"))
+        .where(F.col("n") >= LEAST_DOCS)
+        .orderBy(apart.desc(), "feature")
+        .limit(vocabulary)
+    )
+    known = np.sort(np.array([r.feature for r in best.collect()], np.int64).view(np.uint64))
+
+    def instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column(1))
+            for a, b in chunks(list(map(len, texts))):
+                words, sentence, hashes = _sentences(texts[a:b])
+                at, place = _hits(known, sentence, hashes)
+                filled = np.unique(sentence)
+                text = np.searchsorted(words.text_start, words.start[np.searchsorted(sentence, filled)], "right") - 1
+                n_sentences = np.bincount(text, minlength=b - a)
+                edges = np.searchsorted(text[np.searchsorted(filled, at)], np.arange(b - a + 1))
+                lists = [np.stack([at[x:y], place[x:y]], 1).tobytes() for x, y in zip(edges[:-1], edges[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b], pa.array(n_sentences), pa.array(lists, pa.binary())],
+                    ["label", "sentences", "pairs"],
+                )
+
+    found = rows.mapInArrow(instances, "label double, sentences bigint, pairs binary").toArrow()
+    pairs = [np.frombuffer(p, np.int64).reshape(-1, 2) for p in found.column("pairs").to_pylist()]
+    y, n_sentences = found.column("label").to_numpy(), found.column("sentences").to_numpy()
+    return climb(known, y, n_sentences, pairs)
+
+
+def climb(
+    known: np.ndarray, y: np.ndarray, n_sentences: np.ndarray, pairs: list[np.ndarray]
+) -> SentenceModel:
+    """Fit the weights; ``pairs`` has (sentence, feature) of each document."""
     doc = np.repeat(np.arange(len(y)), [len(p) for p in pairs])
-    flat = np.concatenate(pairs)
-    place = np.minimum(np.searchsorted(chosen, flat[:, 0]), len(chosen) - 1)
-    hit = chosen[place] == flat[:, 0]
-    everything = np.unique(np.stack([doc, flat[:, 1]], 1), axis=0)
-    triples = np.unique(np.stack([doc[hit], flat[hit, 1], place[hit]], 1), axis=0)
-    bags, bag = np.unique(triples[:, :2], axis=0, return_inverse=True)
-    bag = bag.ravel()
-    feature = triples[:, 2]
-    plain = np.bincount(everything[:, 0], minlength=len(y)) - np.bincount(bags[:, 0], minlength=len(y))
-    weights, bias = np.zeros(len(chosen)), -4.0
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    flat = np.concatenate([*pairs, np.empty((0, 2), np.int64)])
+    bags, bag = np.unique(np.stack([doc, flat[:, 0]], 1), axis=0, return_inverse=True)
+    bag, of, feature = bag.ravel(), bags[:, 0], flat[:, 1]
+    plain = n_sentences - np.bincount(of, minlength=len(y))
+    weights, bias = np.zeros(len(known)), -4.0
+    m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     for step in range(1, STEPS + 1):
         z = bias + np.bincount(bag, weights[feature], len(bags))
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
-        none = np.bincount(bags[:, 0], np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)) + plain * np.log1p(-p0)
+        none = np.bincount(of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)) + plain * np.log1p(-p0)
         clean = np.exp(none)
         slope = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0)
-        dz = slope[bags[:, 0]] * p
+        dz = slope[of] * p
         gradient = np.append(
-            np.bincount(feature, dz[bag], len(chosen)) / len(y) + 1e-4 * weights,
+            np.bincount(feature, dz[bag], len(known)) / len(y) + 1e-4 * weights,
             (dz.sum() + (slope * plain).sum() * p0) / len(y),
         )
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         weights, bias = weights - move[:-1], bias - float(move[-1])
-    order = np.argsort(chosen.view(np.uint64))
-    return SentenceModel(chosen.view(np.uint64)[order], weights[order], bias)
+    return SentenceModel(known, weights, bias)
 
 
 def score_toxicity(
@@ -141,18 +180,13 @@ def score_toxicity(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.append(model.words, np.uint64(2**64 - 1))
-        weights = np.append(model.weights, 0.0)
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for a, b in chunks(list(map(len, texts))):
-                words, hashes, sentence = _sentences(texts[a:b])
-                place = np.searchsorted(known[:-1], hashes)
-                hit = np.flatnonzero(known[place] == hashes)
-                # Each word counts once in a sentence.
-                once = np.unique(np.stack([sentence[hit], place[hit]], 1), axis=0) if len(hit) else np.empty((0, 2), int)
-                z = np.full(int(sentence[-1]) + 1 if len(sentence) else 0, model.bias)
-                np.add.at(z, once[:, 0], weights[once[:, 1]])
+                words, sentence, hashes = _sentences(texts[a:b])
+                at, place = _hits(model.features, sentence, hashes)
+                n_sentences = int(sentence[-1]) + 1 if len(sentence) else 0
+                z = model.bias + np.bincount(at, model.weights[place], n_sentences)
                 filled = np.unique(sentence)
                 score = 1 / (1 + np.exp(-z[filled]))
                 first = np.searchsorted(sentence, filled)

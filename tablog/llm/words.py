@@ -97,7 +97,13 @@ class Words:
 
     def hashes(self, table: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash of every word's bytes, replaced through ``table`` first."""
-        out = np.empty(len(self.start), np.uint64)
+        return self.prefix_hashes([None], table)[0]
+
+    def prefix_hashes(
+        self, lengths: list[int | None], table: np.ndarray | None = None
+    ) -> list[np.ndarray]:
+        """As ``hashes``, of the first so many bytes of every word (None: all)."""
+        out = [np.empty(len(self.start), np.uint64) for _ in lengths]
         here = 0
         while here < len(self.start):
             origin = self.start[here]
@@ -108,9 +114,11 @@ class Words:
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
             start, end = self.start[here:to] - origin, self.end[here:to] - origin
-            out[here:to] = (sums[end] - sums[start]) * down[start]
+            for length, hashed in zip(lengths, out):
+                to_end = end if length is None else np.minimum(end, start + length)
+                hashed[here:to] = (sums[to_end] - sums[start]) * down[start]
             here = to
-        return mix64(out)
+        return [mix64(hashed) for hashed in out]
 
     def sequences(self, words: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of each ``length`` words in a row of one text, and their first words."""
