@@ -13,9 +13,15 @@ from tablog.llm.columns import documents, held_out
 from tablog.llm.exact import exact_groups
 from tablog.llm.mixing import mix
 from tablog.llm.quality import fit_rules, score_quality
+from tablog.llm.substring import drop_repeated
 from tablog.llm.toxicity import fit_sentences, score_toxicity
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = drop_repeated(documents(spark, sf_dir))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -66,6 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring": op1_substring,
         "op3_byte_bpe": op3_byte_bpe,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_toxicity": op8_toxicity,
