@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablog.llm.bpe import decode, encode
 from tablog.llm.columns import documents, held_out
 from tablog.llm.exact import exact_groups
+from tablog.llm.minhash import near_groups
 from tablog.llm.mixing import mix
 from tablog.llm.quality import fit_rules, score_quality
 from tablog.llm.substring import drop_repeated
@@ -22,6 +23,10 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir))
+
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -73,6 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": op1_substring,
+        "op2_minhash": op2_minhash,
         "op3_byte_bpe": op3_byte_bpe,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_toxicity": op8_toxicity,
