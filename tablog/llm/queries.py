@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablog.llm.bpe import decode, encode
 from tablog.llm.columns import documents, held_out
+from tablog.llm.embedding import near_vectors
 from tablog.llm.exact import exact_groups
 from tablog.llm.minhash import near_groups
 from tablog.llm.mixing import mix
@@ -51,6 +52,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), keep="largest")
 
 
+def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit_sentences(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash": op2_minhash,
         "op3_byte_bpe": op3_byte_bpe,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_embedding": op7_embedding,
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
