@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablog.llm.bpe import decode, encode
@@ -15,6 +15,7 @@ from tablog.llm.exact import exact_groups
 from tablog.llm.minhash import near_groups
 from tablog.llm.mixing import mix
 from tablog.llm.quality import fit_rules, score_quality
+from tablog.llm.secrets import BASE, KINDS, EXAMPLE_OWNERS, LIVE_CHARACTERS, find_secrets, span_list
 from tablog.llm.substring import drop_repeated
 from tablog.llm.toxicity import fit_sentences, score_toxicity
 
@@ -48,6 +49,59 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(documents(spark, sf_dir))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir))
+    base = F.filter("secrets", lambda s: s["kind"].isin(*BASE))
+
+    def count(field: str, value: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s[field] == value)).cast("bigint")
+
+    return found.select(
+        "doc_id",
+        *[count("kind", kind).alias(f"n_{kind}") for kind in BASE],
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list(F.col("secrets")).alias("spans"),
+        count("status", "owner_specific").alias("n_owner_specific"),
+    )
+
+
+SECRETS_SQL = f"""
+    WITH found AS (
+      {" UNION ALL ".join(f"""
+      SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, {least} AS least,
+        generate_subscripts(regexp_extract_all(t, p, 1), 1) AS number,
+        unnest(regexp_extract_all(t, p, 1)) AS gap, unnest(regexp_extract_all(t, p, 2)) AS hit,
+        unnest(regexp_extract_all(t, p, 3)) AS value
+      FROM (SELECT doc_id, source, coalesce(text, '') AS t,
+              '(?s)(.*?){pattern.replace("'", "''")}' AS p FROM documents)"""
+      for rank, (kind, (pattern, least)) in enumerate(KINDS.items()))}),
+    placed AS (
+      SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY number) AS stop
+      FROM found),
+    spans AS (
+      SELECT *, CAST(stop - length(hit) AS BIGINT) AS start FROM placed
+      WHERE length(value) >= least AND (rank < {len(BASE)} OR (
+        regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+        AND len(list_distinct(string_split(value, ''))) >= {LIVE_CHARACTERS}))),
+    alone AS (
+      SELECT * FROM spans s WHERE rank < {len(BASE)} OR NOT EXISTS (
+        SELECT 1 FROM spans b WHERE b.doc_id = s.doc_id AND b.rank < {len(BASE)}
+          AND b.start < s.stop AND b.stop > s.start)),
+    owned AS (
+      SELECT value, count(DISTINCT coalesce('s' || source, '')) AS owners FROM alone GROUP BY value),
+    known AS (
+      SELECT a.*, owners, kind || ':' || start || ':' || CAST(stop AS BIGINT) AS told
+      FROM alone a JOIN owned USING (value)
+      WHERE rank < {len(BASE)} OR owners < {EXAMPLE_OWNERS})
+    SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign,
+      count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      sha256(coalesce(string_agg(told, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}), ''))
+        AS base_sha256,
+      coalesce(string_agg(told, ',' ORDER BY start, rank), '') AS spans,
+      count(*) FILTER (owners < {EXAMPLE_OWNERS}) AS n_owner_specific
+    FROM documents d LEFT JOIN known USING (doc_id) GROUP BY d.doc_id"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), keep="largest")
 
@@ -85,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring": op1_substring,
         "op2_minhash": op2_minhash,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_secrets": op4_secrets,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_embedding": op7_embedding,
         "op8_toxicity": op8_toxicity,
@@ -95,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_secrets": SECRETS_SQL,
         "op6_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
