@@ -12,6 +12,7 @@ from tablog.llm.bpe import decode, encode
 from tablog.llm.columns import documents, held_out
 from tablog.llm.embedding import near_vectors
 from tablog.llm.exact import exact_groups
+from tablog.llm.lines import drop_lines
 from tablog.llm.minhash import near_groups
 from tablog.llm.mixing import mix
 from tablog.llm.quality import fit_rules, score_quality
@@ -102,6 +103,12 @@ SECRETS_SQL = f"""
     FROM documents d LEFT JOIN known USING (doc_id) GROUP BY d.doc_id"""
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), keep="largest")
 
@@ -140,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash": op2_minhash,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_secrets": op4_secrets,
+        "op5_lines": op5_lines,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_embedding": op7_embedding,
         "op8_toxicity": op8_toxicity,
