@@ -101,8 +101,8 @@ def near_groups(
     copies costs about its size.
 
     A text without words has an empty set and no links.  Rows sharing an id
-    are one document: their links are joined.  Rows without an id have no
-    links, a null ``component_id``, and are kept.
+    go by their own texts, except that texts of one smallest id are one item.
+    Rows without an id have no links, a null ``component_id``, and are kept.
     """
     rows = docs.select(named(id_column).cast("bigint").alias("id"), whole_text(text_column).alias("text"))
 

@@ -103,7 +103,7 @@ def mix(
     sizes = rows.groupBy("_source").agg(
         F.sum("size").alias("_total"), F.count(F.lit(1)).alias("_rows")
     )
-    epochs = F.coalesce(F.floor(F.col("target") / F.col("_total")), F.lit(0)).cast("bigint")
+    epochs = F.coalesce(F.floor(F.try_divide("target", "_total")), F.lit(0)).cast("bigint")
     sources = (
         source_targets(sizes, weights, share, most)
         .withColumn("_epochs", epochs)
