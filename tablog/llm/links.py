@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablog.plans.durable import durable
 
+# Turns in which any central item of a bucket may be paired with the others.
+EARLY_TURNS = 2
+
+# A trait of one side of a pair, by its name.
+Side = Callable[[str], Column]
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component``, the smallest node it reaches; ``edges`` has ``a`` and ``b``.
@@ -49,29 +55,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """The rows (``bucket``, ``item``, more) of buckets that hold two items or more; one shuffle."""
-    dealt = rows.repartition("bucket")
-    shared = dealt.groupBy("bucket").agg(F.min("item").alias("_low"), F.max("item").alias("_high"))
-    return dealt.join(shared.where("_low < _high").select("bucket"), "bucket")
+    """``bucket``, ``item`` and the bucket's ``size``, where it is two or more; one shuffle."""
+    dealt = rows.select("bucket", "item").repartition("bucket")
+    sizes = dealt.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("size"), F.min("item").alias("_low"), F.max("item").alias("_high")
+    )
+    return dealt.join(sizes.where("_low < _high").select("bucket", "size"), "bucket")
 
 
 def link_groups(
-    members: DataFrame, confirm: Callable[[DataFrame], DataFrame], carried: list[str] | None = None
+    members: DataFrame,
+    traits: DataFrame,
+    possible: Callable[[Side, Side], Column],
+    confirm: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Components of items that share buckets and whose pairs ``confirm`` keeps.
-
-    ``members`` has ``bucket`` and ``item`` and the ``carried`` columns; pairs
-    come with ``a``, ``b`` and both sides' carried columns (``a_x``, ``b_x``).
-
-    Not all pairs of a bucket are made.  First its smallest item is paired with
-    the others, a star.  What that links is one component, and pairs inside it
-    can add nothing.  Items left outside the bucket's first component are then
-    paired with all items of other components, a few of them per bucket at
-    first and more from turn to turn, until every pair of a bucket has been
-    made or lies in one component.  The result is that of all pairs.
+    """Components of items that share buckets and are linked.
+
+    ``members`` are :func:`shared_buckets`; ``traits`` has columns about each
+    ``item``.  ``possible`` says from both sides' traits whether a pair may be
+    linked, and ``confirm`` takes pairs ``a``, ``b`` and keeps those that are.
+
+    Not all pairs of a bucket are made.  First its most central item, the one
+    that meets most others over all buckets, is paired with the others: a star.
+    What that links is one component, and pairs inside a component can add
+    nothing.  Then the next central items are paired with those still in other
+    components, a few per bucket at first and more from turn to turn; at last
+    the items outside the bucket's main component.  An item that has had its
+    turn leaves the bucket, and a bucket is done when one component is left,
+    so the result is that of all pairs.
     """
-    carried = carried or []
-    members = durable(members.select("bucket", "item", *carried).distinct())
+    central = members.groupBy("item").agg(F.sum("size").alias("central"))
+    about = traits.join(central, "item")
+    names = about.columns
+    members = durable(members.select("bucket", "item").join(about, "item"))
     found: DataFrame | None = None
     turn = 0
     while not members.isEmpty():
@@ -80,36 +96,33 @@ def link_groups(
         else:
             rows = members.join(found.withColumnRenamed("node", "item"), "item", "left")
             rows = rows.withColumn("comp", F.coalesce("component", "item")).drop("component")
-        slots = 4**turn
-        rows = rows.withColumn("slot", F.pmod(F.xxhash64("item"), F.lit(slots)))
-        mains = rows.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("last"))
-        rows = durable(rows.join(mains.where("main < last").drop("last"), "bucket"))
-        outside = rows if turn == 0 else rows.where("comp <> main")
-        best = F.min(F.struct("item", "comp", *carried))
-        pivots = outside.groupBy("bucket", "slot").agg(best.alias("pivot"))
+        mains = rows.groupBy("bucket").agg(
+            F.max(F.struct("central", "item", "comp")).alias("main"),
+            F.min("comp").alias("_low"),
+            F.max("comp").alias("_high"),
+        )
+        mains = mains.where("_low < _high").select("bucket", F.col("main.comp").alias("main"))
+        early = turn < EARLY_TURNS
+        slots = 8 ** (turn if early else turn - EARLY_TURNS + 1)
+        slot = F.pmod(F.xxhash64("item"), F.lit(slots)).alias("slot")
+        rows = durable(rows.join(mains, "bucket").select("*", slot))
+        choice = rows if early else rows.where("comp <> main")
+        best = F.max(F.struct("central", "item", "comp", *[n for n in names if n not in ("central", "item")]))
+        pivots = choice.groupBy("bucket", "slot").agg(best.alias("pivot")).select("bucket", "pivot")
         pairs = (
-            rows.join(pivots.select("bucket", "pivot"), "bucket")
-            .where(F.col("comp") != F.col("pivot.comp"))
-            .select(F.struct("item", *carried).alias("x"), F.struct("pivot.item", *[f"pivot.{c}" for c in carried]).alias("y"))
-            .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-            .select(
-                F.col("x.item").alias("a"),
-                F.col("y.item").alias("b"),
-                *[F.col(f"x.{c}").alias(f"a_{c}") for c in carried],
-                *[F.col(f"y.{c}").alias(f"b_{c}") for c in carried],
-            )
+            rows.join(pivots, "bucket")
+            .where((F.col("comp") != F.col("pivot.comp")) & possible(F.col, lambda n: F.col(f"pivot.{n}")))
+            .select(F.least("item", "pivot.item").alias("a"), F.greatest("item", "pivot.item").alias("b"))
             .distinct()
         )
-        links = durable(confirm(pairs).select("a", "b"))
+        links = durable(pairs if confirm is None else confirm(pairs).select("a", "b"))
         if not links.isEmpty():
-            known = [] if found is None else [found.select(F.col("node").alias("a"), F.col("component").alias("b"))]
-            for more in known:
-                links = links.union(more)
+            if found is not None:
+                links = links.union(found.select("node", "component"))
             found = components(links)
         settled = pivots.select("bucket", F.col("pivot.item").alias("item"))
-        members = durable(rows.select("bucket", "item", *carried).join(settled, ["bucket", "item"], "left_anti"))
+        members = durable(rows.select("bucket", *names).join(settled, ["bucket", "item"], "left_anti"))
         turn += 1
     if found is None:
-        item = members.select(F.col("item").alias("node"))
-        return item.withColumn("component", F.col("node"))
+        return members.select(F.col("item").alias("node"), F.col("item").alias("component"))
     return found

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from helpers import AWKWARD, components, documents, lower_ascii, prose, words
 from tablog.llm.links import components as spark_components
-from tablog.llm.links import link_groups
+from tablog.llm.links import link_groups, shared_buckets
 from tablog.llm.minhash import drop_near, near_groups, sketches
 
 
@@ -95,8 +95,10 @@ def test_components_of_long_paths(spark):
 def test_links_that_stars_alone_would_miss(spark):
     """In one bucket, items link when they differ by 10: no star finds the other classes."""
     rows = [(1, i) for i in range(60)] + [(2, i) for i in range(55, 90, 5)]
-    members = spark.createDataFrame(rows, "bucket bigint, item bigint")
-    got = {r.node: r.component for r in link_groups(members, lambda p: p.where("abs(a - b) = 10")).collect()}
+    members = shared_buckets(spark.createDataFrame(rows, "bucket bigint, item bigint"))
+    traits = members.select("item").distinct()
+    found = link_groups(members, traits, lambda x, y: x("item") != y("item"), lambda p: p.where("abs(a - b) = 10"))
+    got = {r.node: r.component for r in found.collect()}
     pairs = [(a, b) for x in (1, 2) for k, a in rows if k == x for l, b in rows if l == x and b - a == 10]
     want = components({n for p in pairs for n in p}, pairs)
     assert {n: c for n, c in got.items() if n in want} == want
