@@ -38,7 +38,7 @@ def _first_ids(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
 def repeated_windows(
     docs: DataFrame, id_column: str, text_column: str, window: int, blocks: int
 ) -> DataFrame:
-    """Windows that start in a document with a smaller id: ``_id`` and packed ``_hashes``.
+    """Windows that start in a document with a smaller id: rows of ``_id`` and ``_hash``.
 
     Each task sends a window once, for the smallest of its own ids that has it,
     to the block of the index that covers its hash; the others it reports at
@@ -48,7 +48,7 @@ def repeated_windows(
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "id", "ids", "hashes"]
+        names = ["block", "ids", "hashes"]
         edges = (np.arange(1, blocks, dtype=object) * (1 << 64) // blocks).astype(np.uint64)
         for batch in batches:
             texts, ids = text_bytes(batch.column(1)), batch.column(0).to_numpy()
@@ -60,43 +60,33 @@ def repeated_windows(
                 hashes, of = hashes[order], ids[a:b][own[order]]
                 _, least = _first_ids(hashes, of)
                 late = of > least
-                rows = [(-1 - i % blocks, i, None, h) for i, h in _by_id(of[late], hashes[late])]
-                hashes, of = hashes[~late], of[~late]
-                cuts = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
-                rows += [
-                    (k, None, _planes(of[x:y]), _planes(hashes[x:y]))
-                    for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:]))
-                    if y > x
-                ]
-                columns = list(zip(*rows)) or [[]] * 4
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                rows = []
+                for first_block, part in ((0, ~late), (-blocks, late)):  # below 0: found already
+                    part_hashes, part_ids = hashes[part], of[part]
+                    cuts = [0, *np.searchsorted(part_hashes, edges).tolist(), len(part_hashes)]
+                    rows += [
+                        (first_block + k, _planes(part_ids[x:y]), _planes(part_hashes[x:y]))
+                        for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:]))
+                        if y > x
+                    ]
+                columns = list(zip(*rows)) or [[]] * 3
+                kinds = [pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     def look_up(table: pa.Table) -> pa.Table:
-        if table.column("block")[0].as_py() < 0:
-            return table.select(["id", "hashes"])
         ids = np.concatenate([_unplanes(x) for x in table.column("ids").to_pylist()]).view(np.int64)
         hashes = np.concatenate([_unplanes(x) for x in table.column("hashes").to_pylist()])
-        order = np.argsort(hashes)
-        hashes, ids = hashes[order], ids[order]
-        late = ids > _first_ids(hashes, ids)[1]
-        rows = _by_id(ids[late], hashes[late])
-        return pa.table(
-            {"id": pa.array([i for i, _ in rows], pa.int64()), "hashes": pa.array([h for _, h in rows], pa.binary())}
-        )
+        if table.column("block")[0].as_py() >= 0:
+            order = np.argsort(hashes)
+            hashes, ids = hashes[order], ids[order]
+            late = ids > _first_ids(hashes, ids)[1]
+            hashes, ids = hashes[late], ids[late]
+        return pa.table({"id": ids, "hash": hashes.view(np.int64)})
 
     rows = docs.select(order_id(id_column).alias("id"), whole_text(text_column).alias("text"))
-    sent = rows.mapInArrow(index, "block int, id bigint, ids binary, hashes binary")
-    found = sent.groupBy("block").applyInArrow(look_up, "id bigint, hashes binary")
-    return found.select(F.col("id").alias("_id"), F.col("hashes").alias("_hashes"))
-
-
-def _by_id(ids: np.ndarray, hashes: np.ndarray) -> list[tuple[int, bytes]]:
-    order = np.argsort(ids, kind="stable")
-    ids, hashes = ids[order], hashes[order]
-    starts = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)) if len(ids) else []
-    ends = [*starts[1:], len(ids)] if len(ids) else []
-    return [(int(ids[x]), hashes[x:y].tobytes()) for x, y in zip(starts, ends)]
+    sent = rows.mapInArrow(index, "block int, ids binary, hashes binary")
+    found = sent.groupBy("block").applyInArrow(look_up, "id bigint, hash bigint")
+    return found.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
 
 
 def order_id(id_column: str):
@@ -130,7 +120,7 @@ def drop_repeated(
     if blocks is None:
         blocks = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = repeated_windows(docs, id_column, text_column, window, blocks)
-    per_id = found.groupBy("_id").agg(F.collect_list("_hashes").alias("_late"))
+    per_id = found.groupBy("_id").agg(F.collect_list("_hash").alias("_late"))
     rows = docs.select(
         order_id(id_column).alias("_id"), named(id_column).alias("_own"), whole_text(text_column).alias("_text")
     )
@@ -138,16 +128,16 @@ def drop_repeated(
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, late = text_bytes(batch.column(1)), batch.column(2).to_pylist()
+            texts, late = text_bytes(batch.column(1)), batch.column(2)
             for a, b in chunks(list(map(len, texts))):
                 words = Words(texts[a:b])
                 hashes, first = words.sequences(words.hashes(), window, SEED)
                 hit = np.zeros(len(words.start) + 1, np.int32)
                 edges = np.searchsorted(first, words.first)
                 for i, known in enumerate(late[a:b]):
-                    if known:
+                    if known.is_valid:
                         own = slice(edges[i], edges[i + 1])
-                        known = np.frombuffer(b"".join(known), np.uint64)
+                        known = known.values.to_numpy().view(np.uint64)
                         starts = first[own][np.isin(hashes[own], known)]
                         np.add.at(hit, starts, 1)
                         np.add.at(hit, starts + window, -1)
