@@ -12,10 +12,20 @@ from tablog.plans.durable import durable
 # Turns in which any central item of a bucket may be paired with the others.
 EARLY_TURNS = 2
 
+# Rows of the small tables here that a part holds.
+ROWS_PER_PART = 50_000
+
 # A trait of one side of a pair, by its name.
 Side = Callable[[str], Column]
 
 
+def settled(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows kept apart from their lineage, in no more parts than they need, and their number."""
+    kept = durable(rows)
+    count = kept.count()
+    return kept.coalesce(count // ROWS_PER_PART + 1), count
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component``, the smallest node it reaches; ``edges`` has ``a`` and ``b``.
 
@@ -42,12 +52,14 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = edges.select("a", "b").where("a <> b").distinct()
+    now, count = settled(edges.select("a", "b").where("a <> b"))
     before = None
     while True:
-        now = durable(rewired(rewired(now, True), False))
+        parts = count // ROWS_PER_PART + 1
+        now = durable(rewired(rewired(now, True).coalesce(parts), False).coalesce(parts))
         after = mark(now)
-        if after == before or not after[0]:
+        count = after[0]
+        if after == before or not count:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
@@ -87,10 +99,10 @@ def link_groups(
     central = members.groupBy("item").agg(F.sum("size").alias("central"))
     about = traits.join(central, "item")
     names = about.columns
-    members = durable(members.select("bucket", "item").join(about, "item"))
+    members, left = settled(members.select("bucket", "item").join(about, "item"))
     found: DataFrame | None = None
     turn = 0
-    while not members.isEmpty():
+    while left:
         if found is None:
             rows = members.withColumn("comp", F.col("item"))
         else:
@@ -105,7 +117,7 @@ def link_groups(
         early = turn < EARLY_TURNS
         slots = 8 ** (turn if early else turn - EARLY_TURNS + 1)
         slot = F.pmod(F.xxhash64("item"), F.lit(slots)).alias("slot")
-        rows = durable(rows.join(mains, "bucket").select("*", slot))
+        rows, _ = settled(rows.join(mains, "bucket").select("*", slot))
         choice = rows if early else rows.where("comp <> main")
         best = F.max(F.struct("central", "item", "comp", *[n for n in names if n not in ("central", "item")]))
         pivots = choice.groupBy("bucket", "slot").agg(best.alias("pivot")).select("bucket", "pivot")
@@ -115,13 +127,13 @@ def link_groups(
             .select(F.least("item", "pivot.item").alias("a"), F.greatest("item", "pivot.item").alias("b"))
             .distinct()
         )
-        links = durable(pairs if confirm is None else confirm(pairs).select("a", "b"))
-        if not links.isEmpty():
+        links, linked = settled(pairs if confirm is None else confirm(pairs).select("a", "b"))
+        if linked:
             if found is not None:
                 links = links.union(found.select("node", "component"))
             found = components(links)
-        settled = pivots.select("bucket", F.col("pivot.item").alias("item"))
-        members = durable(rows.select("bucket", *names).join(settled, ["bucket", "item"], "left_anti"))
+        done = pivots.select("bucket", F.col("pivot.item").alias("item"))
+        members, left = settled(rows.select("bucket", *names).join(done, ["bucket", "item"], "left_anti"))
         turn += 1
     if found is None:
         return members.select(F.col("item").alias("node"), F.col("item").alias("component"))
