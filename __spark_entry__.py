@@ -21,12 +21,13 @@ from tablog.operators.columns import (
     config_from_json,
     config_to_json,
     delete_hidden,
+    read_config_json,
     upsert_hidden,
     with_hidden,
+    write_config_json,
 )
 from tablog.operators.reshape import visible_fields, visible_line
 from tablog.plans.durable import scratch_path
-from tablog.sources.generate import log_line
 from tablog.sources.table import log_from_table, log_from_texts
 
 try:  # the training-data operators are a package of their own, which may be absent
@@ -59,10 +60,6 @@ def document_log(spark: SparkSession, sf_dir: str, max_rows: int | None = None)
     return log_from_texts(documents, "text", "doc_id", separator=" ", max_rows=max_rows)
 
 
-def url_log(spark: SparkSession, sf_dir: str) -> tl.Log:
-    return log_from_texts(table(spark, sf_dir, "pages"), "url", "page_id", separator="/")
-
-
 def order_log(spark: SparkSession, sf_dir: str) -> tl.Log:
     orders = table(spark, sf_dir, "orders")
     return log_from_table(orders, ORDER_FIELDS, order_by=[F.col("o_orderkey")])
@@ -199,11 +196,27 @@ def goto_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.goto_lines(view, labels.select(request.alias("request")))
 
 
+def goto_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers with gaps: a number between two lines is missing, not filtered out."""
+    orders = table(spark, sf_dir, "orders")
+    log = log_from_table(orders, ORDER_FIELDS, line_number=F.col("o_orderkey") * 4)
+    view = tl.View(log, tl.ViewSpec(conditions=(tl.Condition("/O|P/", 2),)))
+    request = (F.col("doc_id") * 6).cast("string")
+    return tl.goto_lines(view, table(spark, sf_dir, "labels").select(request.alias("request")))
+
+
+def find_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of as many lines as there are labels."""
+    view = event_view(spark, sf_dir, conditions=FLAGSHIP["conditions"], sort=FLAGSHIP["sort"])
+    lines = table(spark, sf_dir, "labels").select((F.col("doc_id") * 2).alias("line_number"))
+    return tl.position_table(view, lines)
+
+
 # ---- projections, columns -----------------------------------------------
 
 
 def wide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tl.wide_table(url_log(spark, sf_dir))
+    return tl.wide_table(document_log(spark, sf_dir), columns=8)
 
 
 def visible_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,9 +245,9 @@ def shown_config(config: DataFrame) -> DataFrame:
 
 
 def hidden_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = url_log(spark, sf_dir)
+    log = document_log(spark, sf_dir)
     rows = with_hidden(log, label_config(spark, sf_dir))
-    shown = visible_fields(F.col("fields"), F.col("hidden"), log.known_columns())
+    shown = visible_fields(F.col("fields"), F.col("hidden"), 8)
     return rows.select("file_name", "line_number", tl.row_text(shown).alias("text"))
 
 
@@ -252,6 +265,16 @@ def config_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_config(config_from_json(config_to_json(document_config(spark, sf_dir))))
 
 
+def config_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A config written as one JSON file, read back and updated, a file's last update counting."""
+    path = scratch_path(spark, "config")
+    write_config_json(document_config(spark, sf_dir), path)
+    update = label_config(spark, sf_dir)
+    earlier = update.select("file_name", F.array(F.lit(9)).alias("hidden"), F.lit(1).alias("turn"))
+    updates = earlier.unionByName(update.withColumn("turn", F.lit(2)))
+    return shown_config(upsert_hidden(read_config_json(spark, path), updates, order="turn"))
+
+
 # ---- loading and writing ------------------------------------------------
 
 
@@ -259,6 +282,18 @@ def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.load_summary(document_log(spark, sf_dir, max_rows=5))
 
 
+def stored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a capped log outlives storing and opening it again."""
+    path = scratch_path(spark, "stored")
+    tl.store_log(document_log(spark, sf_dir, max_rows=5), path)
+    return tl.load_summary(tl.open_log(spark, path))
+
+
+def one_file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part of a capped log keeps its summary, too."""
+    return tl.load_summary(document_log(spark, sf_dir, max_rows=5).one_file("7"))
+
+
 def line_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(document_log(spark, sf_dir, max_rows=5).frame)
 
@@ -331,6 +366,38 @@ def export_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("value", F.lit(written).cast("bigint").alias("written"))
 
 
+def export_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second export takes the place of the first."""
+    path = scratch_path(spark, "twice")
+    tl.write_view(event_view(spark, sf_dir), path)
+    written = tl.write_view(event_view(spark, sf_dir, **FLAGSHIP), path)
+    lines = spark.read.text(path)
+    return lines.select("value", F.lit(written).cast("bigint").alias("written"))
+
+
+def export_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty view, no selection and no visible column leave the target as it is."""
+    path = scratch_path(spark, "kept")
+    tl.write_view(event_view(spark, sf_dir, **FLAGSHIP), path)
+    nothing = event_view(spark, sf_dir, conditions=(tl.Condition("no such text"),))
+    hidden = event_view(spark, sf_dir, hidden=(0, 1, 2, 3))
+    written = tl.write_view(nothing, path) + tl.write_rows_at(nothing, [0], path)
+    written += tl.write_rows_at(event_view(spark, sf_dir), [], path)
+    written += tl.write_rows_at(hidden, [0, 1], path)
+    lines = spark.read.text(path)
+    return lines.select("value", F.lit(written).cast("bigint").alias("written"))
+
+
+def read_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a folder of files with two endings, those with one."""
+    path = scratch_path(spark, "mixed")
+    lines = event_lines(spark, sf_dir, F.lit(""))
+    lines.where("kind = 'error'").select("value").write.text(path, compression="gzip")
+    lines.where("kind <> 'error'").select("value").write.mode("append").text(path)
+    log = tl.read_log(spark, path, glob="*.gz")
+    return log.frame.select(tl.row_text(F.col("fields")).alias("text"))
+
+
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows loaded, shown and written."""
     view = event_view(spark, sf_dir, **FLAGSHIP)
@@ -383,23 +450,6 @@ def binary_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.frame.select(tl.row_text(F.col("fields")).alias("text"))
 
 
-def generated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One generated line per event: every line has the form of a log line."""
-    line = log_line(F.col("event_id"), seed=1)
-    lines = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("line"), F.split(line, "\t", -1).alias("fields")
-    )
-    stamp, level = F.get("fields", F.lit(0)), F.get("fields", F.lit(1))
-    late = (stamp.cast("timestamp_ntz") - F.lit("2026-01-17").cast("timestamp_ntz")).cast("interval second")
-    return lines.select(
-        "line",
-        F.size("fields").isin(6, 7).alias("width_ok"),
-        stamp.rlike("^2026-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d$").alias("stamp_ok"),
-        level.isin("DEBUG", "INFO", "WARN", "ERROR", "FATAL").alias("level_ok"),
-        late.cast("decimal(18,6)").between(F.floor(F.col("line") * 0.1), F.col("line") * 2).alias("time_ok"),
-    )
-
-
 # ---- rows in other forms ------------------------------------------------
 
 
@@ -464,13 +514,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rows_at_table": rows_at_table,
         "goto_lines": goto_lines,
         "goto_table": goto_table,
+        "goto_gaps": goto_gaps,
+        "find_many": find_many,
         "wide_table": wide_table,
         "visible_columns": visible_columns,
         "hidden_by_file": hidden_by_file,
         "config_upsert": config_upsert,
         "config_delete": config_delete,
         "config_json": config_json,
+        "config_file": config_file,
         "load_summary": load_summary,
+        "stored_summary": stored_summary,
+        "one_file_summary": one_file_summary,
         "line_limit": line_limit,
         "line_numbers": line_numbers,
         "column_count": column_count,
@@ -480,12 +535,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "file_summary": file_summary,
         "export_lines": export_lines,
         "export_selected": export_selected,
+        "export_overwrite": export_overwrite,
+        "export_nothing": export_nothing,
+        "read_glob": read_glob,
         "row_counts": row_counts,
         "malformed_rows": malformed_rows,
         "malformed_dropped": malformed_dropped,
         "binary_files": binary_files,
         "binary_skipped": binary_skipped,
-        "generated_log": generated_log,
         "row_text": row_text,
         "explode_fields": explode_fields,
         "detail_text": detail_text,
@@ -505,10 +562,6 @@ DOC = r"""doc AS (
         FROM (SELECT doc_id, string_split_regex(
                 regexp_replace(text, '(\r\n|\r|\n)\z', ''), '\r\n|\r|\n') AS lines
               FROM documents WHERE text <> '')))"""
-URL = """url AS (
-  SELECT CAST(page_id AS VARCHAR) AS file_name, CAST(1 AS BIGINT) AS line_number,
-         string_split(url, '/') AS fields
-  FROM pages WHERE url <> '')"""
 ORD = """ord AS (
   SELECT '' AS file_name, row_number() OVER (ORDER BY o_orderkey) AS line_number,
          [CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
@@ -533,9 +586,9 @@ parsed AS (
   SELECT request, CASE WHEN regexp_full_match(trim(request), '[+-]?[0-9]+')
     THEN TRY_CAST(trim(request) AS BIGINT) END AS line FROM asked)
 SELECT request, line,
-  CASE WHEN line IS NULL OR line < 1 OR line > 2147483647 THEN 'invalid'
+  CASE WHEN line IS NULL OR line < 1 THEN 'invalid'
        WHEN position IS NOT NULL THEN 'shown'
-       WHEN line <= (SELECT count(*) FROM ev) THEN 'filtered_out'
+       WHEN line IN (SELECT line_number FROM ev) THEN 'filtered_out'
        ELSE 'missing' END AS status,
   position, (SELECT count(*) FROM ev) AS max_line
 FROM parsed LEFT JOIN shown ON line_number = line"""
@@ -543,6 +596,13 @@ ERROR_LINE = """concat_ws(chr(9), CAST(event_id AS VARCHAR), CAST(user_id AS VAR
   event_type, props) AS text"""
 
 
+SUMMARY = f"""WITH {DOC} SELECT CAST(doc_id AS VARCHAR) AS file_name,
+    count(*) FILTER (WHERE line_number <= 5) AS rows,
+    CAST(coalesce(max(len(fields)) FILTER (WHERE line_number <= 5), 0) AS INTEGER) AS columns,
+    coalesce(bool_or(line_number > 5), false) AS truncated
+  FROM documents LEFT JOIN doc ON file_key = doc_id GROUP BY doc_id"""
+
+
 def events_where(condition: str) -> str:
     return f"WITH {EV} SELECT {LINES} FROM ev WHERE {condition}"
 
@@ -615,27 +675,43 @@ def oracle_sql() -> dict[str, str]:
             {GOTO}""",
         "goto_table": f"""WITH {EV}, asked AS (SELECT CAST(doc_id * 13 AS VARCHAR) ||
               CASE WHEN toxic = 1 THEN '.5' ELSE '' END AS request FROM labels), {GOTO}""",
-        "wide_table": f"""WITH {URL} SELECT file_name, line_number, """
-        + ", ".join(f"coalesce(fields[{i + 1}], '') AS col_{i}" for i in range(6))
-        + " FROM url",
+        "goto_gaps": """WITH lines AS (
+              SELECT o_orderkey * 4 AS line, o_orderstatus IN ('O', 'P') AS seen FROM orders),
+            placed AS (SELECT line, row_number() OVER (ORDER BY line) - 1 AS position
+              FROM lines WHERE seen),
+            asked AS (SELECT doc_id * 6 AS line FROM labels)
+            SELECT CAST(line AS VARCHAR) AS request, line,
+              CASE WHEN line < 1 THEN 'invalid' WHEN position IS NOT NULL THEN 'shown'
+                WHEN line IN (SELECT line FROM lines) THEN 'filtered_out'
+                ELSE 'missing' END AS status,
+              position, (SELECT max(line) FROM lines) AS max_line
+            FROM asked LEFT JOIN placed USING (line)""",
+        "find_many": f"""WITH {EV}, shown AS (
+              SELECT line_number, row_number() OVER (ORDER BY {by_type}) - 1 AS position
+              FROM ev WHERE {FLAGSHIP_WHERE})
+            SELECT doc_id * 2 AS line_number, coalesce(position, -1) AS position
+            FROM labels LEFT JOIN shown ON line_number = doc_id * 2""",
+        "wide_table": f"""WITH {DOC} SELECT file_name, line_number, """
+        + ", ".join(f"coalesce(fields[{i + 1}], '') AS col_{i}" for i in range(8))
+        + " FROM doc",
         "visible_columns": f"""WITH {EV} SELECT file_name, line_number, fields[1] AS col_0,
             fields[3] AS col_2 FROM ev""",
-        "hidden_by_file": f"""WITH {URL} SELECT file_name, line_number, array_to_string(
-              [coalesce(fields[i + 1], '') FOR i IN range(6)
+        "hidden_by_file": f"""WITH {DOC} SELECT file_name, line_number, array_to_string(
+              [coalesce(fields[i + 1], '') FOR i IN range(greatest(8, len(fields)))
                IF quality IS NULL OR (i <> quality AND i <> toxic + 4)], chr(9)) AS text
-            FROM url LEFT JOIN labels ON CAST(doc_id AS VARCHAR) = file_name""",
+            FROM doc LEFT JOIN labels ON CAST(doc_id AS VARCHAR) = file_name""",
         "config_upsert": f"""WITH {CONFIG} SELECT file_name, hidden FROM cfg
             WHERE file_name NOT IN (SELECT file_name FROM upd)
             UNION ALL SELECT file_name, hidden FROM upd""",
         "config_delete": f"""WITH {CONFIG} SELECT file_name, hidden FROM cfg
             WHERE file_name NOT IN (SELECT file_name FROM upd)""",
+        "config_file": f"""WITH {CONFIG} SELECT file_name, hidden FROM cfg
+            WHERE file_name NOT IN (SELECT file_name FROM upd)
+            UNION ALL SELECT file_name, hidden FROM upd""",
         "config_json": f"WITH {CONFIG} SELECT file_name, hidden FROM cfg",
-        "load_summary": f"""WITH {DOC} SELECT CAST(doc_id AS VARCHAR) AS file_name,
-              count(*) FILTER (WHERE line_number <= 5) AS rows,
-              CAST(coalesce(max(len(fields)) FILTER (WHERE line_number <= 5), 0) AS INTEGER)
-                AS columns,
-              coalesce(bool_or(line_number > 5), false) AS truncated
-            FROM documents LEFT JOIN doc ON file_key = doc_id GROUP BY doc_id""",
+        "load_summary": SUMMARY,
+        "stored_summary": SUMMARY,
+        "one_file_summary": f"SELECT * FROM ({SUMMARY}) WHERE file_name = '7'",
         "line_limit": documents_where("line_number <= 5"),
         "line_numbers": f"WITH {DOC} SELECT file_name, line_number, value FROM doc",
         "column_count": f"""WITH {DOC} SELECT count(*) AS rows,
@@ -657,6 +733,13 @@ def oracle_sql() -> dict[str, str]:
               AS value, {positions("lower(fields[2]), line_number")} FROM ev)
             SELECT value, count(*) OVER () AS written FROM placed
             WHERE position IN (SELECT doc_id FROM labels)""",
+        "export_overwrite": f"""WITH {EV} SELECT
+              concat_ws(chr(9), fields[1], fields[3], fields[4]) AS value,
+              count(*) OVER () AS written FROM ev WHERE {FLAGSHIP_WHERE}""",
+        "export_nothing": f"""WITH {EV} SELECT
+              concat_ws(chr(9), fields[1], fields[3], fields[4]) AS value,
+              CAST(0 AS BIGINT) AS written FROM ev WHERE {FLAGSHIP_WHERE}""",
+        "read_glob": f"SELECT {ERROR_LINE} FROM events WHERE event_type = 'error'",
         "row_counts": f"""WITH {EV}, hits AS (SELECT count(*) AS n FROM ev WHERE {FLAGSHIP_WHERE})
             SELECT 'loaded' AS kind, count(*) AS rows FROM ev
             UNION ALL SELECT 'shown', n FROM hits UNION ALL SELECT 'written', n FROM hits""",
@@ -666,8 +749,6 @@ def oracle_sql() -> dict[str, str]:
         "binary_files": """SELECT DISTINCT event_type AS kind, event_type = 'error' AS is_binary
             FROM events""",
         "binary_skipped": f"SELECT {ERROR_LINE} FROM events WHERE event_type <> 'error'",
-        "generated_log": """SELECT event_id AS line, true AS width_ok, true AS stamp_ok,
-            true AS level_ok, true AS time_ok FROM events""",
         "row_text": f"""WITH {DOC} SELECT file_name, line_number,
             CAST(len(fields) AS INTEGER) AS width, {TEXT} FROM doc""",
         "explode_fields": f"""WITH {DOC} SELECT file_name, line_number,

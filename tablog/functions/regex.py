@@ -8,6 +8,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 
 
+# Fixed value: the condition of Spark's error for a pattern that does not compile.
+INVALID_PATTERN = "INVALID_PARAMETER_VALUE.PATTERN"
+
+
 def regex_body(query: str) -> str | None:
     """The pattern of a ``/pattern/`` query, or None for plain text."""
     if len(query) >= 2 and query[0] == "/" and query[-1] == "/":
@@ -21,8 +25,10 @@ def _compiles(pattern: str) -> bool:
     spark = SparkSession.active()
     try:
         spark.sql("SELECT '' RLIKE :pattern", args={"pattern": pattern}).collect()
-    except PySparkException:
-        return False
+    except PySparkException as error:
+        if (error.getCondition() or "").startswith(INVALID_PATTERN):
+            return False
+        raise
     return True
 
 

@@ -17,8 +17,6 @@ TRIMMED_CHARACTERS = "".join(map(chr, range(0x21)))
 # Characters with a meaning of their own in a regular expression.
 _REGEX_SPECIAL = frozenset("\\^$.|?*+()[]{}")
 
-INT_MAX = 2_147_483_647
-
 
 def is_blank(text: str | None) -> bool:
     return text is None or all(c in BLANK_CHARACTERS for c in text)
@@ -49,15 +47,6 @@ def raw_field(fields: Column, index: int) -> Column:
     return F.get(fields, F.lit(index)) if index >= 0 else F.lit(None).cast("string")
 
 
-def padded_field(fields: Column, index: int) -> Column:
-    """The field, or the empty string where the row has no such column."""
-    return F.coalesce(raw_field(fields, index), F.lit(""))
-
-
-def width(fields: Column) -> Column:
-    return F.size(fields)
-
-
 def pad_fields(fields: Column, columns: int) -> Column:
     """Rows shorter than ``columns`` filled up with empty fields."""
     missing = F.greatest(F.lit(columns) - F.size(fields), F.lit(0))
@@ -89,13 +78,3 @@ def parse_line_number(text: Column) -> Column:
 def line_label(line_number: Column) -> Column:
     """Line number with thousands separators, ``1,234,567``."""
     return F.format_number(line_number, 0)
-
-
-def header_names(columns: int) -> list[str]:
-    """Table headers by position."""
-    return ["Line"] + [f"Col {i}" for i in range(columns)]
-
-
-def selector_names(columns: int) -> list[str]:
-    """Entries of a filter's column selector by position."""
-    return ["All"] + [f"Column {i}" for i in range(columns)]

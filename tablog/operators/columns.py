@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablog.plans.durable import attach
@@ -24,12 +24,34 @@ def config_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_config_json(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a JSON file that holds one object; an absent file has none."""
+    """Entries of a JSON file; an absent file has none.
+
+    The file holds one object, over any number of lines, or one object per
+    line; anything else is an error.
+    """
     try:
         texts = spark.read.text(path, wholetext=True)
-    except AnalysisException:
-        return empty_config(spark)
-    return config_from_json(texts)
+    except AnalysisException as error:
+        if _absent(error):
+            return empty_config(spark)
+        raise
+    lines = F.filter(F.split("value", "[\r\n]+"), lambda line: F.trim(line) != "")
+    by_line = F.forall(lines, lambda line: _is_object(line))
+    objects = (
+        F.when(by_line, lines)
+        .when(_is_object(F.col("value")), F.array("value"))
+        .otherwise(F.raise_error("the config is neither one JSON object nor one per line").cast("array<string>"))
+    )
+    return config_from_json(texts.select(F.explode(objects).alias("value")))
+
+
+def _is_object(text: Column) -> Column:
+    """Whether the text is one JSON object of index lists, with nothing after it."""
+    found = F.from_json(text, JSON_TYPE)
+    # What is left after all names and lists of the object are taken away.
+    name, indices = r'"(?:[^"\\]|\\.)*"', r"\[[-\d\s,]*\]"
+    rest = F.regexp_replace(text, rf"{name}\s*:\s*{indices}", "")
+    return found.isNotNull() & rest.rlike(r"\A\s*\{[\s,]*\}\s*\z")
 
 
 def config_to_json(config: DataFrame) -> DataFrame:
@@ -38,16 +60,55 @@ def config_to_json(config: DataFrame) -> DataFrame:
     return config.select(F.to_json(entry).alias("value"))
 
 
+def write_config_json(config: DataFrame, path: str, lines: bool = False) -> None:
+    """Write the config as one JSON object, or as one object per line (``lines``).
+
+    One object is one text: for configs that a person edits.  Larger ones are
+    written by line, in parallel.  Both are read by :func:`read_config_json`.
+    """
+    config = unique_names(config)
+    if lines:
+        rows = config_to_json(config)
+    else:
+        entries = F.map_from_entries(F.collect_list(F.struct("file_name", "hidden")))
+        rows = config.agg(F.to_json(entries).alias("value"))
+    rows.write.mode("overwrite").text(path)
+
+
+def unique_names(config: DataFrame, order: str | None = None) -> DataFrame:
+    """The config with one entry per file name.
+
+    Of several, the one with the largest value of the column ``order`` counts;
+    without such a column they are an error.
+    """
+    if order is not None:
+        return config.groupBy("file_name").agg(F.max_by("hidden", order).alias("hidden"))
+    message = F.concat(F.lit("several entries for "), F.col("file_name"))
+    once = F.when(F.count(F.lit(1)) == 1, F.any_value("hidden")).otherwise(
+        F.raise_error(message).cast("array<int>")
+    )
+    return config.groupBy("file_name").agg(once.alias("hidden"))
+
+
+def _absent(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def hidden_for(config: DataFrame, file_name: str) -> list[int]:
     """Hidden columns of one file; none if it has no entry."""
     row = config.where(F.col("file_name") == file_name).first()
     return list(row["hidden"]) if row is not None else []
 
 
-def upsert_hidden(config: DataFrame, updates: DataFrame) -> DataFrame:
-    """``updates`` replace entries of the same file; the others stay."""
+def upsert_hidden(config: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
+    """``updates`` replace entries of the same file; the others stay.
+
+    Of several updates of one file the last by the column ``order`` counts;
+    without it they are an error.
+    """
+    updates = unique_names(updates, order)
     kept = config.join(updates.select("file_name"), "file_name", "left_anti")
-    return kept.unionByName(updates.select("file_name", "hidden"))
+    return kept.select("file_name", "hidden").unionByName(updates)
 
 
 def delete_hidden(config: DataFrame, names: DataFrame | list[str]) -> DataFrame:
@@ -68,8 +129,8 @@ def save_config(config: DataFrame, path: str) -> None:
     entries it has, so that an empty version is a version too.
     """
     spark = config.sparkSession
-    newest = _versions(spark, path)
-    version = (newest[-1] if newest else 0) + 1
+    written = _versions(spark, path)
+    version = max(written, default=0) + 1
     entries = config.select("file_name", "hidden").persist()
     count = entries.count()
     marker = spark.range(1).select(
@@ -83,24 +144,25 @@ def save_config(config: DataFrame, path: str) -> None:
 
 def load_config(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of a saved config; empty if there is none."""
-    versions = _versions(spark, path)
-    if not versions:
-        return empty_config(spark)
-    stored = spark.read.parquet(path).where(F.col("version") == versions[-1])
-    return stored.where("file_name IS NOT NULL").select("file_name", "hidden")
+    named = F.col("file_name").isNotNull()
+    for version in sorted(_versions(spark, path), reverse=True):
+        stored = spark.read.schema(SCHEMA).parquet(f"{path}/version={version}")
+        entries, expected = stored.agg(
+            F.count_if(named), F.max(F.when(~named, F.element_at("hidden", 1)))
+        ).first()
+        if entries == expected:
+            return stored.where(named)
+    return empty_config(spark)
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
+    """Numbers of the versions written, whole or not, from the names of their folders."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
         return []
-    named = F.col("file_name").isNotNull()
-    whole = stored.groupBy("version").agg(
-        F.count_if(named).alias("entries"),
-        F.max(F.when(~named, F.element_at("hidden", 1))).alias("expected"),
-    )
-    return sorted(r["version"] for r in whole.where("entries = expected").collect())
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
 
 
 def with_hidden(log: Log, config: DataFrame, key: str = "file_name") -> DataFrame:
@@ -109,7 +171,7 @@ def with_hidden(log: Log, config: DataFrame, key: str = "file_name") -> DataFram
     ``key='file_path'`` tells files of the same name in two folders apart; the
     config then holds paths.
     """
-    lookup = config.withColumnRenamed("file_name", key)
+    lookup = unique_names(config).withColumnRenamed("file_name", key)
     joined = attach(log.frame, lookup, [key], spread="line_number")
     return joined.withColumn(
         "hidden", F.coalesce("hidden", F.array().cast("array<int>"))

@@ -7,14 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablog.functions.text import INT_MAX, parse_line_number
+from tablog.functions.text import parse_line_number
+from tablog.operators.filters import spec_predicate
 from tablog.operators.positions import line_positions
 from tablog.plans.durable import attach
 from tablog.plans.view import View
 
-# Up to this many requests are answered by counting the rows ahead of each in
-# one pass; more by numbering the view.
-COUNTED_REQUESTS = 64
+# Up to this many lines are found by counting the rows ahead of each in one
+# pass; more by numbering the view.  Both give the same positions.
+COUNTED_LINES = 64
 
 
 def find_position(view: View, line_number: int) -> int:
@@ -23,43 +24,56 @@ def find_position(view: View, line_number: int) -> int:
 
 
 def find_positions(view: View, line_numbers: list[int]) -> dict[int, int]:
-    """Positions of a few lines (-1: not in the view), without sorting the view.
-
-    One pass fetches the sort keys of the lines unless they are the line
-    numbers, another counts the rows ahead of each.
-    """
+    """Positions of some lines (-1: not in the view)."""
     wanted = sorted(set(line_numbers))
-    if len(wanted) > COUNTED_REQUESTS:
-        raise ValueError("use position_table for many lines")
-    found = dict.fromkeys(wanted, -1)
-    if view.spec.order_by:
-        # The caller's sort keys may be NULL: number the view.
-        rows = line_positions(view).where(F.col("line_number").isin(wanted))
-        first = rows.groupBy("line_number").agg(F.min("position").alias("position"))
-        return found | {r["line_number"]: r["position"] for r in first.collect()}
+    if _countable(view, wanted):
+        return _counted(view, wanted)[0]
+    spark = view.log.frame.sparkSession
+    table = spark.createDataFrame([(n,) for n in wanted], "line_number bigint")
+    return {r["line_number"]: r["position"] for r in position_table(view, table).collect()}
+
+
+def _countable(view: View, wanted: list[int]) -> bool:
+    # The caller's sort keys may be NULL, which counting does not compare.
+    return len(wanted) <= COUNTED_LINES and not view.spec.order_by
+
+
+def _counted(view: View, wanted: list[int]) -> tuple[dict[int, int], set[int], int, int]:
+    """Positions of a few lines, those among them that the log has, and the numbers of
+    rows of the view and the largest line of the log.
 
-    parts = view.key_parts() + [(F.col(n), view.ties_ascend) for n in view.log.order]
+    One pass over the log, after another that fetches the lines' sort keys
+    unless they are the line numbers.
+    """
+    log = view.log
+    shown = F.lit(True)
+    if not view.unfiltered:
+        shown = F.coalesce(spec_predicate(view.spec, log), F.lit(False))
+    parts = view.key_parts() + [(F.col(n), view.ties_ascend) for n in log.order]
     names = [f"_key{i}" for i in range(len(parts))]
     ups = [up for _, up in parts]
-    keyed = view.filtered.select(
-        "line_number", *[part.alias(name) for name, (part, _) in zip(names, parts)]
+    keyed = log.frame.select(
+        "line_number",
+        shown.alias("_shown"),
+        *[part.alias(name) for name, (part, _) in zip(names, parts)],
     )
-    if view.by_line and view.log.order == ("line_number",):
+    if view.by_line and log.order == ("line_number",):
         targets = [{"line_number": n, names[0]: n} for n in wanted]
     else:
-        here = keyed.where(F.col("line_number").isin(wanted))
-        targets = [r.asDict() for r in _firsts(here, names, ups).collect()]
-    if not targets:
-        return found
-    counts = []
+        here = keyed.where(F.col("line_number").isin(wanted) & F.col("_shown"))
+        targets = [r.asDict() for r in _firsts(here, names, ups).collect()] if wanted else []
+    counts = [F.count_if("_shown"), F.coalesce(F.max("line_number"), F.lit(0))]
+    counts += [F.count_if(F.col("line_number") == n) for n in wanted]
     for target in targets:
-        counts.append(F.count_if(_ahead(names, ups, target)))
-        counts.append(F.count_if(F.col("line_number") == target["line_number"]))
-    row = keyed.agg(*[c.alias(f"_count{i}") for i, c in enumerate(counts)]).first()
+        counts.append(F.count_if(F.col("_shown") & _ahead(names, ups, target)))
+        counts.append(F.count_if(F.col("_shown") & (F.col("line_number") == target["line_number"])))
+    row = list(keyed.agg(*[c.alias(f"_count{i}") for i, c in enumerate(counts)]).first())
+    rows, most, there, ahead = row[0], row[1], row[2 : 2 + len(wanted)], row[2 + len(wanted) :]
+    found = dict.fromkeys(wanted, -1)
     for i, target in enumerate(targets):
-        if row[2 * i + 1]:
-            found[target["line_number"]] = row[2 * i]
-    return found
+        if ahead[2 * i + 1]:
+            found[target["line_number"]] = ahead[2 * i]
+    return found, {n for n, count in zip(wanted, there) if count}, rows, most
 
 
 def _firsts(keyed: DataFrame, names: list[str], ups: list[bool]) -> DataFrame:
@@ -112,40 +126,53 @@ def goto_lines(view: View, requests: list[str] | DataFrame) -> DataFrame:
     """Outcome of going to each requested line, as the user typed it.
 
     ``request, line, status, position, max_line`` with status ``shown`` (at
-    ``position``), ``filtered_out``, ``missing``, ``invalid`` or ``no_data``
-    (the view is empty).  A table of requests has a column ``request``.
+    ``position``), ``filtered_out`` (the log has the line, the view does not),
+    ``missing``, ``invalid`` or ``no_data`` (the view is empty).  A table of
+    requests has a column ``request``.  Any positive BIGINT may be a line.
     """
     spark = view.log.frame.sparkSession
-    most = view.log.known_max_line()
-    if isinstance(requests, DataFrame):
-        typed = requests.select("request", parse_line_number(F.col("request")).alias("line"))
-        asked = typed.where("line >= 1").select(F.col("line").alias("line_number"))
-        places = position_table(view, asked)
-    else:
-        typed = spark.createDataFrame([(r,) for r in requests], "request string").select(
-            "request", parse_line_number(F.col("request")).alias("line")
-        )
-        lines = [r["line"] for r in typed.collect() if r["line"] is not None and r["line"] >= 1]
-        if len(set(lines)) > COUNTED_REQUESTS:
-            return goto_lines(view, typed.select("request"))
+    listed = not isinstance(requests, DataFrame)
+    if listed:
+        requests = spark.createDataFrame([(r,) for r in requests], "request string")
+    typed = requests.select("request", parse_line_number(F.col("request")).alias("line"))
+    few = None
+    if listed:
+        few = sorted({r["line"] for r in typed.where("line >= 1").collect()})
+    if few is not None and _countable(view, few):
+        found, there, rows, most = _counted(view, few)
+        empty = rows == 0
         places = spark.createDataFrame(
-            list(find_positions(view, lines).items()), "line_number bigint, position bigint"
+            [(n, p, n in there) for n, p in found.items()],
+            "line bigint, position bigint, there boolean",
         )
+    else:
+        most, empty = view.log.known_max_line(), view.is_empty()
+        asked = typed.where("line >= 1").select(F.col("line").alias("line_number")).distinct()
+        places = _with_presence(view, position_table(view, asked), most)
     line, position = F.col("line"), F.col("position")
-    # Numbers no file of the reach of an INT has are as invalid as text.
-    beyond = (line > INT_MAX) & (line > most)
     status = (
-        F.when(F.lit(view.is_empty()), "no_data")
-        .when(line.isNull() | (line < 1) | beyond, "invalid")
+        F.when(F.lit(empty), "no_data")
+        .when(line.isNull() | (line < 1), "invalid")
         .when(position >= 0, "shown")
-        .when(line <= most, "filtered_out")
+        .when(F.col("there"), "filtered_out")
         .otherwise("missing")
     )
-    joined = typed.join(places.withColumnRenamed("line_number", "line"), "line", "left")
-    return joined.select(
+    return typed.join(places, "line", "left").select(
         "request",
         "line",
         status.alias("status"),
         F.when(position >= 0, position).alias("position"),
         F.lit(most).cast("bigint").alias("max_line"),
     )
+
+
+def _with_presence(view: View, places: DataFrame, most: int) -> DataFrame:
+    """``line, position, there``: whether the log itself has the line."""
+    places = places.withColumnRenamed("line_number", "line")
+    if view.log.dense:
+        return places.withColumn("there", F.col("line") <= most)
+    hidden = places.where("position < 0").select(F.col("line").alias("line_number"))
+    base = view.log.frame.select("line_number")
+    found = attach(base, hidden, ["line_number"], spread="line_number", how="left_semi").distinct()
+    found = found.select(F.col("line_number").alias("line"), F.lit(True).alias("there"))
+    return places.join(found, "line", "left")

@@ -12,9 +12,10 @@ from tablog.operators.numbering import number_blocked
 from tablog.plans.durable import attach
 from tablog.plans.view import SHOWN, View
 
-# Positions below this are reached by a top-n, which keeps that many rows per
-# task; farther ones by the sorted table.
+# Positions below this are reached by a top-n; farther ones by the sorted table.
 NEAR_ROWS = 10_000
+# The scan's tasks hand their first rows to so many tasks, and those to one.
+TOP_GROUPS = 512
 POSITIONED = ("position", *SHOWN)
 
 
@@ -48,8 +49,16 @@ def _in_line_order(view: View) -> DataFrame | None:
 
 
 def _near(view: View, end: int) -> DataFrame:
-    """The first ``end`` rows (few) with their positions."""
+    """The first ``end`` rows (few) with their positions.
+
+    Each scan task keeps its first ``end`` rows, each of a bounded number of
+    groups of tasks keeps its own, and only those meet in one task.
+    """
     df, order = view.sortable()
+    if end > 0:
+        grouped = df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(TOP_GROUPS)))
+        within = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
+        df = grouped.withColumn("_place", within).where(F.col("_place") <= end).drop("_group", "_place")
     rank = F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1
     top = df.orderBy(*order).limit(end)
     return view.show(top.withColumn("position", rank), "position")

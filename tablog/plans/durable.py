@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,18 @@ SALTS = 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as named by ``spark.checkpoint.dir``."""
+    """The folder all executors see, as named by ``spark.checkpoint.dir``.
+
+    Only a session whose tasks run in the driver may do without: a temporary
+    folder of one machine would lose the rows of the others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:  # a bare local session, as in tests
+    if folder is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that {master} shares")
         folder = tempfile.mkdtemp(prefix="tablog-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -100,14 +100,22 @@ class Log:
             ).first()
         )
 
-    def one_file(self, file_name: str) -> Log:
-        """The part of the log that came from one file."""
+    def one_file(self, file_name: str | None = None, file_path: str | None = None) -> Log:
+        """The part of the log that came from one file, by its name or its path.
+
+        Files of one name in two folders are told apart by path only.
+        """
+        if (file_name is None) == (file_path is None):
+            raise ValueError("give either file_name or file_path")
+        column = "file_name" if file_path is None else "file_path"
+        own = F.col(column) == (file_name if file_path is None else file_path)
+        whole = self.summarize
         return replace(
             self,
-            frame=self.frame.where(F.col("file_name") == file_name),
+            frame=self.frame.where(own),
             columns=len(self.cells) or None,
             total=None,
             max_line=None,
             dense=False,
-            summarize=None,
+            summarize=None if whole is None else lambda: whole().where(own),
         )

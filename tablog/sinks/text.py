@@ -13,14 +13,10 @@ from tablog.operators.reshape import LINE_END, OUTPUT_SEPARATOR, visible_line
 from tablog.plans.log import Log
 from tablog.plans.view import View
 
-# Fixed value: a single file is one text of at most this many bytes.
-SINGLE_FILE_BYTES = 2**31 - 1
-
 
 def write_view(
     view: View,
     path: str,
-    single_file: bool = False,
     on_conflict: str = "error",
     compression: str | None = None,
 ) -> int:
@@ -28,18 +24,13 @@ def write_view(
 
     Lines are tab-separated, end with CR LF and carry no header and no line
     number.  ``path`` becomes a folder of part files in name order, replacing
-    what was there; ``single_file`` writes one part, up to 2 GB.  An empty view
-    writes nothing.
+    what was there; the parts in a row are the one file.  An empty view writes
+    nothing.
     """
     if view.is_empty():
         return 0
     visible = view.visible_columns()
     line = _line(view.log, visible, on_conflict, _clean(view))
-    if single_file:
-        df, order = view.sortable(line)
-        _check_one_task(df, "_out0")
-        rows = df.repartition(1).sortWithinPartitions(*order)
-        return _write(rows.select(F.col("_out0").alias("value")), path, compression)
     return _write(view.ordered(line), path, compression)
 
 
@@ -47,7 +38,6 @@ def write_rows_at(
     view: View,
     positions: Iterable[int] | DataFrame,
     path: str,
-    single_file: bool = False,
     on_conflict: str = "error",
     compression: str | None = None,
 ) -> int:
@@ -67,22 +57,10 @@ def write_rows_at(
         return 0
     chosen = rows_at(view, positions)
     line = _line(Log(chosen), visible, on_conflict, _clean(view))
-    lines = chosen.select("position", line)
-    if single_file:
-        _check_one_task(lines, "value")
-        lines = lines.repartition(1).sortWithinPartitions("position")
-    else:
-        lines = lines.orderBy("position")
+    lines = chosen.select("position", line).orderBy("position")
     return _write(lines.select("value"), path, compression)
 
 
-def _check_one_task(lines: DataFrame, column: str) -> None:
-    """Refuse to push more than a file's worth of text through one task."""
-    size = lines.agg(F.coalesce(F.sum(F.octet_length(column) + len(LINE_END)), F.lit(0)))
-    if size.first()[0] > SINGLE_FILE_BYTES:
-        raise ValueError("too much text for a single file; write part files instead")
-
-
 def _clean(view: View) -> bool:
     """Fields split from lines at tabs hold neither tabs nor line ends."""
     return view.log.lines and view.log.separator == OUTPUT_SEPARATOR

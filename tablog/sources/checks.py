@@ -19,6 +19,8 @@ from tablog.sources.scan import (
 # Fixed value: a NUL byte among this many first bytes makes a file binary.
 HEAD_BYTES = 8192
 NUL = "\0"
+# Up to this many suspicious files are named in the scan that checks them.
+NAMED_FILES = 10_000
 # Splits no shorter than the head, whatever the session says, so that the
 # first split of a file holds it.
 _HEAD_SPLITS = {"maxPartitionBytes": "128MB", "openCostInBytes": "4MB"}
@@ -64,10 +66,27 @@ def binary_paths(
     return offsets.where(F.col("offset") < HEAD_BYTES).select("file_path")
 
 
+def binary_among(
+    spark: SparkSession, paths: Paths, glob: str | None, suspects: DataFrame
+) -> DataFrame:
+    """``file_path`` of the binary files among those with a NUL near the start.
+
+    Only the suspects are read again, unless they are too many to name.
+    """
+    named = [r[0] for r in suspects.limit(NAMED_FILES + 1).collect()]
+    return durable(binary_paths(spark, paths, glob, named if len(named) <= NAMED_FILES else None))
+
+
 def binary_files(spark: SparkSession, paths: Paths, glob: str | None = None) -> DataFrame:
-    """``file_name, file_path, is_binary`` of every input file."""
-    paths = distinct_paths(paths)
-    found = binary_paths(spark, paths, glob).withColumn("is_binary", F.lit(True))
+    """``file_name, file_path, is_binary`` of every input file.
+
+    One pass finds the files with a NUL near the start, which are then judged.
+    """
+    paths = distinct_paths(spark, paths, glob)
+    lines = rebase(spark, text_lines(frozen_session(spark), paths, glob))
+    near = (F.col("block_start") < HEAD_BYTES) & F.contains("value", F.lit(NUL))
+    suspects = lines.where(near).select("file_path").distinct()
+    found = binary_among(spark, paths, glob, suspects).withColumn("is_binary", F.lit(True))
     return (
         list_files(spark, paths, glob)
         .join(found, "file_path", "left")

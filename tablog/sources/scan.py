@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import fnmatch
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,29 +29,31 @@ def frozen_session(spark: SparkSession, **settings: str) -> SparkSession:
     return own
 
 
-def distinct_paths(paths: Paths) -> list[str]:
+def distinct_paths(spark: SparkSession, paths: Paths, glob: str | None = None) -> list[str]:
     """The given paths, each once; a file reached in two ways is refused.
 
     Spark would read such a file twice, and its lines would have two numbers.
+    Each path is resolved to its files, so it does not matter how it is spelled.
     """
     given = [paths] if isinstance(paths, str) else list(paths)
     names = list(dict.fromkeys(p.rstrip("/") or "/" for p in given))
-    parts = {name: name.split("/") for name in names}
-    globs = [name for name in names if re.search(r"[*?\[{]", name)]
-    for name in names:
-        folders = ("/".join(parts[name][:n]) for n in range(1, len(parts[name])))
-        covers = [f for f in folders if f in parts]
-        covers += [g for g in globs if g != name and _covers(parts[g], parts[name])]
-        if covers:
-            raise ValueError(f"{name} is also part of {covers[0]}")
+    if len(names) > 1:
+        listed = [
+            list_files(spark, name, glob).select("file_path", F.lit(name).alias("given"))
+            for name in names
+        ]
+        twice = (
+            reduce(DataFrame.union, listed)
+            .groupBy("file_path")
+            .agg(F.sort_array(F.collect_list("given")).alias("given"))
+            .where(F.size("given") > 1)
+            .first()
+        )
+        if twice is not None:
+            raise ValueError(f"{twice['file_path']} is part of {' and '.join(twice['given'])}")
     return names
 
 
-def _covers(glob: list[str], path: list[str]) -> bool:
-    """Whether a path, or a folder it is in, matches a glob part by part."""
-    return len(glob) <= len(path) and all(map(fnmatch.fnmatchcase, path, glob))
-
-
 def rebase(spark: SparkSession, df: DataFrame) -> DataFrame:
     """The same plan seen from ``spark``; the empty branch is optimized away."""
     nothing = spark.range(1).where("false")
@@ -107,10 +108,15 @@ def list_files(spark: SparkSession, paths: Paths, glob: str | None = None) -> Da
     """``file_path, file_name`` of every input file.
 
     Scans leave out empty files, so the names come from the listing the
-    driver holds; no content is read.
+    driver's JVM holds; no content is read and no name comes to Python.
     """
-    listed = sorted(_text(spark, paths, glob).inputFiles())
+    jvm = spark._jvm
+    listed = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(
+        _text(spark, paths, glob)._jdf.inputFiles()
+    )
+    listed = jvm.scala.jdk.javaapi.CollectionConverters.asJava(listed)
+    names = spark._jsparkSession.createDataset(listed, jvm.org.apache.spark.sql.Encoders.STRING())
     # Metadata paths write an empty authority as file:/x, listings as file:///x.
-    named = [(re.sub(r"^(\w+):///", r"\1:/", path),) for path in listed]
-    files = spark.createDataFrame(named, "file_path string")
+    path = F.regexp_replace("value", r"^(\w+):///", "$1:/")
+    files = DataFrame(names.toDF(), spark).select(path.alias("file_path"))
     return files.withColumn("file_name", bare_name(F.col("file_path")))

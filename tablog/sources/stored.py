@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tablog.plans.log import Log
 
 # Facts about a log that hold for its stored copy, too.
 FACTS = (
     "order array<string>, separator string, lines boolean, raw boolean, columns int, "
-    "cells array<string>, total bigint, max_line bigint, dense boolean"
+    "cells array<string>, total bigint, max_line bigint, dense boolean, summarized boolean"
 )
 
 
@@ -19,15 +20,30 @@ def store_log(log: Log, path: str) -> Log:
     """Write the log's rows with their line numbers and open the copy.
 
     Rows are written where they are, without a shuffle; the line stands in for
-    its fields.  Opening the copy again needs no pass over the rows.
+    its fields, and facts not known yet are observed meanwhile.  The load
+    summary, if the log has one, is written beside them.  Opening the copy
+    again needs no pass over the rows.
     """
-    kept = ["file_name", "line_number", *log.order, *log.body]
-    log.frame.select(*dict.fromkeys(kept)).write.mode("overwrite").parquet(
+    seen = Observation()
+    frame = log.frame.observe(
+        seen,
+        F.count(F.lit(1)).alias("total"),
+        F.coalesce(F.max(F.size("fields")), F.lit(0)).alias("columns"),
+        F.coalesce(F.max("line_number"), F.lit(0)).alias("max_line"),
+    )
+    paths = ["file_path"] if "file_path" in frame.columns else []
+    kept = ["file_name", *paths, "line_number", *log.order, *log.body]
+    frame.select(*dict.fromkeys(kept)).write.mode("overwrite").parquet(
         f"{path}/rows", compression="zstd"
     )
     spark = log.frame.sparkSession
     names = [fact.split()[0] for fact in FACTS.split(", ")]
-    row = spark.createDataFrame([tuple(getattr(log, name) for name in names)], FACTS)
+    found = {name: getattr(log, name, None) for name in names}
+    found |= {name: value for name, value in seen.get.items() if found[name] is None}
+    found["summarized"] = log.summarize is not None
+    if log.summarize is not None:
+        log.summarize().write.mode("overwrite").parquet(f"{path}/summary")
+    row = spark.createDataFrame([tuple(found[name] for name in names)], FACTS)
     row.write.mode("overwrite").json(f"{path}/about")
     return open_log(spark, path)
 
@@ -36,6 +52,8 @@ def open_log(spark: SparkSession, path: str) -> Log:
     """A log written by :func:`store_log`."""
     about = spark.read.schema(FACTS).json(f"{path}/about").first().asDict()
     rows = spark.read.parquet(f"{path}/rows")
+    if about.pop("summarized"):
+        about["summarize"] = lambda: spark.read.parquet(f"{path}/summary")
     for name in ("order", "cells"):
         about[name] = tuple(about[name])
     log = Log(frame=rows, **about)

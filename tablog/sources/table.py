@@ -30,7 +30,7 @@ def log_from_table(
         raise ValueError("give either line_number or order_by")
     total = None
     if line_number is None:
-        table = sorted_table(df, order_by, df.columns)
+        table = sorted_table(df, order_by, [F.col(c) for c in dict.fromkeys(columns)])
         df, total = table.positions("_position"), table.total
         line_number, dense = F.col("_position") + 1, True
     cells = tuple(f"cell_{i}" for i in range(len(columns)))

@@ -14,7 +14,7 @@ from tablog.sources.checks import (
     NUL,
     BinaryFileError,
     MalformedTextError,
-    binary_paths,
+    binary_among,
 )
 from tablog.sources.scan import (
     Paths,
@@ -29,8 +29,8 @@ from tablog.sources.scan import (
 # White-space separators cannot be part of a match within one field and do not
 # influence case folding, so the raw line may be searched in place of fields.
 RAW_SEPARATORS = ("\t", " ")
-# Up to this many suspicious files are named in the scan that checks them.
-_NAMED_FILES = 10_000
+# What numbering needs to know about a split.
+PLACE = ["first_mid", "lines", "lines_before", "block_no"]
 
 
 def read_log(
@@ -57,13 +57,17 @@ def read_log(
     _one_of("on_malformed", on_malformed, ("error", "drop", "replace", "keep"))
     if not separator:
         raise ValueError("the separator must not be empty")
-    paths = distinct_paths(paths)
+    paths = distinct_paths(spark, paths, glob)
     own = frozen_session(spark)
     lines = rebase(spark, text_lines(own, paths, glob))
 
     profile = durable(_profile(lines, separator))
     splits, suspects = profile.agg(F.count(F.lit(1)), F.count_if("nul")).first()
-    binary = _binary(spark, paths, glob, profile) if suspects else None
+    binary = None
+    if suspects:
+        named = profile.where("nul").select("file_path").distinct()
+        binary = binary_among(spark, paths, glob, named)
+        binary = None if binary.isEmpty() else binary
     skipped = None
     if binary is not None:
         if on_binary == "error":
@@ -81,7 +85,7 @@ def read_log(
         raise MalformedTextError(f"malformed UTF-8 at (file, line) {places}")
 
     unique = facts["keys"] == facts["blocks"]
-    size = facts["bytes"] * splits / max(facts["blocks"], 1)  # skipped splits, too
+    size = facts["narrow" if unique else "wide"] * splits / max(facts["blocks"], 1)  # skipped, too
     small = size <= broadcast_limit(spark)
     frame = _number(lines, blocks, skipped, unique, small)
     if facts["files"] == 1:
@@ -133,17 +137,6 @@ def _profile(lines: DataFrame, separator: str) -> DataFrame:
     )
 
 
-def _binary(
-    spark: SparkSession, paths: Paths, glob: str | None, profile: DataFrame
-) -> DataFrame | None:
-    """Paths of binary files, or None; only files with a NUL are looked at again."""
-    suspects = profile.where("nul").select("file_path").distinct()
-    named = [r[0] for r in suspects.limit(_NAMED_FILES + 1).collect()]
-    only = named if len(named) <= _NAMED_FILES else None
-    found = durable(binary_paths(spark, paths, glob, only))
-    return None if found.isEmpty() else found
-
-
 def _blocks(profile: DataFrame, max_rows: int | None, splits: int) -> DataFrame:
     """The profile with running line counts per file and a rank over all splits.
 
@@ -182,7 +175,8 @@ def _facts(blocks: DataFrame) -> dict:
         F.count_if(F.col("lines_before") == 0).alias("files"),
         F.min("file_name").alias("file_name"),
         F.min("file_path").alias("file_path"),
-        total(F.sum(row_bytes(blocks))).alias("bytes"),
+        total(F.sum(row_bytes(blocks.select("block_key", *PLACE)))).alias("narrow"),
+        total(F.sum(row_bytes(blocks.select("file_path", "block_start", *PLACE)))).alias("wide"),
         total(F.sum("kept")).alias("kept"),
         total(F.max(end)).alias("max_line"),
         total(F.max(F.when(retained, F.col("width")))).alias("columns"),
@@ -197,13 +191,15 @@ def _facts(blocks: DataFrame) -> dict:
 def _number(
     lines: DataFrame, blocks: DataFrame, skipped: DataFrame | None, unique: bool, small: bool
 ) -> DataFrame:
-    """Lines with their number, by a lookup of the split they came from."""
+    """Lines with their number, by a lookup of the split they came from.
+
+    The lookup is five numbers a split; the path comes with the line.
+    """
     place = ["file_path", "block_start"]
     key = F.xxhash64(*place).alias("block_key")
     keys = ["block_key"] if unique else place
-    keyed = lines.select("value", "mid", *([key] if unique else place))
-    shown = ["file_name", "first_mid", "lines", "lines_before", "block_no"]
-    lookup = blocks.select(*dict.fromkeys([*keys, "file_path"]), *shown)
+    keyed = lines.select("value", "mid", *place, *([key] if unique else []))
+    lookup = blocks.select(*keys, *PLACE)
     if skipped is not None:  # known splits whose lines are left out
         out = skipped.select(*place, key, F.lit(True).alias("out")).select(*keys, "out")
         lookup = lookup.unionByName(out, allowMissingColumns=True)
@@ -215,9 +211,8 @@ def _number(
     number = F.when(
         offset.between(0, F.col("lines") - 1), offset + F.col("lines_before") + 1
     ).otherwise(moved)
-    return found.select(
-        "file_name", "file_path", "block_no", number.alias("line_number"), "value"
-    )
+    name = bare_name(F.col("file_path")).alias("file_name")
+    return found.select(name, "file_path", "block_no", number.alias("line_number"), "value")
 
 
 def _summary(

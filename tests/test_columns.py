@@ -13,6 +13,7 @@ from tablog.operators.columns import (
     save_config,
     upsert_hidden,
     with_hidden,
+    write_config_json,
 )
 from tablog.operators.reshape import visible_fields
 from tablog.plans.spec import hidden_columns, visible_columns
@@ -108,3 +109,39 @@ def test_pad(make_log):
     log = make_log([["a"], ["b", "c", "d"], []])
     padded = log.frame.select(pad_fields(log.fields, 2)).collect()
     assert [r[0] for r in padded] == [["a", ""], ["b", "c", "d"], ["", ""]]
+
+
+def test_config_files_of_both_forms(spark, config, tmp_path, write):
+    table = config(a=[0, 2], b=[], **{'q"{}': [1]})
+    for lines in (False, True):
+        path = str(tmp_path / f"c{lines}")
+        write_config_json(table, path, lines=lines)
+        assert as_dict(read_config_json(spark, path)) == as_dict(table)
+    write_config_json(clear_config(table), str(tmp_path / "none"))
+    assert as_dict(read_config_json(spark, str(tmp_path / "none"))) == {}
+    for bad in ('{"a": [1]} {"b": [2]}', '{"a": [1]}\nrest', '{\n"a": [1]}\n{"b": [2]}', "[1]"):
+        with pytest.raises(Exception, match="neither one JSON object"):
+            read_config_json(spark, write("bad.json", bad.encode())).collect()
+
+
+def test_names_are_unique(spark, config, make_log):
+    twice = config(a=[1]).union(config(a=[2]))
+    for use in (
+        lambda: upsert_hidden(config(b=[0]), twice).collect(),
+        lambda: with_hidden(make_log([["x"]], file_name="a"), twice).collect(),
+    ):
+        with pytest.raises(Exception, match="several entries for a"):
+            use()
+    updates = config(a=[1]).withColumn("turn", F.lit(2)).union(config(a=[2]).withColumn("turn", F.lit(1)))
+    assert as_dict(upsert_hidden(config(a=[0], b=[0]), updates, order="turn")) == {"a": [1], "b": [0]}
+
+
+def test_other_errors_are_not_an_absent_file(spark, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    def refuse(*args, **options):
+        raise AnalysisException("denied", errorClass="OTHER")
+
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameReader.text", refuse)
+    with pytest.raises(AnalysisException):
+        read_config_json(spark, "/nowhere")

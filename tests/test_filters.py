@@ -131,3 +131,33 @@ def test_predicates_apply_to_a_stream(spark, make_log, tmp_path):
     finally:
         query.stop()
     assert [r["fields"] for r in spark.table("hits").collect()] == [["x", "error"]]
+
+
+def test_only_a_bad_pattern_passes_all_rows(spark, monkeypatch):
+    from pyspark.errors import PySparkException
+    from tablog.functions import regex
+
+    assert regex.full_match_pattern("[unclosed(") is None
+
+    def fail(*args, **options):
+        raise PySparkException("lost", errorClass="CONNECT_URL_NOT_SET", messageParameters={})
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(spark), "sql", fail)
+        with pytest.raises(PySparkException):
+            regex.full_match_pattern("never seen before")
+    assert regex.full_match_pattern("never seen before") is not None
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace as Like
+    from tablog.plans.durable import shared_folder
+
+    def session(master):
+        context = Like(getCheckpointDir=lambda: None, master=master, setCheckpointDir=lambda folder: None)
+        return Like(conf=Like(get=lambda name, default: None), sparkContext=context)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://https://host"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
+    assert shared_folder(session("local[4]"))

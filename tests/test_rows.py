@@ -9,6 +9,7 @@ from tablog import (
     detail_text,
     explode_fields,
     find_position,
+    find_positions,
     goto_lines,
     page,
     position_table,
@@ -18,7 +19,7 @@ from tablog import (
     wide_table,
     with_positions,
 )
-from tablog.functions.text import line_label, padded_field, width
+from tablog.functions.text import line_label, raw_field
 from tablog.operators import positions as positions_module
 
 
@@ -28,10 +29,10 @@ def values(log, column):
 
 def test_field_access(make_log):
     log = make_log([["field1", "field2", "field3"], []], lines=[42, 43])
-    assert values(log, width(log.fields)) == [3, 0]
-    assert values(log, padded_field(log.fields, 1)) == ["field2", ""]
+    assert values(log, F.size(log.fields)) == [3, 0]
+    assert values(log, raw_field(log.fields, 1)) == ["field2", None]
     for index in (10, 100, -1, -100):
-        assert values(log, padded_field(log.fields, index)) == ["", ""]
+        assert values(log, raw_field(log.fields, index)) == [None, None]
 
 
 def test_wide_table(make_log):
@@ -96,6 +97,7 @@ def test_first_of_several_files(spark, make_log, sort):
 
 
 REQUESTS = ["1", " 3 ", "4", "9", "0", "-1", "1.5", "x", "", "+2", "99999999999", "3000000000"]
+REQUESTS.append("99999999999999999999")
 OUTCOMES = {
     "1": ("filtered_out", None),
     " 3 ": ("shown", 0),
@@ -107,8 +109,9 @@ OUTCOMES = {
     "x": ("invalid", None),
     "": ("invalid", None),
     "+2": ("shown", 1),
-    "99999999999": ("invalid", None),
-    "3000000000": ("invalid", None),
+    "99999999999": ("missing", None),
+    "3000000000": ("missing", None),
+    "99999999999999999999": ("invalid", None),
 }
 
 
@@ -156,3 +159,36 @@ def test_rows_at_table(spark, make_log):
     view = View(make_log([["b"], ["a"], ["c"]]), ViewSpec(sort=Sort(0)))
     chosen = spark.createDataFrame([(0,), (2,), (2,), (50,), (-1,)], "position int")
     assert sorted(shown(rows_at(view, chosen))) == [(0, 2), (2, 3)]
+
+
+@pytest.mark.parametrize("spec", [{}, {"sort": Sort(0, False)}, {"conditions": (Condition("1"),)}])
+def test_many_lines_are_found_like_few(spark, make_log, spec):
+    log = make_log([[f"v{i % 7}1" if i % 3 else "x"] for i in range(150)], lines=range(2, 302, 2))
+    view = View(log, ViewSpec(**spec))
+    wanted = list(range(1, 310))
+    table = spark.createDataFrame([(n,) for n in wanted], "line_number bigint")
+    places = {r["line_number"]: r["position"] for r in position_table(view, table).collect()}
+    assert find_positions(view, wanted) == places
+    few = wanted[::11]
+    assert find_positions(view, few) == {n: places[n] for n in few}
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_numbers_between_lines_are_missing(spark, make_log, many):
+    log = make_log([["a"], ["b"], ["a"]], lines=[1, 5, 9])
+    asked = ["2", "3", "1", "5", "9", "10"]
+    if many:
+        asked = spark.createDataFrame([(a,) for a in asked], "request string")
+    for view in (View(log), View(log, ViewSpec(conditions=(Condition("a"),), sort=Sort(0)))):
+        got = {r["request"]: r["status"] for r in goto_lines(view, asked).collect()}
+        five = "shown" if view.unfiltered else "filtered_out"
+        assert got == {"2": "missing", "3": "missing", "1": "shown", "5": five, "9": "shown", "10": "missing"}
+
+
+def test_first_rows_meet_in_bounded_groups(make_log):
+    log = make_log([[str(i * 37 % 100)] for i in range(100)])
+    view = View(log, ViewSpec(sort=Sort(0)))
+    plan = page(view, 5, 5)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+    want = sorted(range(1, 101), key=lambda n: (str((n - 1) * 37 % 100), n))[5:10]
+    assert [r["line_number"] for r in page(view, 5, 5).collect()] == want

@@ -1,7 +1,6 @@
 import pytest
 
 from tablog import Sort, View, ViewSpec
-from tablog.functions.text import header_names, selector_names
 
 
 def order(log, sort, **spec):
@@ -40,8 +39,3 @@ def test_own_sort_key(make_log):
 
     log = make_log([["a"], ["b", "c"], ["a", "c"]])
     assert order(log, Sort(0), order_by=((F.size("fields"), False),)) == [3, 2, 1]
-
-
-def test_names():
-    assert header_names(2) == ["Line", "Col 0", "Col 1"]
-    assert selector_names(2) == ["All", "Column 0", "Column 1"]

@@ -1,4 +1,21 @@
-from tablog import Condition, Sort, View, ViewSpec, open_log, read_log, store_log, with_positions
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablog import (
+    Condition,
+    Sort,
+    View,
+    ViewSpec,
+    load_summary,
+    log_from_table,
+    log_from_texts,
+    open_log,
+    read_log,
+    store_log,
+    with_positions,
+)
 
 
 def test_stored_log(spark, write, tmp_path):
@@ -24,3 +41,36 @@ def test_stored_table(spark, make_log, tmp_path):
     again = store_log(log, str(tmp_path / "stored"))
     assert again.rows.orderBy("line_number").collect() == log.rows.collect()
     assert again.known_columns() == 2
+
+
+def test_summary_outlives_storing_and_choosing_a_file(spark, write, tmp_path):
+    ten, five = b"".join(b"%d\n" % i for i in range(10)), b"a\tb\n" * 5
+    write("in/x/one.tsv", ten), write("in/y/one.tsv", five), write("in/empty.tsv", b"")
+    places = [f"{tmp_path}/in/{name}" for name in ("x", "y", "empty.tsv")]
+    log = read_log(spark, places, max_rows=6)
+    want = [("empty.tsv", 0, 0, False), ("one.tsv", 5, 2, False), ("one.tsv", 6, 1, True)]
+    for kept in (log, store_log(log, str(tmp_path / "out"))):
+        assert sorted(map(tuple, load_summary(kept).collect())) == want
+        assert sorted(map(tuple, load_summary(kept.one_file("one.tsv")).collect())) == want[1:]
+        (path,) = [r[0] for r in kept.frame.select("file_path").distinct().collect() if "/x/" in r[0]]
+        part = kept.one_file(file_path=path)
+        assert list(map(tuple, load_summary(part).collect())) == want[2:]
+        assert part.frame.count() == 6
+    with pytest.raises(ValueError):
+        log.one_file()
+
+
+def test_facts_of_texts_are_found_while_storing(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "a b\nc"), (2, "d e f")], "id int, text string")
+    log = store_log(log_from_texts(texts, "text", "id", separator=" "), str(tmp_path / "out"))
+    assert (log.columns, log.total, log.max_line) == (3, 3, 2)
+
+
+def test_only_the_asked_columns_are_sorted(spark):
+    table = spark.createDataFrame([(2, "b", "wide"), (1, "a", "wide")], "k int, v string, w string")
+    log = log_from_table(table, ["v"], order_by=[F.col("k")])
+    assert [r["fields"] for r in log.frame.orderBy("line_number").collect()] == [["a"], ["b"]]
+    stored = {os.path.dirname(path) for path in log.frame.inputFiles() if path.endswith(".parquet")}
+    for path in stored:
+        assert not {"k", "w"} & set(spark.read.parquet(path).columns)
+    assert stored

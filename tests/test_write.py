@@ -20,7 +20,7 @@ def test_view(make_log, tmp_path):
     assert content(out) == "col1\tcol2\tcol3\r\nval1\tval2\tval3\r\ndata1\tdata2\tdata3\r\n"
     # Replaces what was there, in view order, visible columns only.
     spec = ViewSpec(conditions=(Condition("l"),), sort=Sort(0, False), hidden=(1,))
-    assert write_view(View(make_log(ROWS), spec), out, single_file=True) == 2
+    assert write_view(View(make_log(ROWS), spec), out) == 2
     assert content(out) == "val1\tval3\r\ncol1\tcol3\r\n"
 
 
@@ -51,7 +51,7 @@ def test_chosen_rows(spark, make_log, tmp_path):
     assert write_rows_at(View(make_log([["a", "b"]])), [0, 5, 100], out) == 1
     assert content(out) == "a\tb\r\n"
     table = spark.createDataFrame([(1,), (9,)], "position int")
-    assert write_rows_at(View(log), table, out, single_file=True) == 1
+    assert write_rows_at(View(log), table, out) == 1
     assert content(out) == "row1col1\tx\r\n"
 
 
@@ -106,18 +106,3 @@ def test_compressed(spark, make_log, tmp_path):
     assert write_view(View(make_log(ROWS)), out, compression="gzip") == 3
     back = read_log(spark, out)
     assert sorted(r["fields"] for r in back.rows.collect()) == sorted(ROWS)
-
-
-def test_single_file_is_bounded(make_log, tmp_path, monkeypatch):
-    from tablog.sinks import text
-
-    monkeypatch.setattr(text, "SINGLE_FILE_BYTES", 10)
-    out = tmp_path / "out"
-    for write_it in (
-        lambda **o: write_view(View(make_log(ROWS)), str(out), **o),
-        lambda **o: write_rows_at(View(make_log(ROWS)), [0, 1], str(out), **o),
-    ):
-        with pytest.raises(ValueError, match="part files"):
-            write_it(single_file=True)
-        assert not out.exists()
-    assert write_view(View(make_log(ROWS)), str(out)) == 3
