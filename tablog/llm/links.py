@@ -30,8 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component``, the smallest node it reaches; ``edges`` has ``a`` and ``b``.
 
     Neighbourhoods are rewired to their smallest node, over larger and over
-    smaller neighbours in turn, until nothing changes; what is left is a star
-    around each component's smallest node.  Each turn is an aggregation and a
+    smaller neighbours in turn, until what is left is a star around each
+    component's smallest node.  Each turn is an aggregation and a
     join, so a node with very many neighbours is no single task's work.
     Nodes without edges to others are left out.
     """
@@ -49,21 +49,16 @@ def components(edges: DataFrame) -> DataFrame:
             out = linked.select(ends.alias("e")).select(F.col("e.u").alias("a"), F.col("e.m").alias("b"))
         return out.where("a <> b").distinct()
 
-    def mark(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
     now, count = settled(edges.select("a", "b").where("a <> b"))
-    before = None
-    while True:
+    while count:
         parts = count // ROWS_PER_PART + 1
         now = durable(rewired(rewired(now, True).coalesce(parts), False).coalesce(parts))
-        after = mark(now)
-        count = after[0]
-        if after == before or not count:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        before = after
+        count, leaves = now.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
+        inner = now.select("a").join(now.select(F.col("b").alias("a")), "a", "left_semi")
+        if count == leaves and inner.isEmpty():  # every leaf has one centre, and no centre is a leaf
+            break
+    centres = now.select("b").distinct()
+    return now.toDF("node", "component").union(centres.select("b", "b"))
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
