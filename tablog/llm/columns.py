@@ -13,6 +13,11 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def packed(docs: DataFrame, without: list[str] | None = None) -> Column:
+    """All columns of a table as one struct ``_row``, so that no helper column meets their names."""
+    return F.struct(*[named(c) for c in docs.columns if c not in (without or [])]).alias("_row")
+
+
 def whole_text(column: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(named(column).cast("string"), F.lit(""))

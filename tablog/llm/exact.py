@@ -57,7 +57,7 @@ def drop_exact(
     """
     kept = exact_groups(docs, id_column, text_column, keep).where("kept")
     kept = kept.select(F.col(id_column).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    same = named(id_column).eqNullSafe(F.col("_kept_id")) & (
-        F.sha2(whole_text(text_column), 256) == F.col("_kept_sha")
+    same = named(id_column).eqNullSafe(kept["_kept_id"]) & (
+        F.sha2(whole_text(text_column), 256) == kept["_kept_sha"]
     )
     return docs.join(kept, same, "left_semi")

@@ -91,10 +91,9 @@ def link_groups(
     turn leaves the bucket, and a bucket is done when one component is left,
     so the result is that of all pairs.
     """
+    about = [c for c in traits.columns if c != "item"]
     central = members.groupBy("item").agg(F.sum("size").alias("central"))
-    about = traits.join(central, "item")
-    names = about.columns
-    members, left = settled(members.select("bucket", "item").join(about, "item"))
+    members, left = settled(members.select("bucket", "item").join(central, "item"))
     found: DataFrame | None = None
     turn = 0
     while left:
@@ -114,12 +113,23 @@ def link_groups(
         slot = F.pmod(F.xxhash64("item"), F.lit(slots)).alias("slot")
         rows, _ = settled(rows.join(mains, "bucket").select("*", slot))
         choice = rows if early else rows.where("comp <> main")
-        best = F.max(F.struct("central", "item", "comp", *[n for n in names if n not in ("central", "item")]))
-        pivots = choice.groupBy("bucket", "slot").agg(best.alias("pivot")).select("bucket", "pivot")
+        best = F.max(F.struct("central", "item", "comp")).alias("pivot")
+        pivots = choice.groupBy("bucket", "slot").agg(best).select("bucket", "pivot.item", "pivot.comp")
+        done = pivots.select("bucket", "item")
+        x, y = "x_{}".format, "y_{}".format
+
+        def side(frame: DataFrame, name: Callable[[str], str]) -> DataFrame:
+            named = frame.select("bucket", "item", "comp")
+            if about:
+                named = named.join(traits, "item")
+            return named.select("bucket", *[F.col(c).alias(name(c)) for c in ("item", "comp", *about)])
+
         pairs = (
-            rows.join(pivots, "bucket")
-            .where((F.col("comp") != F.col("pivot.comp")) & possible(F.col, lambda n: F.col(f"pivot.{n}")))
-            .select(F.least("item", "pivot.item").alias("a"), F.greatest("item", "pivot.item").alias("b"))
+            side(rows, x)
+            .join(side(pivots, y), "bucket")
+            .where("x_comp <> y_comp")
+            .where(possible(lambda n: F.col(x(n)), lambda n: F.col(y(n))))
+            .select(F.least("x_item", "y_item").alias("a"), F.greatest("x_item", "y_item").alias("b"))
             .distinct()
         )
         links, linked = settled(pairs if confirm is None else confirm(pairs).select("a", "b"))
@@ -127,8 +137,9 @@ def link_groups(
             if found is not None:
                 links = links.union(found.select("node", "component"))
             found = components(links)
-        done = pivots.select("bucket", F.col("pivot.item").alias("item"))
-        members, left = settled(rows.select("bucket", *names).join(done, ["bucket", "item"], "left_anti"))
+        members, left = settled(
+            rows.select("bucket", "item", "central").join(done, ["bucket", "item"], "left_anti")
+        )
         turn += 1
     if found is None:
         return members.select(F.col("item").alias("node"), F.col("item").alias("component"))

@@ -19,6 +19,8 @@ PERCENT = 75
 # Sketch: bins of the one permutation (a power of two), and bins per band.
 BINS = 128
 BAND = 4
+# Places of the sketch that rules pairs out.
+ODD_BITS = 1024
 SEED = 23
 
 
@@ -80,21 +82,25 @@ def band_hashes(sketch: np.ndarray, band: int) -> np.ndarray:
     return mix64(mixed + np.arange(bands.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def sketch_bytes(sketch: np.ndarray) -> np.ndarray:
-    """The lowest byte of every bin, eight to a number."""
-    return np.ascontiguousarray(sketch.astype(np.uint8)).view(np.int64)
+def odd_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """For each of ``bits`` places whether an odd number of a set's members fall there, 64 to a number.
 
+    Two sketches differ in at most as many places as their sets have members
+    that the other lacks.
+    """
+    count = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = mix64(np.concatenate([*sets, np.empty(0, np.uint64)]) ^ np.uint64(SEED))
+    at = np.repeat(np.arange(len(sets)), count) * bits + (flat % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sets) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sets), bits), axis=1).view(np.int64)
 
-def agreeing(left: Side, right: Side, count: int) -> Column:
-    """In how many of 8 * ``count`` bytes two sketches agree."""
-    differ = F.lit(0)
-    for i in range(count):
-        bits = left(f"s{i}").bitwiseXOR(right(f"s{i}"))
-        # Every byte's bits gathered in its lowest one.
-        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift)).bitwiseAND(F.lit(mask))
-        differ = differ + F.bit_count(bits)
-    return F.lit(8 * count) - differ
+
+def differing(left: Side, right: Side, names: list[str]) -> Column:
+    """In how many places two odd sketches differ."""
+    out = F.lit(0)
+    for name in names:
+        out = out + F.bit_count(left(name).bitwiseXOR(right(name)))
+    return out
 
 
 def near_groups(
@@ -114,27 +120,27 @@ def near_groups(
     are one item from the start.  Candidates share a bucket: ``band`` equal
     bins of a sketch of ``bins``.  With the defaults a pair at exactly 75 %
     is missed with probability 0.000006, a more similar one less.  Before sets
-    are compared, pairs go whose sizes rule a link out, and those whose
-    sketches agree in two thirds of ``percent`` of the bins at most (64 of 128;
-    a pair at exactly 75 % agrees in 96 on average and in so few with
-    probability 1e-10).  Candidate pairs are stars first (see ``link_groups``), so a large
-    group of near copies costs about its size.
-
-    A text without words has an empty set and no links.  Rows sharing an id
-    go by their own texts, except that texts of one smallest id are one item.
-    Rows without an id have no links, a null ``component_id``, and are kept.
+    are compared, pairs go whose sizes rule a link out, or whose odd sketches
+    differ in more places than linked sets can have members apart; neither
+    loses a link.  Candidate pairs are stars first (see ``link_groups``), so a
+    large group of near copies costs about its size.
+
+    A text without words has an empty set and no links.  Ids are taken to be
+    unique: rows repeating an id and text are alike, and of rows that share an
+    id but not the text links are looked for with one of the texts.  Rows
+    without an id have no links, a null ``component_id``, and are kept.
     """
     rows = docs.select(named(id_column).cast("bigint").alias("id"), whole_text(text_column).alias("text"))
 
-    parts_of = [f"s{i}" for i in range(bins // 8)]
+    parts_of = [f"s{i}" for i in range(ODD_BITS // 64)]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(1))
             for a, b in chunks(list(map(len, texts))):
                 sets = shingle_sets(texts[a:b], shingle)
-                filled = sketches(sets, bins)
-                keys, bands, parts = set_keys(sets), band_hashes(filled, band), sketch_bytes(filled)
+                keys, bands = set_keys(sets), band_hashes(sketches(sets, bins), band)
+                parts = odd_sketches(sets, ODD_BITS)
                 ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -166,12 +172,13 @@ def near_groups(
     sketched = durable(rows.mapInArrow(sketch, schema))
     usable = sketched.where("n > 0 and id is not null")
     items = usable.groupBy("key1", "key2").agg(F.min("id").alias("item"))
-    # Of an item's rows the first stands for all; others of its id have other texts.
+    # Of an item's rows the first stands for all.
     first = usable.join(items.withColumnRenamed("item", "id"), ["key1", "key2", "id"])
-    first = first.dropDuplicates(["id"]).withColumnRenamed("id", "item")
+    first = durable(first.drop("key1", "key2").dropDuplicates(["id"]).withColumnRenamed("id", "item"))
     members = durable(shared_buckets(first.select(F.explode("bands").alias("bucket"), "item")))
-    traits = first.select("item", "n", *parts_of)
-    wanted = members.select("item").distinct().withColumnRenamed("item", "id")
+    shared = members.select("item").distinct()
+    traits = durable(first.select("item", "n", *parts_of).join(shared, "item"))
+    wanted = traits.select(F.col("item").alias("id"))
     texts = rows.join(wanted, "id")
     sets = texts.mapInArrow(full_sets, "item bigint, key1 bigint, key2 bigint, members array<bigint>")
     of_item = items.select("key1", "key2", "item")
@@ -186,8 +193,10 @@ def near_groups(
 
     def possible(x: Side, y: Side) -> Column:
         small, large = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
-        agree = agreeing(x, y, len(parts_of))
-        return (small * 100 >= large * percent) & (agree * 150 >= bins * percent)
+        # Of n + m members of two linked sets at most this share is in one set only.
+        apart = (x("n") + y("n")) * (100 - percent)
+        near = differing(x, y, parts_of) * (100 + percent) <= apart
+        return (small * 100 >= large * percent) & near
 
     found = link_groups(members, traits, possible, confirm)
     grouped = of_item.join(found.withColumnRenamed("node", "item"), "item", "left").select(
@@ -208,4 +217,4 @@ def drop_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """The rows of ``docs`` that stay, one document of each group, all columns as they were."""
     gone = near_groups(docs, id_column, text_column, **options).where("not kept")
     gone = gone.select(F.col(id_column).alias("_gone")).distinct()
-    return docs.join(gone, named(id_column) == F.col("_gone"), "left_anti")
+    return docs.join(gone, named(id_column) == gone["_gone"], "left_anti")

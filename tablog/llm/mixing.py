@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablog.llm.columns import named, whole_text, word_count
+from tablog.llm.columns import named, packed, whole_text, word_count
 from tablog.plans.durable import durable
 
 # Rows of a source per step of the running total, on average.
@@ -88,16 +88,15 @@ def mix(
     text = whole_text(text_column)
     added = ["size", "source_size", "target", "copies", "taken"]
     key = sampling_key(named(id_column), quality_weight(text), seed)
-    marked = docs.drop(*added).withColumns(
-        {
-            "_source": named(source_column).cast("string"),
-            "size": word_count(text),
-            "_order": F.struct(
-                key.alias("key"),
-                F.coalesce(named(id_column).cast("string"), F.lit("")).alias("id"),
-                F.xxhash64(text).alias("hash"),
-            ),
-        }
+    marked = docs.select(
+        packed(docs, added),
+        named(source_column).cast("string").alias("_source"),
+        word_count(text).alias("size"),
+        F.struct(
+            key.alias("key"),
+            F.coalesce(named(id_column).cast("string"), F.lit("")).alias("id"),
+            F.xxhash64(text).alias("hash"),
+        ).alias("_order"),
     )
     rows = durable(marked.select("_source", "size", "_order"))
     sizes = rows.groupBy("_source").agg(
@@ -153,12 +152,14 @@ def mix(
         .withColumn("source_size", F.col("_total"))
         .withColumn("copies", copies)
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*[named(c) for c in docs.columns if c not in added], *added)
+        .select("_row.*", *added)
     )
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, in the columns of ``docs``."""
-    mixed = mix(docs, **options).where("copies > 0")
+    defaults = {"id_column": "doc_id", "text_column": "text", "source_column": "source"}
+    read = dict.fromkeys(options.get(name, column) for name, column in defaults.items())
+    mixed = mix(docs.select(packed(docs).alias("_given"), *[named(c) for c in read]), **options)
     again = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
-    return mixed.withColumn("_copy", again).select(*[named(c) for c in docs.columns])
+    return mixed.where("copies > 0").select("_given", again.alias("_copy")).select("_given.*")

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablog.llm.columns import named, whole_text
+from tablog.llm.columns import named, packed, whole_text
 from tablog.llm.labels import SAMPLE, training_rows
 from tablog.plans.durable import durable
 
@@ -141,6 +141,6 @@ def score_quality(
     A null text counts as empty and is scored like any other.  Columns of
     ``docs`` named like an added one are replaced.
     """
-    kept = [named(c) for c in docs.columns if c not in ("score", "predicted")]
-    rows = docs.withColumn("_stats", measured(text_column)).withColumn("score", model.score("_stats"))
-    return rows.select(*kept, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select(packed(docs, ["score", "predicted"]), measured(text_column).alias("_stats"))
+    scored = rows.select("_row", model.score("_stats").alias("score"))
+    return scored.select("_row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -4,7 +4,7 @@ import numpy as np
 from helpers import AWKWARD, components, documents, lower_ascii, prose, words
 from tablog.llm.links import components as spark_components
 from tablog.llm.links import link_groups, shared_buckets
-from tablog.llm.minhash import drop_near, near_groups, sketches
+from tablog.llm.minhash import drop_near, near_groups, odd_sketches, sketches
 
 
 def shingles(text):
@@ -33,7 +33,7 @@ def edited(rng, w, edits):
 
 
 def check(spark, rows):
-    docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows], extra=["component_id", "n", "bands"])
+    docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows], extra=["component_id", "n", "bands", "_gone"])
     got = near_groups(docs.repartition(4)).collect()
     assert sorted(tuple(r) for r in got) == brute(rows)
     assert sorted(r.doc_id for r in drop_near(docs).collect()) == [i for i, _, g, k in brute(rows) if k]
@@ -82,6 +82,17 @@ def test_sketch_agreement_follows_similarity():
     assert abs((a == b).mean() - 0.6) < 0.15
 
 
+def test_odd_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, size)) for size in (1, 5, 100, 300, 450)] + [np.empty(0, np.uint64)]
+    odd = odd_sketches(sets, 256)
+    for a, s in zip(odd, sets):
+        for b, t in zip(odd, sets):
+            differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in a ^ b)
+            assert differ <= len(np.setxor1d(s, t)) and (differ - len(np.setxor1d(s, t))) % 2 == 0
+
+
 def test_components_of_long_paths(spark):
     rng = random.Random(10)
     order = rng.sample(range(300), 300)

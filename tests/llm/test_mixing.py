@@ -43,7 +43,7 @@ def test_targets_epochs_and_cut(spark):
 
 
 def test_awkward_rows(spark):
-    docs = documents(spark, [*AWKWARD, "x y"], ids=[*range(9), 8, None], extra=["size", "_source", "key"])
+    docs = documents(spark, [*AWKWARD, "x y"], ids=[*range(9), 8, None], extra=["size", "_source", "key", "_row", "_given"])
     rows = mix(docs).collect()
     assert len(rows) == 11
     assert {r.doc_id: r.size for r in rows}[0] == 0
