@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablog.llm.columns import named
-from tablog.llm.lines import drop_lines
 from tablog.llm.minhash import drop_near
 from tablog.llm.mixing import mixed_rows
+from tablog.llm.near_lines import drop_near_lines
 from tablog.llm.quality import fit_rules, score_quality
 from tablog.llm.queries import token_digests
 from tablog.plans.durable import scratch_path
@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; those left without any line go."""
-    rows = drop_lines(docs).where("n_removed = 0 or trim(kept_text) <> ''")
+    rows = drop_near_lines(docs).where("n_removed = 0 or trim(kept_text) <> ''")
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     length = F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))

@@ -12,9 +12,9 @@ from tablog.llm.bpe import decode, encode
 from tablog.llm.columns import documents, held_out
 from tablog.llm.embedding import near_vectors
 from tablog.llm.exact import exact_groups
-from tablog.llm.lines import drop_lines
 from tablog.llm.minhash import near_groups
 from tablog.llm.mixing import mix
+from tablog.llm.near_lines import drop_near_lines
 from tablog.llm.quality import fit_rules, score_quality
 from tablog.llm.secrets import BASE, KINDS, EXAMPLE_OWNERS, LIVE_CHARACTERS, find_secrets, span_list
 from tablog.llm.substring import drop_repeated
@@ -104,7 +104,7 @@ SECRETS_SQL = f"""
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_lines(documents(spark, sf_dir)).select(
+    return drop_near_lines(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
 
