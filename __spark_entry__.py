@@ -219,6 +219,24 @@ def wide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.wide_table(document_log(spark, sf_dir), columns=8)
 
 
+def event_files(spark: SparkSession, sf_dir: str) -> tl.Log:
+    """The events with a file per event_type, only errors with their props: the width is in the rows."""
+    short = [F.col(name).cast("string") for name in EVENT_FIELDS[:3]]
+    wide = F.array(*short, F.coalesce("props", F.lit("")))
+    fields = F.when(F.col("event_type") == "error", wide).otherwise(F.array(*short))
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("file_name"),
+        (F.col("event_id") + 1).cast("bigint").alias("line_number"),
+        fields.alias("fields"),
+    )
+    return tl.Log(frame=rows)
+
+
+def wide_table_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many columns as the widest line of all files has."""
+    return tl.wide_table(event_files(spark, sf_dir))
+
+
 def visible_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.wide_table(event_log(spark, sf_dir), hidden=(1, 3, 99, -1))
 
@@ -251,6 +269,15 @@ def hidden_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_name", "line_number", tl.row_text(shown).alias("text"))
 
 
+def hidden_by_file_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines padded to the width found, without their file's hidden columns."""
+    log = event_files(spark, sf_dir)
+    files = table(spark, sf_dir, "events").select(F.col("event_type").alias("file_name")).distinct()
+    config = files.select("file_name", F.array(F.length("file_name") % 4).alias("hidden"))
+    shown = visible_fields(F.col("fields"), F.col("hidden"), log.known_columns())
+    return with_hidden(log, config).select("file_name", "line_number", tl.row_text(shown).alias("text"))
+
+
 def config_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = document_config(spark, sf_dir)
     return shown_config(upsert_hidden(config, label_config(spark, sf_dir)))
@@ -517,8 +544,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "goto_gaps": goto_gaps,
         "find_many": find_many,
         "wide_table": wide_table,
+        "wide_table_found": wide_table_found,
         "visible_columns": visible_columns,
         "hidden_by_file": hidden_by_file,
+        "hidden_by_file_found": hidden_by_file_found,
         "config_upsert": config_upsert,
         "config_delete": config_delete,
         "config_json": config_json,
@@ -694,12 +723,21 @@ def oracle_sql() -> dict[str, str]:
         "wide_table": f"""WITH {DOC} SELECT file_name, line_number, """
         + ", ".join(f"coalesce(fields[{i + 1}], '') AS col_{i}" for i in range(8))
         + " FROM doc",
+        "wide_table_found": """SELECT event_type AS file_name, event_id + 1 AS line_number,
+            CAST(event_id AS VARCHAR) AS col_0, CAST(user_id AS VARCHAR) AS col_1,
+            event_type AS col_2,
+            CASE WHEN event_type = 'error' THEN coalesce(props, '') ELSE '' END AS col_3
+            FROM events""",
         "visible_columns": f"""WITH {EV} SELECT file_name, line_number, fields[1] AS col_0,
             fields[3] AS col_2 FROM ev""",
         "hidden_by_file": f"""WITH {DOC} SELECT file_name, line_number, array_to_string(
               [coalesce(fields[i + 1], '') FOR i IN range(greatest(8, len(fields)))
                IF quality IS NULL OR (i <> quality AND i <> toxic + 4)], chr(9)) AS text
             FROM doc LEFT JOIN labels ON CAST(doc_id AS VARCHAR) = file_name""",
+        "hidden_by_file_found": f"""WITH {EV} SELECT fields[3] AS file_name, line_number,
+            array_to_string([CASE WHEN i = 3 AND fields[3] <> 'error' THEN ''
+                ELSE coalesce(fields[i + 1], '') END
+              FOR i IN range(4) IF i <> length(fields[3]) % 4], chr(9)) AS text FROM ev""",
         "config_upsert": f"""WITH {CONFIG} SELECT file_name, hidden FROM cfg
             WHERE file_name NOT IN (SELECT file_name FROM upd)
             UNION ALL SELECT file_name, hidden FROM upd""",
