@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from tablog.llm.bpe import decode, encode
 from tablog.llm.columns import documents, held_out
+from tablog.llm.decontamination import LOWER, UPPER, WORDS, find_contamination
 from tablog.llm.embedding import near_vectors
 from tablog.llm.exact import exact_groups
+from tablog.llm.manifest import merkle_manifest
 from tablog.llm.minhash import near_groups
 from tablog.llm.mixing import mix
 from tablog.llm.near_lines import drop_near_lines
 from tablog.llm.quality import fit_rules, score_quality
+from tablog.llm.resampling import importance_scores
 from tablog.llm.secrets import BASE, KINDS, EXAMPLE_OWNERS, LIVE_CHARACTERS, find_secrets, span_list
 from tablog.llm.substring import drop_repeated
 from tablog.llm.toxicity import fit_sentences, score_toxicity
@@ -141,6 +144,173 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance_scores(documents(spark, sf_dir), benchmark)
+
+
+# Lower-cased words as SQL takes them, and CRC-32 byte by byte.
+SQL_WORDS = f"""regexp_extract_all(
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORDS}')"""
+
+RESAMPLING_SQL = f"""
+    WITH tables AS (
+      SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS steps
+      FROM range(256) t(b)),
+    found AS (
+      SELECT true AS own, doc_id, unnest({SQL_WORDS}) AS word FROM documents
+      UNION ALL SELECT false, NULL, unnest({SQL_WORDS}) FROM benchmark),
+    words AS (
+      SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM found)),
+    hashed AS (
+      SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
+          range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+        lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)]))) % 10000 AS bucket
+      FROM words, tables),
+    counts AS (
+      SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t
+      FROM found JOIN hashed USING (word) GROUP BY bucket),
+    gains AS (
+      SELECT bucket, CAST(floor(1000 * ln(
+          ((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+          / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain
+      FROM counts),
+    weights AS (
+      SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight
+      FROM found JOIN hashed USING (word) JOIN gains USING (bucket) WHERE own GROUP BY doc_id),
+    scored AS (
+      SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+          (CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+          / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM documents d LEFT JOIN weights USING (doc_id)),
+    placed AS (
+      SELECT *, n_features >= 20 AS long,
+        row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+        count(*) FILTER (n_features >= 20) OVER () AS eligible
+      FROM scored)
+    SELECT doc_id, n_features, weight, score,
+      CASE WHEN long AND place <= eligible * 10 // 100 THEN place END AS rank
+    FROM placed"""
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return find_contamination(documents(spark, sf_dir), benchmark).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+CONTAMINATION_SQL = f"""
+    WITH items AS (
+      SELECT CAST(item_id AS VARCHAR) AS item, {SQL_WORDS} AS words FROM benchmark),
+    sized AS (
+      SELECT item, words, least(len(words), 10) AS size FROM items WHERE len(words) > 0),
+    placed AS (
+      SELECT item, size, words, unnest(range(len(words) - size + 1)) AS start FROM sized),
+    windows AS (
+      SELECT DISTINCT item, size, array_to_string(words[start + 1 : start + size], ' ') AS run FROM placed),
+    texts AS (
+      SELECT doc_id, {SQL_WORDS} AS words FROM documents),
+    runs AS (
+      SELECT doc_id, size, start, array_to_string(words[start + 1 : start + size], ' ') AS run
+      FROM (SELECT doc_id, words, size, unnest(range(len(words) - size + 1)) AS start
+            FROM texts, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size)),
+    met AS (
+      SELECT doc_id, item, size, start FROM runs JOIN windows USING (size, run)),
+    hit AS (
+      SELECT doc_id, count(DISTINCT word) AS n
+      FROM (SELECT doc_id, unnest(range(start, start + size)) AS word FROM met) GROUP BY doc_id),
+    listed AS (
+      SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit,
+      coalesce(listed.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+      hit.n IS NOT NULL AS contaminated
+    FROM texts LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proven = merkle_manifest(documents(spark, sf_dir), changed={"text": text})
+
+    def shown(digest: str) -> Column:
+        return F.lower(F.hex(digest))
+
+    return proven.select(
+        "doc_id",
+        shown("leaf").alias("leaf"),
+        shown("subroot").alias("subroot"),
+        shown("root").alias("root"),
+        F.sha2(shown("proof"), 256).alias("proof_sha256"),
+        shown("folded").alias("folded_root"),
+        "verified",
+    )
+
+
+# Levels that the SQL of the manifest goes up: more than its trees can have.
+SQL_LEVELS = 24
+
+
+def _sql_tree(name: str) -> str:
+    """Levels over the nodes ``{name}0`` (tree, node, n, digest) and ways up from ``{name}_up0``."""
+    levels = []
+    for k in range(SQL_LEVELS):
+        levels.append(f"""
+    {name}{k + 1} AS MATERIALIZED (
+      SELECT tree, node // 3 AS node, (n + 2) // 3 AS n, CASE WHEN n > 1
+        THEN sha256(string_agg(digest, '' ORDER BY node)) ELSE max(digest) END AS digest
+      FROM {name}{k} GROUP BY tree, n, node // 3),
+    {name}_up{k + 1} AS MATERIALIZED (
+      SELECT u.tree, u.leaf, u.own // 3 AS own,
+        u.proof || coalesce(string_agg(digest, '' ORDER BY node) FILTER (node <> own), '') AS proof,
+        CASE WHEN n > 1 THEN sha256(string_agg(CASE WHEN node = own THEN seen ELSE digest END, '' ORDER BY node))
+          ELSE seen END AS seen
+      FROM {name}_up{k} u JOIN {name}{k} t ON t.tree = u.tree AND t.node // 3 = u.own // 3
+      GROUP BY u.tree, u.leaf, u.own, u.proof, u.seen, n)""")
+    return ",".join(levels)
+
+
+def _sql_leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields)
+
+
+MANIFEST_SQL = f"""
+    WITH leaves AS (
+      SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS node,
+        count(*) OVER (PARTITION BY source) AS n, sha256({_sql_leaf("text")}) AS leaf,
+        sha256({_sql_leaf("CASE WHEN even THEN replace(text, chr(10), '') ELSE text END")}) AS seen
+      FROM documents JOIN crcs USING (doc_id)),
+    t0 AS (SELECT tree, node, n, leaf AS digest FROM leaves),
+    t_up0 AS (SELECT tree, node AS leaf, node AS own, '' AS proof, seen FROM leaves),{_sql_tree("t")},
+    s0 AS (SELECT 0 AS tree, tree AS node, count(*) OVER () AS n, digest FROM t{SQL_LEVELS}),
+    s_up0 AS (SELECT 0 AS tree, (tree, leaf) AS leaf, tree AS own, proof, seen
+      FROM t_up{SQL_LEVELS}),{_sql_tree("s")}
+    SELECT doc_id, l.leaf, t{SQL_LEVELS}.digest AS subroot, r.digest AS root,
+      sha256(u.proof) AS proof_sha256, u.seen AS folded_root, u.seen = r.digest AS verified
+    FROM leaves l JOIN t{SQL_LEVELS} USING (tree)
+      JOIN s_up{SQL_LEVELS} u ON u.leaf = (l.tree, l.node), s{SQL_LEVELS} r"""
+MANIFEST_SQL = MANIFEST_SQL.replace("WITH leaves AS", """WITH tables AS (
+      SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS steps
+      FROM range(256) t(b)),
+    crcs AS (
+      SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295,
+        list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)]))) % 2 = 0 AS even
+      FROM documents, tables),
+    leaves AS""")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": op1_substring,
@@ -153,6 +323,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
+        "op11_resampling": op11_resampling,
+        "op12_decontamination": op12_decontamination,
+        "op13_manifest": op13_manifest,
     }
 
 
@@ -200,4 +373,7 @@ def oracle_sql() -> dict[str, str]:
               CAST(size * (epochs + CASE WHEN 2 * running - size <= 2 * (target - epochs * total)
                 THEN 1 ELSE 0 END) AS BIGINT) AS taken
             FROM placed""",
+        "op11_resampling": RESAMPLING_SQL,
+        "op12_decontamination": CONTAMINATION_SQL,
+        "op13_manifest": MANIFEST_SQL,
     }
