@@ -156,6 +156,12 @@ def page_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(tl.page(view, 100, 50), "position")
 
 
+def page_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near enough for a top-n, beyond what Spark limits within a window."""
+    view = event_view(spark, sf_dir, sort=tl.Sort(2, ascending=False))
+    return lines_of(tl.page(view, 5000, 50), "position")
+
+
 def page_far(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond the reach of a top-n."""
     view = tl.View(order_log(spark, sf_dir), tl.ViewSpec(sort=tl.Sort(3, ascending=False)))
@@ -199,7 +205,7 @@ def goto_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def goto_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line numbers with gaps: a number between two lines is missing, not filtered out."""
     orders = table(spark, sf_dir, "orders")
-    log = log_from_table(orders, ORDER_FIELDS, line_number=F.col("o_orderkey") * 4)
+    log = log_from_table(orders, ORDER_FIELDS, line_number=(F.col("o_orderkey") + 1) * 4)
     view = tl.View(log, tl.ViewSpec(conditions=(tl.Condition("/O|P/", 2),)))
     request = (F.col("doc_id") * 6).cast("string")
     return tl.goto_lines(view, table(spark, sf_dir, "labels").select(request.alias("request")))
@@ -535,6 +541,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sort_expr": sort_expr,
         "table_lines": table_lines,
         "page_near": page_near,
+        "page_middle": page_middle,
         "page_far": page_far,
         "row_range": row_range,
         "rows_at_positions": rows_at_positions,
@@ -690,6 +697,8 @@ def oracle_sql() -> dict[str, str]:
         "page_near": f"""WITH {DOC} SELECT * FROM (SELECT {LINES},
             {positions("lower(coalesce(fields[3], '')), file_key, line_number")} FROM doc)
             WHERE position BETWEEN 100 AND 149""",
+        "page_middle": f"""WITH {EV} SELECT * FROM (SELECT {LINES}, {positions(by_type)}
+            FROM ev) WHERE position BETWEEN 5000 AND 5049""",
         "page_far": f"""WITH {ORD} SELECT * FROM (SELECT {LINES},
             {positions("lower(fields[4]) DESC, line_number")} FROM ord)
             WHERE position BETWEEN 12000 AND 12499""",
@@ -705,7 +714,7 @@ def oracle_sql() -> dict[str, str]:
         "goto_table": f"""WITH {EV}, asked AS (SELECT CAST(doc_id * 13 AS VARCHAR) ||
               CASE WHEN toxic = 1 THEN '.5' ELSE '' END AS request FROM labels), {GOTO}""",
         "goto_gaps": """WITH lines AS (
-              SELECT o_orderkey * 4 AS line, o_orderstatus IN ('O', 'P') AS seen FROM orders),
+              SELECT (o_orderkey + 1) * 4 AS line, o_orderstatus IN ('O', 'P') AS seen FROM orders),
             placed AS (SELECT line, row_number() OVER (ORDER BY line) - 1 AS position
               FROM lines WHERE seen),
             asked AS (SELECT doc_id * 6 AS line FROM labels)

@@ -71,7 +71,7 @@ def sorted_table(df: DataFrame, keys: list[Column], kept: list) -> SortedTable:
         )
     )
     count, total = _size(parts)
-    starts = _running(parts, "part", count).select("part", "first")
+    starts = running(parts, "part", count).select("part", "first")
     return SortedTable(stored, starts, total, count * _ENTRY_BYTES <= broadcast_limit(spark))
 
 
@@ -80,7 +80,7 @@ def _size(counts: DataFrame) -> tuple[int, int]:
     return tuple(counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first())
 
 
-def _running(counts: DataFrame, key: str, entries: int) -> DataFrame:
+def running(counts: DataFrame, key: str, entries: int) -> DataFrame:
     """``first``: the number of rows of all smaller keys (unique integers).
 
     More than a few entries are added up in chunks of neighbouring keys, then
@@ -113,12 +113,35 @@ def rank_rows(df: DataFrame, keys: list[str], name: str, rows: int) -> DataFrame
     return sorted_table(df, [F.col(k) for k in keys], df.columns).positions(name)
 
 
-def number_blocked(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Number rows that are contiguous by ``block_no``, in place.
+@dataclass(frozen=True, eq=False)
+class BlockIndex:
+    """How many of a table's rows each block holds, and how many all blocks before it.
 
-    Counts the rows of each block and adds up; no sort and no shuffle of the
-    rows.  Returns the numbered rows and their total.
+    ``starts`` has ``block_no, rows, first_mid, first``.  Rows of a block are
+    contiguous in one partition.
     """
+
+    starts: DataFrame
+    total: int
+    small: bool
+
+    def number(self, df: DataFrame, name: str) -> DataFrame:
+        """The counted rows with their number, in place: no sort and no shuffle of the rows."""
+        marked = df.withColumn("mid", F.monotonically_increasing_id())
+        offset = F.col("mid") - F.col("first_mid")
+        moved = F.raise_error("the rows changed while being counted").cast("bigint")
+        place = F.when(offset.between(0, F.col("rows") - 1), F.col("first") + offset)
+        found = attach(marked, self.starts, ["block_no"], spread="mid", small=self.small)
+        return found.withColumn(name, place.otherwise(moved)).drop("mid", "rows", "first_mid", "first")
+
+    def holding(self, start: int, end: int) -> DataFrame:
+        """``block_no, first`` of the blocks with rows at ``start <= number < end``."""
+        reaches = (F.col("first") < end) & (F.col("first") + F.col("rows") > start)
+        return self.starts.where(reaches & (F.col("rows") > 0)).select("block_no", "first")
+
+
+def block_index(df: DataFrame) -> BlockIndex:
+    """Counts the rows of each block and adds up."""
     marked = df.withColumn("mid", F.monotonically_increasing_id())
     counts = durable(
         marked.groupBy("block_no").agg(
@@ -126,12 +149,5 @@ def number_blocked(df: DataFrame, name: str) -> tuple[DataFrame, int]:
         )
     )
     count, total = _size(counts)
-    starts = _running(counts, "block_no", count)
     small = count * _ENTRY_BYTES <= broadcast_limit(df.sparkSession)
-    offset = F.col("mid") - F.col("first_mid")
-    moved = F.raise_error("the rows changed while being counted").cast("bigint")
-    place = F.when(offset.between(0, F.col("rows") - 1), F.col("first") + offset)
-    numbered = attach(marked, starts, ["block_no"], spread="mid", small=small).withColumn(
-        name, place.otherwise(moved)
-    )
-    return numbered.drop("mid", "rows", "first_mid", "first"), total
+    return BlockIndex(running(counts, "block_no", count), total, small)

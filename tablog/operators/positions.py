@@ -8,14 +8,16 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablog.operators.numbering import number_blocked
+from tablog.operators.filters import spec_predicate
+from tablog.operators.leading import first_rows
+from tablog.operators.numbering import block_index
 from tablog.plans.durable import attach
 from tablog.plans.view import SHOWN, View
 
 # Positions below this are reached by a top-n; farther ones by the sorted table.
 NEAR_ROWS = 10_000
-# The scan's tasks hand their first rows to so many tasks, and those to one.
-TOP_GROUPS = 512
+# A page in line order that few files hold is read from these alone.
+FEW_FILES = 16
 POSITIONED = ("position", *SHOWN)
 
 
@@ -36,31 +38,52 @@ def line_positions(view: View) -> DataFrame:
 def _in_line_order(view: View) -> DataFrame | None:
     """The numbered rows if they need no sort."""
     log, sort = view.log, view.spec.sort
-    if view.by_line and view.unfiltered and log.dense and (sort.ascending or log.total is not None):
-        line = F.col("line_number")
-        place = line - 1 if sort.ascending else F.lit(log.total) - line
-        return log.frame.withColumn("position", place).select(*POSITIONED)
-    if view.by_line and log.blocked:
-        numbered, total = number_blocked(view.filtered, "position")
-        if not sort.ascending:
-            numbered = numbered.withColumn("position", F.lit(total - 1) - F.col("position"))
-        return numbered.select(*POSITIONED)
-    return None
+    if not view.by_line:
+        return None
+    if view.unfiltered and (log.evenly or log.dense and (sort.ascending or log.total is not None)):
+        numbered, total = log.frame, log.total
+        place = F.col("place") if log.evenly else F.col("line_number") - 1
+        numbered = numbered.withColumn("position", place)
+    elif log.blocked:
+        numbered, total = view.blocks.number(view.filtered, "position"), view.blocks.total
+    else:
+        return None
+    if not sort.ascending:
+        numbered = numbered.withColumn("position", F.lit(total - 1) - F.col("position"))
+    return numbered.select(*POSITIONED)
+
+
+def _of_few_files(view: View, start: int, end: int) -> DataFrame | None:
+    """The rows at ``start <= position < end`` in line order, read from the files that hold them.
+
+    Their positions go on from those of the files before, so the files are
+    numbered by themselves.  None if that would read most of the log.
+    """
+    log = view.log
+    if not (view.by_line and log.part and log.blocks is not None):
+        return None
+    total = view.blocks.total
+    low, high = (start, end) if view.spec.sort.ascending else (total - end, total - start)
+    held = view.blocks.holding(low, high).join(log.blocks.select("block_no", "file_path"), "block_no")
+    names = [row[0] for row in held.select("file_path").distinct().limit(FEW_FILES + 1).collect()]
+    if not names or len(names) > FEW_FILES:
+        return None
+    own = log.blocks.where(F.col("file_path").isin(names)).select("block_no")
+    before = view.blocks.starts.join(own, "block_no").agg(F.min("first")).first()[0]
+    rows = log.part(names)
+    if not view.unfiltered:
+        rows = rows.where(spec_predicate(view.spec, log))
+    place = block_index(rows).number(rows, "position").withColumn("position", F.col("position") + before)
+    if not view.spec.sort.ascending:
+        place = place.withColumn("position", F.lit(total - 1) - F.col("position"))
+    return place.select(*POSITIONED)
 
 
 def _near(view: View, end: int) -> DataFrame:
-    """The first ``end`` rows (few) with their positions.
-
-    Each scan task keeps its first ``end`` rows, each of a bounded number of
-    groups of tasks keeps its own, and only those meet in one task.
-    """
+    """The first ``end`` rows (few) with their positions."""
     df, order = view.sortable()
-    if end > 0:
-        grouped = df.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(TOP_GROUPS)))
-        within = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
-        df = grouped.withColumn("_place", within).where(F.col("_place") <= end).drop("_group", "_place")
     rank = F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1
-    top = df.orderBy(*order).limit(end)
+    top = first_rows(df, order, end, view.log.tasks)
     return view.show(top.withColumn("position", rank), "position")
 
 
@@ -72,7 +95,8 @@ def _slice(view: View, start: int, end: int) -> DataFrame:
     if end <= NEAR_ROWS:
         return _near(view, end).where(here)
     if view.by_line and (view.log.blocked or view.unfiltered and view.log.dense):
-        return with_positions(view).where(here)
+        few = _of_few_files(view, start, end)
+        return (with_positions(view) if few is None else few).where(here)
     table = view.sorted
     end = min(end, table.total)
     if end <= start:

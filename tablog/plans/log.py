@@ -17,7 +17,7 @@ class Log:
     """Rows ``file_name, line_number, fields`` and how they may be read.
 
     ``frame`` may carry more columns than :attr:`rows` shows: ``value`` (the
-    raw line), ``file_no`` and ``block_no``.
+    raw line), ``block_no`` and ``place``.
 
     * ``order``: columns that together give every row its unique place.
     * ``lines``: ``value`` holds the line the fields were split from.
@@ -30,6 +30,12 @@ class Log:
     * ``blocked``: rows of a ``block_no`` are contiguous in one partition and
       in line order, the same way in every evaluation.
     * ``in_order``: partitions and their rows come in line order.
+    * ``placed``: how many places ``place`` counts, 0, 1, … in line order over
+      the whole log; some may be empty.
+    * ``blocks``: ``block_no, file_path`` of each block, and how many ``rows``
+      it and the blocks before it (``first``) have.
+    * ``part``: reads some of the files, by their paths, as ``frame`` does.
+    * ``tasks``: how many splits the scan has, if known.
     * ``summarize``: makes the load summary, one row per file.
     """
 
@@ -45,12 +51,21 @@ class Log:
     dense: bool = False
     blocked: bool = False
     in_order: bool = False
+    placed: int | None = None
+    blocks: DataFrame | None = None
+    part: Callable[[list[str]], DataFrame] | None = None
+    tasks: int | None = None
     summarize: Callable[[], DataFrame] | None = None
 
     @property
     def rows(self) -> DataFrame:
         return self.frame.select("file_name", "line_number", "fields")
 
+    @property
+    def evenly(self) -> bool:
+        """Whether ``place`` has no gaps."""
+        return self.placed is not None and self.placed == self.total
+
     @property
     def fields(self) -> Column:
         return F.col("fields")
@@ -117,5 +132,7 @@ class Log:
             total=None,
             max_line=None,
             dense=False,
+            placed=None,
+            part=None,
             summarize=None if whole is None else lambda: whole().where(own),
         )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablog.functions.text import folded
 from tablog.operators.filters import spec_predicate
-from tablog.operators.numbering import SortedTable, sorted_table
+from tablog.operators.numbering import BlockIndex, SortedTable, block_index, sorted_table
 from tablog.plans.log import Log
 from tablog.plans.spec import ViewSpec
 
@@ -92,9 +92,22 @@ class View:
         """One output column of the view, in view order."""
         if not self.needs_sort:
             return self.filtered.select(line)
+        if self.by_line and self.spec.sort.ascending and self.log.placed is not None:
+            return self._dealt(line)
         df, order = self.sortable(line)
         return df.orderBy(*order).select(F.col("_out0").alias("value"))
 
+    def _dealt(self, line: Column) -> DataFrame:
+        """One output column, in line order over many files.
+
+        The place of each line in the log is known, so the lines are dealt to
+        parts by it and put in order there; nothing is sampled.
+        """
+        parts = int(self.log.frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        part = F.floor(F.col("place") / max(-(-self.log.placed // parts), 1)).cast("int")
+        rows = self.filtered.select(line.alias("value"), "place")
+        return rows.repartitionById(parts, part).sortWithinPartitions("place").select("value")
+
     def rows(self) -> DataFrame:
         """The rows of the view in view order."""
         if not self.needs_sort:
@@ -112,6 +125,13 @@ class View:
             return self.log.total == 0
         return self.filtered.isEmpty()
 
+    @cached_property
+    def blocks(self) -> BlockIndex:
+        """How many of the view's rows each block of the log has; counted once, if not known."""
+        if self.unfiltered and self.log.evenly:
+            return BlockIndex(self.log.blocks, self.log.total, small=False)
+        return block_index(self.filtered)
+
     @cached_property
     def sorted(self) -> SortedTable:
         """The view sorted and written once, shared by all lookups by position."""

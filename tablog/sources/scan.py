@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablog.operators.numbering import rank_rows
+
 Paths = str | list[str]
+PathRange = tuple[str | None, str | None]
 
 
 def frozen_session(spark: SparkSession, **settings: str) -> SparkSession:
@@ -80,16 +83,23 @@ def text_lines(
     glob: str | None = None,
     line_end: str | None = None,
     only: list[str] | None = None,
+    between: PathRange = (None, None),
 ) -> DataFrame:
     """``value, file_path, block_start, mid``: lines with the split they came from.
 
     ``mid`` grows by one from line to line of a split.  Without ``line_end``,
-    ``\\n``, ``\\r`` and ``\\r\\n`` all end a line.  ``only`` prunes the file
-    list before anything is read.
+    ``\\n``, ``\\r`` and ``\\r\\n`` all end a line.  ``only`` and ``between``
+    (from the first path on, up to the second) prune the file list before
+    anything is read.
     """
     lines = _text(own, paths, glob, line_end)
+    path = F.col("_metadata.file_path")
     if only is not None:
-        lines = lines.where(F.col("_metadata.file_path").isin(only))
+        lines = lines.where(path.isin(only))
+    if between[0] is not None:
+        lines = lines.where(path >= between[0])
+    if between[1] is not None:
+        lines = lines.where(path < between[1])
     return lines.select(
         "value",
         F.col("_metadata.file_path").alias("file_path"),
@@ -120,3 +130,27 @@ def list_files(spark: SparkSession, paths: Paths, glob: str | None = None) -> Da
     path = F.regexp_replace("value", r"^(\w+):///", "$1:/")
     files = DataFrame(names.toDF(), spark).select(path.alias("file_path"))
     return files.withColumn("file_name", bare_name(F.col("file_path")))
+
+
+def path_slices(
+    spark: SparkSession, own: SparkSession, paths: Paths, glob: str | None, splits: int
+) -> list[PathRange]:
+    """Ranges of paths that together hold all files, of about ``splits`` splits each.
+
+    From the number and size of the files the driver's JVM has listed; a range
+    holds one file at least.
+    """
+    plan = _text(own, paths, glob)._jdf
+    files = len(plan.inputFiles())
+    size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    settings = plan.sparkSession().sessionState().conf()
+    opening = settings.filesOpenCostInBytes()
+    tasks = int(own.conf.get("spark.sql.files.minPartitionNum"))
+    split = min(settings.filesMaxPartitionBytes(), max(opening, (size + files * opening) // tasks))
+    number = min(-(-(files + size // split) // splits), files)
+    if number <= 1:
+        return [(None, None)]
+    ranked = rank_rows(list_files(spark, paths, glob).select("file_path"), ["file_path"], "n", files)
+    first = ranked.where((F.col("n") > 0) & (F.col("n") % -(-files // number) == 0))
+    cuts = [row["file_path"] for row in first.orderBy("n").collect()]  # one path per slice
+    return list(zip([None, *cuts], [*cuts, None]))

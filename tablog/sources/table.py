@@ -22,14 +22,17 @@ def log_from_table(
 ) -> Log:
     """Rows of a table as lines; its columns, as text, are the fields (NULL → '').
 
-    ``line_number`` is an expression with a unique value per row (``dense``:
-    the values are exactly 1…n).  Without one, rows are numbered in the unique
+    ``line_number`` is an expression with a unique value per row, 1 or more
+    (``dense``: the values are exactly 1…n); a smaller one or NULL fails the
+    query that meets it.  Without one, rows are numbered in the unique
     order ``order_by``, which sorts and writes the table once.
     """
     if (line_number is None) == (order_by is None):
         raise ValueError("give either line_number or order_by")
     total = None
-    if line_number is None:
+    if line_number is not None:
+        line_number = _checked(line_number)
+    else:
         table = sorted_table(df, order_by, [F.col(c) for c in dict.fromkeys(columns)])
         df, total = table.positions("_position"), table.total
         line_number, dense = F.col("_position") + 1, True
@@ -51,6 +54,13 @@ def log_from_table(
     )
 
 
+def _checked(line_number: Column) -> Column:
+    """The line number, where it is one."""
+    line = line_number.cast("bigint")
+    told = F.concat(F.lit("line numbers count from 1, not "), F.coalesce(line.cast("string"), F.lit("NULL")))
+    return F.when(line >= 1, line).otherwise(F.raise_error(told).cast("bigint"))
+
+
 def log_from_texts(
     df: DataFrame,
     text: str,

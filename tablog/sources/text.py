@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablog.functions.text import split_fields
-from tablog.operators.numbering import rank_rows
-from tablog.plans.durable import attach, broadcast_limit, durable, row_bytes
+from tablog.operators.numbering import rank_rows, running
+from tablog.plans.durable import broadcast_limit, durable
 from tablog.plans.log import Log
 from tablog.sources.checks import (
     HEAD_BYTES,
@@ -22,6 +24,7 @@ from tablog.sources.scan import (
     distinct_paths,
     frozen_session,
     list_files,
+    path_slices,
     rebase,
     text_lines,
 )
@@ -30,7 +33,9 @@ from tablog.sources.scan import (
 # influence case folding, so the raw line may be searched in place of fields.
 RAW_SEPARATORS = ("\t", " ")
 # What numbering needs to know about a split.
-PLACE = ["first_mid", "lines", "lines_before", "block_no"]
+PLACE = ["first_mid", "lines", "lines_before", "block_no", "first"]
+# Size of that in memory, with its key.
+ENTRY_BYTES = 64
 
 
 def read_log(
@@ -51,7 +56,8 @@ def read_log(
 
     One pass profiles the splits (lines, widths, bad bytes) and later passes
     read lines and number them by a lookup of their split; the lines
-    themselves are never shuffled.
+    themselves are never shuffled.  Very many files are read in slices of the
+    file list, each with a lookup of its own that is broadcast.
     """
     _one_of("on_binary", on_binary, ("error", "skip"))
     _one_of("on_malformed", on_malformed, ("error", "drop", "replace", "keep"))
@@ -59,9 +65,10 @@ def read_log(
         raise ValueError("the separator must not be empty")
     paths = distinct_paths(spark, paths, glob)
     own = frozen_session(spark)
-    lines = rebase(spark, text_lines(own, paths, glob))
+    ranges = path_slices(spark, own, paths, glob, max(broadcast_limit(spark) // ENTRY_BYTES, 1))
+    slices = [rebase(spark, text_lines(own, paths, glob, between=r)) for r in ranges]
 
-    profile = durable(_profile(lines, separator))
+    profile = durable(_profile(slices, separator))
     splits, suspects = profile.agg(F.count(F.lit(1)), F.count_if("nul")).first()
     binary = None
     if suspects:
@@ -85,20 +92,27 @@ def read_log(
         raise MalformedTextError(f"malformed UTF-8 at (file, line) {places}")
 
     unique = facts["keys"] == facts["blocks"]
-    size = facts["narrow" if unique else "wide"] * splits / max(facts["blocks"], 1)  # skipped, too
-    small = size <= broadcast_limit(spark)
-    frame = _number(lines, blocks, skipped, unique, small)
-    if facts["files"] == 1:
-        names = {name: F.lit(facts[name]) for name in ("file_name", "file_path")}
-        frame = frame.withColumns(names)
-    if facts["cut"]:
-        frame = frame.where(F.col("line_number") <= max_rows)
-    if malformed and on_malformed == "drop":
-        frame = frame.where(F.is_valid_utf8("value"))
-    if malformed and on_malformed == "replace":
-        frame = frame.withColumn("value", F.make_valid_utf8("value"))
-    frame = frame.withColumn("fields", split_fields(F.col("value"), separator))
 
+    def finished(frame: DataFrame) -> DataFrame:
+        if facts["files"] == 1:
+            names = {name: F.lit(facts[name]) for name in ("file_name", "file_path")}
+            frame = frame.withColumns(names)
+        if facts["cut"]:
+            frame = frame.where(F.col("line_number") <= max_rows)
+        if malformed and on_malformed == "drop":
+            frame = frame.where(F.is_valid_utf8("value"))
+        if malformed and on_malformed == "replace":
+            frame = frame.withColumn("value", F.make_valid_utf8("value"))
+        return frame.withColumn("fields", split_fields(F.col("value"), separator))
+
+    def part(names: list[str]) -> DataFrame:
+        """Some text files, read alone: fewer files may be split at other places."""
+        lines = rebase(spark, text_lines(own, paths, glob, only=names))
+        own_profile = durable(_profile([lines], separator))
+        own_blocks = durable(_blocks(own_profile, max_rows, own_profile.count()))
+        return finished(_number([lines], own_blocks, None, unique=False))
+
+    frame = finished(_number(slices, blocks, skipped, unique))
     dropped = malformed and on_malformed == "drop"
     exact = not dropped and not facts["cut_inside"]
     return Log(
@@ -111,8 +125,12 @@ def read_log(
         total=None if dropped else facts["kept"],
         max_line=None if dropped else facts["max_line"],
         dense=facts["files"] <= 1 and not dropped,
-        blocked=small,
-        in_order=small and facts["files"] <= 1 and facts["backward"] == 0,
+        blocked=True,
+        in_order=facts["files"] <= 1 and facts["backward"] == 0,
+        placed=facts["kept"],
+        blocks=blocks.select("block_no", "file_path", F.col("kept").alias("rows"), "first"),
+        part=part if facts["files"] > 1 else None,
+        tasks=splits,
         summarize=lambda: _summary(
             list_files(spark, paths, glob), blocks, binary, frame, exact
         ),
@@ -124,11 +142,13 @@ def _one_of(name: str, given: str, allowed: tuple[str, ...]) -> None:
         raise ValueError(f"{name} must be one of {allowed}, not {given!r}")
 
 
-def _profile(lines: DataFrame, separator: str) -> DataFrame:
+def _profile(slices: list[DataFrame], separator: str) -> DataFrame:
     """One row per split: what a single pass over its lines tells."""
+    numbered = [lines.withColumn("slice", F.lit(i)) for i, lines in enumerate(slices)]
+    lines = reduce(DataFrame.union, numbered)
     value = F.col("value")
     in_head = F.col("block_start") < HEAD_BYTES
-    return lines.groupBy("file_path", "block_start").agg(
+    return lines.groupBy("slice", "file_path", "block_start").agg(
         F.count(F.lit(1)).alias("lines"),
         F.min("mid").alias("first_mid"),
         F.max(F.size(split_fields(value, separator))).alias("width"),
@@ -150,9 +170,11 @@ def _blocks(profile: DataFrame, max_rows: int | None, splits: int) -> DataFrame:
     kept = F.col("lines")
     if max_rows is not None:
         kept = F.greatest(F.least(kept, F.lit(max_rows) - F.col("lines_before")), F.lit(0))
+    placed = ranked.withColumn("lines_before", ahead).withColumn("kept", kept)
+    counts = placed.select("block_no", F.col("kept").alias("rows"))
+    firsts = running(counts, "block_no", splits).select("block_no", "first")
     return (
-        ranked.withColumn("lines_before", ahead)
-        .withColumn("kept", kept)
+        placed.join(firsts, "block_no")
         .withColumn("backward", F.lag("first_mid").over(file) > F.col("first_mid"))
         .withColumn("bad_line", F.col("bad_mid") - F.col("first_mid") + F.col("lines_before") + 1)
         .withColumn("file_name", bare_name(F.col("file_path")))
@@ -175,8 +197,6 @@ def _facts(blocks: DataFrame) -> dict:
         F.count_if(F.col("lines_before") == 0).alias("files"),
         F.min("file_name").alias("file_name"),
         F.min("file_path").alias("file_path"),
-        total(F.sum(row_bytes(blocks.select("block_key", *PLACE)))).alias("narrow"),
-        total(F.sum(row_bytes(blocks.select("file_path", "block_start", *PLACE)))).alias("wide"),
         total(F.sum("kept")).alias("kept"),
         total(F.max(end)).alias("max_line"),
         total(F.max(F.when(retained, F.col("width")))).alias("columns"),
@@ -189,30 +209,42 @@ def _facts(blocks: DataFrame) -> dict:
 
 
 def _number(
-    lines: DataFrame, blocks: DataFrame, skipped: DataFrame | None, unique: bool, small: bool
+    slices: list[DataFrame], blocks: DataFrame, skipped: DataFrame | None, unique: bool
 ) -> DataFrame:
     """Lines with their number, by a lookup of the split they came from.
 
-    The lookup is five numbers a split; the path comes with the line.
+    The lookup is six numbers a split, fewer than Spark's driver itself keeps of
+    it; the path comes with the line.  Each slice of the files has its own,
+    which is broadcast, so lines stay where they are read.
     """
     place = ["file_path", "block_start"]
     key = F.xxhash64(*place).alias("block_key")
     keys = ["block_key"] if unique else place
-    keyed = lines.select("value", "mid", *place, *([key] if unique else []))
-    lookup = blocks.select(*keys, *PLACE)
+    lookup = blocks.select("slice", *keys, *PLACE)
     if skipped is not None:  # known splits whose lines are left out
-        out = skipped.select(*place, key, F.lit(True).alias("out")).select(*keys, "out")
+        out = skipped.select("slice", *place, key, F.lit(True).alias("out")).select("slice", *keys, "out")
         lookup = lookup.unionByName(out, allowMissingColumns=True)
-    found = attach(keyed, lookup, keys, spread="mid", small=small)
+    found = []
+    for i, lines in enumerate(slices):
+        keyed = lines.select("value", "mid", *place, *([key] if unique else []))
+        own = lookup.where(F.col("slice") == i).drop("slice")
+        found.append(keyed.join(F.broadcast(own), keys, "left"))
+    rows = reduce(DataFrame.union, found)
     if skipped is not None:
-        found = found.where("out IS NULL")
+        rows = rows.where("out IS NULL")
     offset = F.col("mid") - F.col("first_mid")
     moved = F.raise_error("the input files changed while being read").cast("bigint")
     number = F.when(
         offset.between(0, F.col("lines") - 1), offset + F.col("lines_before") + 1
     ).otherwise(moved)
-    name = bare_name(F.col("file_path")).alias("file_name")
-    return found.select(name, "file_path", "block_no", number.alias("line_number"), "value")
+    return rows.select(
+        bare_name(F.col("file_path")).alias("file_name"),
+        "file_path",
+        "block_no",
+        number.alias("line_number"),
+        (F.col("first") + offset).alias("place"),
+        "value",
+    )
 
 
 def _summary(

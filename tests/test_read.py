@@ -135,13 +135,16 @@ def test_one_file_is_read_in_order_without_a_sort(spark, write, tiny_splits):
     assert [r["line_number"] for r in view.rows().collect()] == want
 
 
-def test_lookup_too_large_to_broadcast(spark, write, tmp_path, tiny_splits, monkeypatch):
-    monkeypatch.setattr(durable, "BROADCAST_BYTES", 0)
+@pytest.mark.parametrize("limit,slices", [(0, 4), (1024, 2)])
+def test_a_long_file_list_is_read_in_slices(spark, write, tmp_path, tiny_splits, monkeypatch, limit, slices):
+    monkeypatch.setattr(durable, "BROADCAST_BYTES", limit)
     files = make_files(write)
     log = read_log(spark, str(tmp_path / "in"))
-    assert not log.blocked and not log.in_order
-    plan = log.frame._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" not in plan
+    assert not log.in_order
+    plan = log.frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == plan.count("BroadcastHashJoin") >= slices
+    # The lookups are all that is exchanged.
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
     want = [(n, i, x) for n, lines in files.items() for i, x in enumerate(lines, 1)]
     got = log.frame.select("file_name", "line_number", "value").collect()
     assert sorted(map(tuple, got)) == sorted(want)
@@ -151,6 +154,46 @@ def test_lookup_too_large_to_broadcast(spark, write, tmp_path, tiny_splits, monk
     assert [(r["file_name"], r["line_number"]) for r in placed] == hits
 
 
+def test_far_pages_in_line_order(spark, write, tmp_path, tiny_splits, monkeypatch):
+    from tablog.operators import positions
+
+    monkeypatch.setattr(positions, "NEAR_ROWS", 5)
+    monkeypatch.setattr(positions, "FEW_FILES", 2)
+    files = make_files(write)
+    log = read_log(spark, str(tmp_path / "in"))
+    want = [(n, i, x) for n, lines in files.items() for i, x in enumerate(lines, 1)]
+    for condition, rows in [(None, want), ("error", [w for w in want if "error" in w[2].lower()])]:
+        for ascending in (True, False):
+            conditions = (Condition(condition),) if condition else ()
+            view = View(log, ViewSpec(conditions=conditions, sort=Sort(ascending=ascending)))
+            shown = [w[:2] for w in rows][:: 1 if ascending else -1]
+            for offset in (7, len(rows) // 2, len(rows) - 3, len(rows) + 4):
+                got = page(view, offset, 6).collect()
+                assert [(r["file_name"], r["line_number"]) for r in got] == shown[offset : offset + 6]
+                assert [r["position"] for r in got] == list(range(offset, min(offset + 6, len(rows))))
+    # Rows over more files than a few are numbered in place.
+    assert page(view, 5, len(rows)).count() == len(rows) - 5
+
+
+def test_rows_are_counted_once_per_view(spark, write, tmp_path, tiny_splits, monkeypatch):
+    from tablog.operators import positions
+    from tablog.plans import view as view_module
+
+    monkeypatch.setattr(positions, "NEAR_ROWS", 5)
+    calls = []
+    count = view_module.block_index
+    monkeypatch.setattr(view_module, "block_index", lambda df: calls.append(1) or count(df))
+    make_files(write)
+    log = read_log(spark, str(tmp_path / "in"))
+    view = View(log, ViewSpec(conditions=(Condition("error"),)))
+    first = page(view, 10, 4).collect()
+    assert page(view, 10, 4).collect() == first and page(view, 30, 5).count() == 5
+    assert with_positions(view).where("position = 10").collect() == first[:1]
+    assert calls == [1]
+    assert page(View(log), 40, 4).count() == 4 and with_positions(View(log)).count() == log.total
+    assert calls == [1]  # an unfiltered view needs no count at all
+
+
 def test_many_blocks_are_ranked_by_a_sort(spark, write, tmp_path, tiny_splits, monkeypatch):
     from tablog.operators import numbering
 

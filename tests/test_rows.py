@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,35 @@ def test_find_position(make_log, lines, asked):
         assert find_position(view, line) == position
 
 
+@pytest.mark.parametrize("end", [100, 5000, 9999])
+def test_first_rows_without_moving_the_others(spark, make_log, monkeypatch, end):
+    import random
+
+    from tablog.operators import leading
+
+    draw = random.Random(end)
+    rows = [[draw.choice("abcABC"), str(draw.random())] for _ in range(12_000)]
+    log = replace(make_log(rows), tasks=4)
+    spec = ViewSpec(sort=Sort(0, ascending=False))
+    order = sorted(range(len(rows)), key=lambda i: (-ord(rows[i][0].lower()), i))
+    want = [i + 1 for i in order[end - 50 : end]]
+
+    def taken():
+        near = page(View(log, spec), end - 50, 50)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert f"TakeOrderedAndProject(limit={end}" in plan and "Exchange rangepartitioning" not in plan
+        assert [r["line_number"] for r in near.collect()] == want
+        return plan
+
+    assert "Exchange" not in taken()  # a heap per task, merged in one
+    monkeypatch.setattr(leading, "MERGE_ROWS", 0)
+    plan = taken()
+    # What is exchanged between groups was cut to the first rows of a task before.
+    above, below = plan.split("Exchange hashpartitioning")
+    assert "Exchange" not in below
+    assert f"< {end})" in below.split("Sort [")[0] and f"< {end})" in above
+
+
 def test_find_position_in_empty_view(make_log):
     view = View(make_log([["x"]]), ViewSpec(conditions=(Condition("zzz"),)))
     assert find_position(view, 1) == -1
@@ -183,12 +214,3 @@ def test_numbers_between_lines_are_missing(spark, make_log, many):
         got = {r["request"]: r["status"] for r in goto_lines(view, asked).collect()}
         five = "shown" if view.unfiltered else "filtered_out"
         assert got == {"2": "missing", "3": "missing", "1": "shown", "5": five, "9": "shown", "10": "missing"}
-
-
-def test_first_rows_meet_in_bounded_groups(make_log):
-    log = make_log([[str(i * 37 % 100)] for i in range(100)])
-    view = View(log, ViewSpec(sort=Sort(0)))
-    plan = page(view, 5, 5)._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in plan
-    want = sorted(range(1, 101), key=lambda n: (str((n - 1) * 37 % 100), n))[5:10]
-    assert [r["line_number"] for r in page(view, 5, 5).collect()] == want

@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablog import Condition, Sort, View, ViewSpec, read_log, write_rows_at, write_view
 from tablog.sources.table import log_from_table
@@ -43,6 +44,20 @@ def test_order_over_part_files(spark, make_log, tmp_path):
     assert len(list((tmp_path / "out").glob("part-*"))) > 1
 
 
+def test_many_files_in_line_order_without_sampling(spark, write, tmp_path):
+    for i in range(100):
+        write(f"in/f{i:02}", "".join(f"{i}\t{j}\n" for j in range(i % 7)).encode())
+    log = read_log(spark, str(tmp_path / "in"))
+    for conditions, keep in [((), lambda j: True), ((Condition("/[135]/", 1),), lambda j: j in (1, 3, 5))]:
+        view = View(log, ViewSpec(conditions=conditions))
+        plan = view.ordered(F.col("value").alias("value"))._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan
+        want = [f"{i}\t{j}\r\n" for i in range(100) for j in range(i % 7) if keep(j)]
+        out = tmp_path / f"out{len(conditions)}"
+        assert write_view(view, str(out)) == len(want)
+        assert content(out) == "".join(want)
+
+
 def test_chosen_rows(spark, make_log, tmp_path):
     log = make_log([["row0col1", "row0col2"], ["row1col1", "x"], ["row2col1", "row2col2"]])
     out = str(tmp_path / "out")
