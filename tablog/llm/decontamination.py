@@ -90,7 +90,8 @@ def text_tokens(docs: DataFrame, id_column: str, text_column: str, lengths: list
     if len(lengths) == 1:
         placed = placed.withColumn("length", F.lit(lengths[0]))
     elif lengths:
-        placed = placed.withColumn("length", F.explode(F.array(*[F.lit(n) for n in lengths])))
+        every = F.when(F.col("base") < 0, F.array(F.lit(0))).otherwise(F.array(*[F.lit(n) for n in lengths]))
+        placed = placed.withColumn("length", F.explode(every))
     else:
         placed = placed.withColumn("length", F.lit(0))
     token = F.lit(None).cast("bigint")
