@@ -21,7 +21,10 @@ from tablog.operators.columns import (
     config_from_json,
     config_to_json,
     delete_hidden,
+    load_config,
     read_config_json,
+    save_config,
+    update_config,
     upsert_hidden,
     with_hidden,
     write_config_json,
@@ -299,15 +302,26 @@ def config_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A config written as one JSON file, read back and updated, a file's last update counting."""
+    """A config written by line, read back and updated, a file's last update counting."""
     path = scratch_path(spark, "config")
-    write_config_json(document_config(spark, sf_dir), path)
+    write_config_json(document_config(spark, sf_dir), path, lines=True)
     update = label_config(spark, sf_dir)
     earlier = update.select("file_name", F.array(F.lit(9)).alias("hidden"), F.lit(1).alias("turn"))
     updates = earlier.unionByName(update.withColumn("turn", F.lit(2)))
     return shown_config(upsert_hidden(read_config_json(spark, path), updates, order="turn"))
 
 
+def config_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A config saved, updated twice from what is newest, and loaded."""
+    path = scratch_path(spark, "config")
+    save_config(document_config(spark, sf_dir), path)
+    update_config(spark, path, lambda config: upsert_hidden(config, label_config(spark, sf_dir)))
+    gone = table(spark, sf_dir, "labels").where("toxic = 1")
+    names = gone.select(F.col("doc_id").cast("string").alias("file_name"))
+    update_config(spark, path, lambda config: delete_hidden(config, names))
+    return shown_config(load_config(spark, path))
+
+
 # ---- loading and writing ------------------------------------------------
 
 
@@ -559,6 +573,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "config_delete": config_delete,
         "config_json": config_json,
         "config_file": config_file,
+        "config_saved": config_saved,
         "load_summary": load_summary,
         "stored_summary": stored_summary,
         "one_file_summary": one_file_summary,
@@ -755,6 +770,10 @@ def oracle_sql() -> dict[str, str]:
         "config_file": f"""WITH {CONFIG} SELECT file_name, hidden FROM cfg
             WHERE file_name NOT IN (SELECT file_name FROM upd)
             UNION ALL SELECT file_name, hidden FROM upd""",
+        "config_saved": f"""WITH {CONFIG} SELECT file_name, hidden FROM
+            (SELECT * FROM cfg WHERE file_name NOT IN (SELECT file_name FROM upd)
+            UNION ALL SELECT * FROM upd)
+            WHERE file_name NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)""",
         "config_json": f"WITH {CONFIG} SELECT file_name, hidden FROM cfg",
         "load_summary": SUMMARY,
         "stored_summary": SUMMARY,

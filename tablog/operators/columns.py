@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +15,8 @@ from tablog.plans.log import Log
 
 SCHEMA = "file_name string, hidden array<int>"
 JSON_TYPE = "map<string,array<int>>"
+# Versions of a saved config that stay.
+KEPT_VERSIONS = 10
 
 
 def empty_config(spark: SparkSession) -> DataFrame:
@@ -122,41 +128,100 @@ def clear_config(config: DataFrame) -> DataFrame:
     return config.where("false")
 
 
-def save_config(config: DataFrame, path: str) -> None:
-    """Write the config as a new version; readers take the newest whole one.
+class ConfigConflictError(RuntimeError):
+    """Somebody else has published a version since the one that was changed."""
+
+
+def save_config(
+    config: DataFrame, path: str, base: int | None = None, keep: int = KEPT_VERSIONS
+) -> int:
+    """Publish the config as the next version and return its number.
 
-    A marker row with a NULL file name closes each version and says how many
-    entries it has, so that an empty version is a version too.
+    The entries are written aside and then renamed to the version's folder,
+    which fails if the folder is there: a version is whole or absent, and two
+    savers never share one.  ``base`` is the version that was changed
+    (:func:`newest_version`, 0 for none); if there is a newer one by now,
+    ``ConfigConflictError`` says so and nothing is published.  Without it the
+    config replaces whatever is newest.  Only the last ``keep`` versions stay,
+    so a reader may finish while others save.
     """
     spark = config.sparkSession
-    written = _versions(spark, path)
-    version = max(written, default=0) + 1
-    entries = config.select("file_name", "hidden").persist()
-    count = entries.count()
-    marker = spark.range(1).select(
-        F.lit(None).cast("string").alias("file_name"),
-        F.array(F.lit(count).cast("int")).alias("hidden"),
-    )
-    rows = entries.unionByName(marker).withColumn("version", F.lit(version))
-    rows.write.mode("append").partitionBy("version").parquet(path)
-    entries.unpersist()
+    aside = f"{path}/.saving-{uuid.uuid4().hex}"
+    config.select("file_name", "hidden").write.parquet(aside)
+    try:
+        while True:
+            newest = newest_version(spark, path)
+            if base is not None and newest != base:
+                raise ConfigConflictError(f"version {newest} of {path} is newer than {base}")
+            if _renamed(spark, aside, _version_path(path, newest + 1)):
+                break
+    except BaseException:
+        _remove(spark, aside)
+        raise
+    for version in _versions(spark, path):
+        if version <= newest + 1 - keep:
+            _remove(spark, _version_path(path, version))
+    return newest + 1
+
+
+def update_config(
+    spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], keep: int = KEPT_VERSIONS
+) -> int:
+    """Publish what ``change`` makes of the newest version; its number.
+
+    If somebody else publishes in between, the change is made anew from theirs,
+    so no update is lost.
+    """
+    while True:
+        base = newest_version(spark, path)
+        try:
+            return save_config(change(load_config(spark, path, base)), path, base, keep)
+        except ConfigConflictError:
+            continue
+
 
+def newest_version(spark: SparkSession, path: str) -> int:
+    """Number of the newest version of a saved config, 0 if there is none."""
+    return max(_versions(spark, path), default=0)
 
-def load_config(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a saved config; empty if there is none."""
-    named = F.col("file_name").isNotNull()
-    for version in sorted(_versions(spark, path), reverse=True):
-        stored = spark.read.schema(SCHEMA).parquet(f"{path}/version={version}")
-        entries, expected = stored.agg(
-            F.count_if(named), F.max(F.when(~named, F.element_at("hidden", 1)))
-        ).first()
-        if entries == expected:
-            return stored.where(named)
-    return empty_config(spark)
+
+def load_config(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of a saved config, by default the newest; empty if there is none."""
+    version = newest_version(spark, path) if version is None else version
+    if version == 0:
+        return empty_config(spark)
+    stored = spark.read.schema(SCHEMA).parquet(_version_path(path, version))
+    return stored.where(F.col("file_name").isNotNull())
+
+
+def _version_path(path: str, version: int) -> str:
+    return f"{path}/version={version}"
+
+
+def _renamed(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder; False if the target exists.  Atomic where the file system's rename is."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    old, new = hadoop.Path(source), hadoop.Path(target)
+    qualified = new.getFileSystem(configuration).makeQualified(new)
+    files = hadoop.FileContext.getFileContext(qualified.toUri(), configuration)
+    no_options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+    try:
+        files.rename(old, new, no_options)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions written, whole or not, from the names of their folders."""
+    """Numbers of the versions published, from the names of their folders."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(folder):

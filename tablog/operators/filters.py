@@ -8,13 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablog.functions.regex import full_match_pattern, matches, regex_body
+from tablog.functions.regex import full_match_pattern, matches, regex_body, required_texts
 from tablog.functions.text import is_blank, trim_query
 from tablog.plans.log import Log
 from tablog.plans.spec import Condition, ViewSpec
 
 
-
 def build_predicate(condition: Condition | Column, log: Log) -> Column:
     """The rows of ``log`` that meet one condition; never NULL.
 
@@ -31,10 +30,24 @@ def build_predicate(condition: Condition | Column, log: Log) -> Column:
         pattern = full_match_pattern(body)
         if pattern is None:
             return F.lit(True)
-        return _test_fields(log, condition.column, lambda f: matches(f, pattern))
+        return _matching(log, condition.column, pattern, required_texts(body))
     return _substring(log, condition.column, query)
 
 
+def _matching(log: Log, column: int | None, pattern: str, texts: list[str] | None) -> Column:
+    """Fields that match; rows without any of the ``texts`` are told apart before that."""
+    if texts is None:
+        return _test_fields(log, column, lambda f: matches(f, pattern))
+
+    def holding(text: Column) -> Column:
+        return reduce(Column.__or__, [F.contains(text, F.lit(t)) for t in texts])
+
+    if log.lines:
+        # A field is part of its line, which is there before it is split.
+        return holding(F.col("value")) & _test_fields(log, column, lambda f: matches(f, pattern))
+    return _test_fields(log, column, lambda f: holding(f) & matches(f, pattern))
+
+
 def _substring(log: Log, column: int | None, query: str) -> Column:
     # lower() on both sides, so that both use the same case tables.
     low = F.lower(F.lit(query))

@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 # Largest lookup table that is broadcast; override with this session setting.
 BROADCAST_SETTING = "spark.tablog.broadcastBytes"
 BROADCAST_BYTES = 256 * 1024 * 1024
-# Copies of a lookup row beyond that size, so that one hot key is shared by
-# this many tasks.
-SALTS = 32
+# Beyond that size a key is hot if it has more than this share of a task's rows
+# on average, and is dealt to so many tasks that none has more.
+HOT_SHARE = 1.0
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -81,18 +81,37 @@ def attach(
     how: str = "left",
     small: bool | None = None,
 ) -> DataFrame:
-    """Join a lookup with unique keys to the data, leaving the data where it is.
+    """Join a lookup to the data, leaving the data where it is.
 
-    A lookup that fits is broadcast.  A larger one is shuffled, each of its
-    rows in ``SALTS`` copies and the data salted by ``spread``, so that a key
-    holding much of the data is not one task's work.
+    A lookup that fits is broadcast.  A larger one is shuffled.  Then rows are
+    counted by key first, and a key with more rows than a task should have is
+    salted by ``spread``: its rows go to as many tasks as they fill, and only
+    its rows of the lookup are copied to these.
     """
     if fits_broadcast(lookup) if small is None else small:
         return data.join(F.broadcast(lookup), keys, how)
     if spread in keys:  # unique on both sides: nothing to spread
         return data.join(lookup.hint("merge"), keys, how)
-    salted = data.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    return salted.join(
-        lookup.withColumn("_salt", copies).hint("merge"), [*keys, "_salt"], how
-    ).drop("_salt")
+    hot = hot_keys(data, keys)
+    if hot is None:
+        return data.join(lookup.hint("merge"), keys, how)
+    salts = F.coalesce("_salts", F.lit(1).cast("bigint"))
+    salted = data.join(F.broadcast(hot), keys, "left")
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(spread), salts)).drop("_salts")
+    copied = lookup.join(F.broadcast(hot), keys, "left")
+    copied = copied.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+    return salted.join(copied.drop("_salts").hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_keys(data: DataFrame, keys: list[str]) -> DataFrame | None:
+    """``_salts``, by measured rows, for keys that are too many for one task; None if there are none.
+
+    No more keys are hot than the shuffle has tasks, divided by ``HOT_SHARE``.
+    """
+    tasks = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = durable(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    share = max(int((counts.agg(F.sum("_rows")).first()[0] or 0) * HOT_SHARE / tasks), 1)
+    hot = durable(
+        counts.where(F.col("_rows") > share).select(*keys, F.ceil(F.col("_rows") / share).alias("_salts"))
+    )
+    return None if hot.isEmpty() else hot

@@ -1,7 +1,9 @@
 import pytest
 
 from tablog.functions.text import pad_fields
+from tablog.operators import columns as columns_module
 from tablog.operators.columns import (
+    ConfigConflictError,
     clear_config,
     config_from_json,
     config_to_json,
@@ -11,6 +13,7 @@ from tablog.operators.columns import (
     load_config,
     read_config_json,
     save_config,
+    update_config,
     upsert_hidden,
     with_hidden,
     write_config_json,
@@ -70,11 +73,56 @@ def test_saved_versions(spark, config, tmp_path):
 def test_half_written_version_is_not_read(spark, config, tmp_path):
     path = str(tmp_path / "config")
     save_config(config(a=[0]), path)
-    part = config(b=[1]).withColumn("version", F.lit(2))
-    part.write.mode("append").partitionBy("version").parquet(path)
+    config(b=[1]).write.parquet(f"{path}/.saving-x")
     assert as_dict(load_config(spark, path)) == {"a": [0]}
 
 
+def test_two_savers_from_one_version(spark, config, tmp_path):
+    path = str(tmp_path / "config")
+    assert save_config(config(a=[0]), path) == 1
+    # Both start from version 1; the first to publish wins and the other is told.
+    mine = upsert_hidden(load_config(spark, path, 1), config(b=[1]))
+    theirs = upsert_hidden(load_config(spark, path, 1), config(c=[2]))
+    assert save_config(theirs, path, base=1) == 2
+    with pytest.raises(ConfigConflictError):
+        save_config(mine, path, base=1)
+    assert as_dict(load_config(spark, path)) == {"a": [0], "c": [2]}
+    assert not [p for p in (tmp_path / "config").iterdir() if p.name.startswith(".saving")]
+
+    # An update goes on from what somebody else published meanwhile.
+    turns = []
+
+    def change(newest):
+        turns.append(as_dict(newest))
+        if len(turns) == 1:
+            update_config(spark, path, lambda c: upsert_hidden(c, config(d=[3])))
+        return upsert_hidden(newest, config(b=[1]))
+
+    assert update_config(spark, path, change) == 4
+    assert turns == [{"a": [0], "c": [2]}, {"a": [0], "c": [2], "d": [3]}]
+    assert as_dict(load_config(spark, path)) == {"a": [0], "b": [1], "c": [2], "d": [3]}
+
+
+def test_a_taken_number_is_never_shared(spark, config, tmp_path, monkeypatch):
+    path = str(tmp_path / "config")
+    save_config(config(a=[0]), path)
+    save_config(config(a=[1]), path)
+    # A saver that has not seen version 2 takes the next number after it.
+    numbers = iter([1, 2])
+    monkeypatch.setattr(columns_module, "newest_version", lambda *_: next(numbers))
+    assert save_config(config(a=[2]), path) == 3
+    monkeypatch.undo()
+    assert [as_dict(load_config(spark, path, v)) for v in (1, 2, 3)] == [{"a": [0]}, {"a": [1]}, {"a": [2]}]
+
+
+def test_old_versions_go(spark, config, tmp_path):
+    path = str(tmp_path / "config")
+    for i in range(5):
+        save_config(config(a=[i]), path, keep=2)
+    assert sorted(p.name for p in (tmp_path / "config").iterdir()) == ["version=4", "version=5"]
+    assert as_dict(load_config(spark, path)) == {"a": [4]}
+
+
 def test_json(spark, config, write, tmp_path):
     path = write("config.json", '{\n  "sample.tsv": [0, 2, 5],\n  "ü": []\n}'.encode())
     entries = {"sample.tsv": [0, 2, 5], "ü": []}
@@ -102,6 +150,13 @@ def test_hot_file_beyond_the_broadcast_size(spark, make_log, config, monkeypatch
     rows = with_hidden(log, config(f=[1]))
     assert "SortMergeJoin" in rows._jdf.queryExecution().executedPlan().toString()
     assert rows.count() == 200
+    # All rows have one key: as many copies of its entry as the shuffle has tasks.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert durable.hot_keys(log.frame, ["file_name"]).first()["_salts"] == tasks
+    two = log.frame.select(F.when(F.col("line_number") <= 20, F.col("line_number")).otherwise(0).alias("k"))
+    hot = durable.hot_keys(two, ["k"]).collect()
+    assert [(r["k"], r["_salts"]) for r in hot] == [(0, -(-180 * tasks // 200))]
+    assert durable.hot_keys(two.where("k > 0"), ["k"]) is None
     assert {tuple(r["hidden"]) for r in rows.collect()} == {(1,)}
 
 

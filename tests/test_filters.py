@@ -1,7 +1,11 @@
+import random
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tablog import Condition, View, ViewSpec, apply_filter, build_predicate, combine
+from tablog.functions.regex import full_match_pattern, required_texts
 from tablog.functions.text import is_blank, trim_query
 
 
@@ -161,3 +165,64 @@ def test_a_cluster_needs_a_shared_folder(spark):
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             shared_folder(session(master))
     assert shared_folder(session("local[4]"))
+
+
+@pytest.mark.parametrize(
+    "body,texts",
+    [
+        ("ERROR|FATAL", ["ERROR", "FATAL"]),
+        ("user-.*timeout", ["timeout"]),
+        ("abc?de", ["ab"]),
+        ("ab+cd", ["ab"]),
+        ("a{0}bcd", ["bcd"]),
+        ("xy{2,3}z(hidden|group)w.end", ["end"]),
+        (r"\d+\.\d+ ms", [" ms"]),
+        (r"\[warn\] x", ["[warn] x"]),
+        ("[a-z]lit[^]]", None),
+        ("lit[a-c]+", ["lit"]),
+        ("(only|groups)", None),
+        ("abc|d", None),
+        ("abc|", None),
+        ("(?i)error", None),
+        (r"\Qa|b\E", None),
+        (r"\x41bc", None),
+        (r"\p{L}abc", None),
+        ("[a&&b]cde", None),
+        ("a*", None),
+        ("", None),
+        ("ü日本+x", ["ü日本"]),
+    ],
+)
+def test_texts_that_a_match_must_hold(body, texts):
+    assert required_texts(body) == texts
+
+
+def test_required_texts_lose_no_match(spark, make_log):
+    draw = random.Random(17)
+    atoms = ["a", "b", "ab", "bab", "c?", "(a|b)", "(ab)*", "[ab]", "[^c]", "a{2}", "b{0,1}", ".", r"\w", "c+", "a*?", r"\-", "|"]
+    fields = [["".join(draw.choice("abc-") for _ in range(draw.randrange(8))) for _ in range(3)] for _ in range(300)]
+    log = make_log(fields)
+    lined = replace(
+        log, frame=log.frame.withColumn("value", F.array_join("fields", "\t")), lines=True, raw=True
+    )
+    checked = 0
+    for _ in range(60):
+        body = "".join(draw.choice(atoms) for _ in range(draw.randrange(1, 6)))
+        wrapped = full_match_pattern(body)
+        if required_texts(body) is None or wrapped is None:
+            continue
+        plain = log.frame.where(F.exists("fields", lambda f: f.rlike(wrapped)))
+        want = sorted(r[0] for r in plain.select("line_number").collect())
+        for each in (log, lined):
+            found = apply_filter(each, build_predicate(Condition(f"/{body}/"), each))
+            assert sorted(r[0] for r in found.select("line_number").collect()) == want, body
+        checked += 1
+    assert checked > 8
+
+
+def test_a_required_text_is_searched_before_the_pattern(make_log):
+    log = make_log([["ERROR"], ["x"]])
+    lined = replace(log, frame=log.frame.withColumn("value", F.array_join("fields", "\t")), lines=True)
+    plan = View(lined, ViewSpec(conditions=(Condition("/ERROR|FATAL/"),))).rows()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(" in text and text.index("Contains(") < text.index("exists(")
