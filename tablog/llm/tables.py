@@ -19,11 +19,11 @@ class Written:
     def __enter__(self) -> Written:
         return self
 
-    def keep(self, rows: DataFrame, label: str) -> DataFrame:
+    def keep(self, rows: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
         """The rows, written as Parquet and read again."""
         path = scratch_path(self.spark, label)
         self.paths.append(path)
-        rows.write.parquet(path)
+        rows.write.parquet(path, compression=compression)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def __exit__(
