@@ -225,6 +225,7 @@ def find_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight fields of every line; documents have lines of thousands."""
     return tl.wide_table(document_log(spark, sf_dir), columns=8)
 
 
@@ -246,6 +247,15 @@ def wide_table_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.wide_table(event_files(spark, sf_dir))
 
 
+def wide_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as files of words: some dozens of columns, short lines padded to the widest one."""
+    log = log_from_texts(table(spark, sf_dir, "benchmark"), "text", "item_id", separator=" ")
+    wide = tl.wide_table(log)
+    cells = [c for c in wide.columns if c.startswith("col_")]
+    joined = F.array_join(F.array(*cells), "|").alias("cells")
+    return wide.select("file_name", "line_number", F.lit(len(cells)).cast("bigint").alias("width"), joined)
+
+
 def visible_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.wide_table(event_log(spark, sf_dir), hidden=(1, 3, 99, -1))
 
@@ -566,6 +576,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "find_many": find_many,
         "wide_table": wide_table,
         "wide_table_found": wide_table_found,
+        "wide_ragged": wide_ragged,
         "visible_columns": visible_columns,
         "hidden_by_file": hidden_by_file,
         "hidden_by_file_found": hidden_by_file_found,
@@ -747,6 +758,15 @@ def oracle_sql() -> dict[str, str]:
         "wide_table": f"""WITH {DOC} SELECT file_name, line_number, """
         + ", ".join(f"coalesce(fields[{i + 1}], '') AS col_{i}" for i in range(8))
         + " FROM doc",
+        "wide_ragged": """WITH item AS (
+              SELECT CAST(item_id AS VARCHAR) AS file_name, i AS line_number, string_split(lines[i], ' ') AS fields
+              FROM (SELECT item_id, lines, unnest(range(1, len(lines) + 1)) AS i
+                FROM (SELECT item_id, string_split_regex(
+                    regexp_replace(text, '(\\r\\n|\\r|\\n)\\z', ''), '\\r\\n|\\r|\\n') AS lines
+                  FROM benchmark WHERE text <> ''))),
+            sized AS (SELECT *, max(len(fields)) OVER () AS width FROM item)
+            SELECT file_name, line_number, width,
+              array_to_string(list_resize(fields, width, ''), '|') AS cells FROM sized""",
         "wide_table_found": """SELECT event_type AS file_name, event_id + 1 AS line_number,
             CAST(event_id AS VARCHAR) AS col_0, CAST(user_id AS VARCHAR) AS col_1,
             event_type AS col_2,

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablog.plans.durable import attach
+from tablog.plans.durable import attach, remove_path
 from tablog.plans.log import Log
 
 SCHEMA = "file_name string, hidden array<int>"
@@ -156,11 +156,11 @@ def save_config(
             if _renamed(spark, aside, _version_path(path, newest + 1)):
                 break
     except BaseException:
-        _remove(spark, aside)
+        remove_path(spark, aside)
         raise
     for version in _versions(spark, path):
         if version <= newest + 1 - keep:
-            _remove(spark, _version_path(path, version))
+            remove_path(spark, _version_path(path, version))
     return newest + 1
 
 
@@ -215,11 +215,6 @@ def _renamed(spark: SparkSession, source: str, target: str) -> bool:
     return True
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the versions published, from the names of their folders."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

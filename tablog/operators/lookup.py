@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablog.functions.text import parse_line_number
 from tablog.operators.filters import spec_predicate
+from tablog.operators.numbering import SortedTable
 from tablog.operators.positions import line_positions
 from tablog.plans.durable import attach
 from tablog.plans.view import View
@@ -26,6 +27,8 @@ def find_position(view: View, line_number: int) -> int:
 def find_positions(view: View, line_numbers: list[int]) -> dict[int, int]:
     """Positions of some lines (-1: not in the view)."""
     wanted = sorted(set(line_numbers))
+    if _countable(view, wanted) and view.known_order is not None:
+        return _indexed(view, view.known_order, wanted)
     if _countable(view, wanted):
         return _counted(view, wanted)[0]
     spark = view.log.frame.sparkSession
@@ -45,23 +48,11 @@ def _counted(view: View, wanted: list[int]) -> tuple[dict[int, int], set[int], i
     One pass over the log, after another that fetches the lines' sort keys
     unless they are the line numbers.
     """
-    log = view.log
-    shown = F.lit(True)
-    if not view.unfiltered:
-        shown = F.coalesce(spec_predicate(view.spec, log), F.lit(False))
-    parts = view.key_parts() + [(F.col(n), view.ties_ascend) for n in log.order]
-    names = [f"_key{i}" for i in range(len(parts))]
-    ups = [up for _, up in parts]
-    keyed = log.frame.select(
-        "line_number",
-        shown.alias("_shown"),
-        *[part.alias(name) for name, (part, _) in zip(names, parts)],
-    )
-    if view.by_line and log.order == ("line_number",):
+    keyed, names, ups = _keyed(view)
+    if view.by_line and view.log.order == ("line_number",):
         targets = [{"line_number": n, names[0]: n} for n in wanted]
     else:
-        here = keyed.where(F.col("line_number").isin(wanted) & F.col("_shown"))
-        targets = [r.asDict() for r in _firsts(here, names, ups).collect()] if wanted else []
+        targets = _targets(keyed, names, ups, wanted)
     counts = [F.count_if("_shown"), F.coalesce(F.max("line_number"), F.lit(0))]
     counts += [F.count_if(F.col("line_number") == n) for n in wanted]
     for target in targets:
@@ -76,6 +67,62 @@ def _counted(view: View, wanted: list[int]) -> tuple[dict[int, int], set[int], i
     return found, {n for n, count in zip(wanted, there) if count}, rows, most
 
 
+def _keyed(view: View) -> tuple[DataFrame, list[str], list[bool]]:
+    """The log's lines with whether they are ``_shown`` and their sort keys; the keys' names and directions."""
+    log = view.log
+    shown = F.lit(True)
+    if not view.unfiltered:
+        shown = F.coalesce(spec_predicate(view.spec, log), F.lit(False))
+    parts = view.key_parts() + [(F.col(n), view.ties_ascend) for n in log.order]
+    names = [f"_key{i}" for i in range(len(parts))]
+    keyed = log.frame.select(
+        "line_number",
+        shown.alias("_shown"),
+        *[part.alias(name) for name, (part, _) in zip(names, parts)],
+    )
+    return keyed, names, [up for _, up in parts]
+
+
+def _targets(keyed: DataFrame, names: list[str], ups: list[bool], wanted: list[int]) -> list[dict]:
+    """Line number and sort keys of the first row of each wanted line that is shown."""
+    here = keyed.where(F.col("line_number").isin(wanted) & F.col("_shown"))
+    return [r.asDict() for r in _firsts(here, names, ups).collect()] if wanted else []
+
+
+def _indexed(view: View, table: SortedTable, wanted: list[int]) -> dict[int, int]:
+    """Positions of some lines in a view that is sorted already.
+
+    The first keys of the parts tell which one holds a line's keys, and only
+    that one is read.
+    """
+    keyed, names, ups = _keyed(view)
+    targets = _targets(keyed, names, ups, wanted)
+    found = dict.fromkeys(wanted, -1)
+    if not targets:
+        return found
+    rows = held_rows(table, ups, targets)
+    first = rows.groupBy("line_number").agg(F.min("position").alias("position"))
+    return found | {r["line_number"]: r["position"] for r in first.collect()}
+
+
+def held_rows(table: SortedTable, ups: list[bool], targets: list[dict]) -> DataFrame:
+    """``line_number, position`` of the targets' lines in the parts that hold their keys."""
+    lows = [f"_low{i}" for i in range(len(ups))]
+    holders = []
+    for i, target in enumerate(targets):
+        keys = {low: target[f"_key{k}"] for k, low in enumerate(lows)}
+        same = reduce(Column.__and__, [F.col(low) == F.lit(key) for low, key in keys.items()])
+        before = _ahead(lows, ups, keys) | same
+        holders.append(F.max(F.when(before, F.struct("first", "part"))).alias(f"_holder{i}"))
+    held = table.bounds.agg(*holders).first()
+    conditions, places = F.lit(False), F.lit(None).cast("bigint")
+    for target, holder in zip(targets, held):
+        here = table.within(holder["part"]) & (F.col("line_number") == target["line_number"])
+        conditions = conditions | here
+        places = F.when(here, F.col("mid") - (holder["part"] << 33) + holder["first"]).otherwise(places)
+    return table.frame.where(conditions).select("line_number", places.alias("position"))
+
+
 def _firsts(keyed: DataFrame, names: list[str], ups: list[bool]) -> DataFrame:
     """Sort keys of the first row of each line number; several files may have it."""
 

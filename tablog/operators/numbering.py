@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablog.plans.durable import attach, broadcast_limit, durable, scratch_path
+from tablog.plans.durable import attach, broadcast_limit, durable, remove_path, scratch_path
 
 # Tables up to this size (one row per split, partition, …) are ranked by a
 # single window task; larger ones by a distributed sort.
@@ -26,13 +26,16 @@ class SortedTable:
     """Rows written in a total order, with the first position of each part.
 
     ``frame`` has the rows and ``mid``; parts are numbered in sort order and
-    ``starts`` has ``part, first`` for each.
+    ``starts`` has ``part, first`` for each.  ``bounds`` has that and the sort
+    keys of the part's first row, as ``_low0``, ….
     """
 
     frame: DataFrame
     starts: DataFrame
     total: int
     small: bool
+    bounds: DataFrame
+    path: str
 
     def positions(self, name: str = "position") -> DataFrame:
         index = F.col("mid").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
@@ -43,6 +46,14 @@ class SortedTable:
             .drop("part", "first", "mid")
         )
 
+    def within(self, part: int) -> Column:
+        """Rows of one part; the others' row groups are not read."""
+        return F.col("mid").between(part << _INDEX_BITS, (part + 1 << _INDEX_BITS) - 1)
+
+    def remove(self) -> None:
+        """Delete the written rows; what was made of them can no longer be read."""
+        remove_path(self.frame.sparkSession, self.path)
+
     def mid_of(self, position: int) -> int:
         """The stored row id at a position (0 <= position < total)."""
         row = (
@@ -53,26 +64,33 @@ class SortedTable:
         return (row["part"] << _INDEX_BITS) + position - row["first"]
 
 
-def sorted_table(df: DataFrame, keys: list[Column], kept: list) -> SortedTable:
+def sorted_table(df: DataFrame, keys: list[Column], kept: list, low: list[str] | None = None) -> SortedTable:
     """Sort once and write the ``kept`` columns to the shared folder.
 
     The written copy is what makes positions exact: a range sort samples its
     boundaries anew each time it is evaluated.  It is columnar, so counting
-    its parts reads one small column.
+    its parts reads one small column.  The columns ``low`` are written for the
+    first row of each part only: an index to the parts.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "sorted")
-    rows = df.orderBy(*keys).select(*kept, F.monotonically_increasing_id().alias("mid"))
+    lows = [F.col(name).alias(f"_low{i}") for i, name in enumerate(low or [])]
+    rows = df.orderBy(*keys).select(*kept, *lows, F.monotonically_increasing_id().alias("mid"))
+    index = F.col("mid").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
+    names = [f"_low{i}" for i in range(len(lows))]
+    rows = rows.withColumns({name: F.when(index == 0, F.col(name)) for name in names})
     rows.write.parquet(path, compression="zstd")
     stored = spark.read.parquet(path)
     parts = durable(
         stored.groupBy(F.shiftright("mid", _INDEX_BITS).alias("part")).agg(
-            F.count(F.lit(1)).alias("rows")
+            F.count(F.lit(1)).alias("rows"),
+            *[F.any_value(name, ignoreNulls=True).alias(name) for name in names],
         )
     )
     count, total = _size(parts)
-    starts = running(parts, "part", count).select("part", "first")
-    return SortedTable(stored, starts, total, count * _ENTRY_BYTES <= broadcast_limit(spark))
+    bounds = running(parts, "part", count).select("part", "first", *names)
+    small = count * _ENTRY_BYTES <= broadcast_limit(spark)
+    return SortedTable(stored.drop(*names), bounds.select("part", "first"), total, small, bounds, path)
 
 
 def _size(counts: DataFrame) -> tuple[int, int]:

@@ -64,6 +64,11 @@ class View:
         names = ["file_name", *self.log.order, "line_number", *self.log.body]
         return list(dict.fromkeys(names))
 
+    @property
+    def key_names(self) -> list[str]:
+        """The columns that :meth:`sortable` sorts by."""
+        return [f"_key{i}" for i in range(len(self.key_parts()))] + list(self.log.order)
+
     def sortable(self, *columns: Column) -> tuple[DataFrame, list[Column]]:
         """The rows (``columns``, or :attr:`kept`) with the keys to sort them by.
 
@@ -74,7 +79,7 @@ class View:
         chosen = [*chosen, *self.log.order] if columns else self.kept
         parts = self.key_parts()
         keys = [key.alias(f"_key{i}") for i, (key, _) in enumerate(parts)]
-        names = [f"_key{i}" for i in range(len(parts))] + list(self.log.order)
+        names = self.key_names
         ups = [up for _, up in parts] + [self.ties_ascend] * len(self.log.order)
         order = [F.col(n).asc() if up else F.col(n).desc() for n, up in zip(names, ups)]
         return self.filtered.select(*chosen, *keys), order
@@ -136,7 +141,7 @@ class View:
     def sorted(self) -> SortedTable:
         """The view sorted and written once, shared by all lookups by position."""
         df, order = self.sortable()
-        return sorted_table(df, order, self.kept)
+        return sorted_table(df, order, self.kept, self.key_names)
 
     @cached_property
     def sorted_lines(self) -> SortedTable:
@@ -144,7 +149,28 @@ class View:
         if "sorted" in vars(self):
             return self.sorted
         df, order = self.sortable(F.col("line_number"))
-        return sorted_table(df, order, [F.col("_out0").alias("line_number")])
+        return sorted_table(df, order, [F.col("_out0").alias("line_number")], self.key_names)
+
+    @property
+    def known_order(self) -> SortedTable | None:
+        """The view sorted, if that was done before."""
+        return vars(self).get("sorted") or vars(self).get("sorted_lines")
+
+    def close(self) -> None:
+        """Delete what was written for the view; it is written anew if asked for again.
+
+        Pages and positions that were not collected yet read it, so they go, too.
+        """
+        for name in ("sorted", "sorted_lines"):
+            table = vars(self).pop(name, None)
+            if table is not None:
+                table.remove()
+
+    def __enter__(self) -> View:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
 
     def visible_columns(self) -> list[int]:
         return self.spec.visible(self.log.known_columns())

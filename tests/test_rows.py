@@ -1,4 +1,5 @@
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,3 +215,38 @@ def test_numbers_between_lines_are_missing(spark, make_log, many):
         got = {r["request"]: r["status"] for r in goto_lines(view, asked).collect()}
         five = "shown" if view.unfiltered else "filtered_out"
         assert got == {"2": "missing", "3": "missing", "1": "shown", "5": five, "9": "shown", "10": "missing"}
+
+
+@pytest.fixture
+def parts_stay(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_lookup_in_a_sorted_view_reads_one_part(spark, make_log, parts_stay, ascending):
+    import random
+
+    from tablog.operators.lookup import _keyed, _targets, held_rows
+
+    draw = random.Random(8)
+    rows = [[draw.choice("abcdefgh"), str(draw.random())] for _ in range(400)]
+    log = make_log(rows)
+    with View(log, ViewSpec(conditions=(Condition("5"),), sort=Sort(0, ascending))) as view:
+        before = find_positions(view, list(range(1, 61)))
+        table = view.sorted_lines  # as any lookup of many lines leaves it
+        assert table.bounds.count() > 1
+        assert find_positions(view, list(range(1, 61))) == before
+        assert find_positions(view, [10**6]) == {10**6: -1}
+        line = next(n for n, p in before.items() if p >= 0)
+        keyed, names, ups = _keyed(view)
+        held = held_rows(table, ups, _targets(keyed, names, ups, [line]))
+        plan = held._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters" in plan and "GreaterThanOrEqual(mid" in plan
+        part = table.frame.where(table.within(table.mid_of(before[line]) >> 33))
+        assert part.select(F.input_file_name()).distinct().count() == 1
+        assert [tuple(r) for r in held.collect()] == [(line, before[line])]
+        path = Path(table.path.removeprefix("file:"))
+        assert path.exists()
+    assert not path.exists()
