@@ -2,7 +2,13 @@
 
 Each stage takes what the one before kept and is written and read again, so a
 lost executor costs at most a stage.  All stages but the last return the
-columns of ``documents``.
+columns of ``documents``; further columns stay as they are, whatever their names.
+
+In every stage a null text counts as empty, a row without an id is a document
+of its own that comes after all others, and no rows give no rows.  Rows
+repeated in id and text are scored, cleaned and mixed alike; of near
+duplicates the row with the smallest id stays, with its repeats.  Texts of any
+length are taken whole.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from tablog.llm.mixing import mixed_rows
 from tablog.llm.near_lines import drop_near_lines
 from tablog.llm.quality import fit_rules, score_quality
 from tablog.llm.queries import token_digests
-from tablog.plans.durable import scratch_path
+from tablog.plans.durable import remove_path, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +33,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one has; those left without any line go."""
+    """Documents without the lines that an earlier one has; those left without any text go.
+
+    A document that loses no line keeps its text as it was, null included.
+    """
     rows = drop_near_lines(docs).where("n_removed = 0 or trim(kept_text) <> ''")
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
@@ -37,7 +46,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: five-word shingles, 75 in a hundred shared."""
     return drop_near(docs)
 
 
@@ -65,9 +74,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:  # nothing reads it any more
+            remove_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
