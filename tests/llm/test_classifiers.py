@@ -1,12 +1,16 @@
+import math
 import random
+import re
+import string
 import zlib
 
 import pytest
 from helpers import AWKWARD, documents, prose
 from pyspark.sql import functions as F
+from tablog.llm import words as words_module
 from tablog.llm.columns import held_out
 from tablog.llm.quality import RuleModel, fit_rules, measured, score_quality
-from tablog.llm.toxicity import fit_sentences, score_toxicity
+from tablog.llm.toxicity import STEMS, fit_sentences, score_toxicity
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -96,3 +100,77 @@ def test_toxicity_of_awkward_rows(spark, labelled):
     nulls = table.select("doc_id", "quality", F.lit(None).cast("int").alias("toxic"))
     assert len(fit_sentences(docs, nulls).features) == 0
     assert score_toxicity(documents(spark, []), model).count() == 0
+
+
+def plain_statistics(text):
+    """The statistics of a text, letter by letter."""
+    words = re.split(r"[\x20\x09-\x0D]+", text)
+
+    def share(letters):
+        return sum(c in letters for c in text) / len(text) if text else 0.0
+
+    return {
+        "n_words": float(len(words)),
+        "word_length": len(text) / len(words),
+        "distinct_share": len(set(words)) / len(words),
+        "upper_share": share(string.ascii_uppercase),
+        "digit_share": share(string.digits),
+        "stop_share": share(".,;:?"),
+        "shout_share": share("!"),
+        "symbol_share": share("#$%&*|~^<>{}[]\\_=+@/"),
+        "line_share": share("\n"),
+    }
+
+
+def mixed_texts():
+    rng = random.Random(21)
+    texts = [t for t in AWKWARD if t is not None]
+    for _ in range(60):
+        letters = rng.choice(["abcXYZ 12.,!", "aA \n\t#[]{}\\_/", "üñ日🎉 a"])
+        texts.append("".join(rng.choice(letters) for _ in range(rng.randrange(200))))
+    return texts
+
+
+def test_scores_are_the_sum_of_the_rules_that_hold(spark, labelled):
+    docs, table, _ = labelled
+    model = fit_rules(docs, table)
+    texts = mixed_texts() + [r.text for r in docs.limit(80).collect()]
+    rows = documents(spark, texts).withColumn("s", measured("text"))
+    scored = {r.doc_id: r.score for r in score_quality(documents(spark, texts), model).collect()}
+    for r in rows.collect():
+        stats = plain_statistics(texts[r.doc_id])
+        assert r.s.asDict() == pytest.approx(stats, abs=1e-12)
+        total = model.intercept
+        for rule, weight in zip(model.rules, model.weights):
+            if all(stats[n] <= t if relation == "<=" else stats[n] > t for n, relation, t in rule):
+                total += weight
+        assert scored[r.doc_id] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
+def plain_hash(word):
+    """The hash of a word's bytes: a polynomial, then mixed."""
+    h = sum((b + 1) * pow(words_module._BASE, i, 1 << 64) for i, b in enumerate(word)) % (1 << 64)
+    for odd in (words_module._ODD, words_module._ODD2):
+        h = (h ^ h >> 33) * int(odd) % (1 << 64)
+    return h ^ h >> 33
+
+
+def test_scores_are_the_noisy_or_of_sentences(spark, labelled):
+    docs, table, _ = labelled
+    model = fit_sentences(docs, table)
+    weight = {int(f): w for f, w in zip(model.features, model.weights)}
+    texts = mixed_texts() + [r.text for r in docs.limit(80).collect()] + ["Vile! vile thing? Vileness.\nfine"]
+    scored = {r.doc_id: r for r in score_toxicity(documents(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        clean, offending = 1.0, 0
+        for sentence in re.split(rb"[.!?\n]", text.encode()):
+            found = re.findall(rb"[A-Za-z\x80-\xff]+", sentence)
+            if not found:
+                continue
+            # bytes.lower changes A to Z only
+            features = {plain_hash(w.lower()[:k]) for w in found for k in (*STEMS, None)}
+            p = 1 / (1 + math.exp(-model.bias - sum(weight.get(f, 0.0) for f in features)))
+            clean *= 1 - p
+            offending += p >= 0.5
+        assert scored[i].score == pytest.approx(1 - clean, abs=1e-9)
+        assert len(scored[i].sentences) == offending

@@ -76,8 +76,20 @@ def test_run_is_the_stages_in_a_row(spark, folder, stages):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, stages["tokens"]))
 
 
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_of_no_rows_and_odd_rows(spark, folder, name, stage):
+    path, _ = folder
+    assert stage(spark, documents(spark, []), path).count() == 0
+    extra = ["score", "item", "_id", "n_words"]
+    docs = documents(spark, [None, "", "one", None], ids=[None, 3, 3, 4], sources=[None, "a", "a", "b"], extra=extra)
+    rows = stage(spark, docs, path)
+    if name != "tokens":
+        assert rows.columns == docs.columns
+    assert rows.count() <= 8
+
+
 def test_every_operator_has_a_query():
     names = queries.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert set(queries.oracle_sql()) <= set(names)
