@@ -395,6 +395,13 @@ def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(tl.with_positions(tl.View(log, spec)), "position")
 
 
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored log with filters of its files, searched for a text and a pattern that requires one."""
+    log = tl.store_log(document_log(spark, sf_dir), scratch_path(spark, "stored"), searchable=True)
+    spec = tl.ViewSpec(conditions=(tl.Condition("The"), tl.Condition("/.*er.*/", 0)))
+    return lines_of(tl.View(log, spec).rows())
+
+
 def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as text files per language: rows and widest row."""
     path = scratch_path(spark, "documents")
@@ -594,6 +601,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "text_roundtrip": text_roundtrip,
         "read_back_search": read_back_search,
         "stored_log": stored_log,
+        "stored_search": stored_search,
         "file_summary": file_summary,
         "export_lines": export_lines,
         "export_selected": export_selected,
@@ -808,6 +816,8 @@ def oracle_sql() -> dict[str, str]:
         "stored_log": f"""WITH {DOC} SELECT {LINES},
             {positions("lower(fields[2]), file_key, line_number")} FROM doc
             WHERE coalesce(regexp_full_match(fields[2], '[a-z]+'), false)""",
+        "stored_search": f"""WITH {DOC} SELECT {LINES} FROM doc
+            WHERE contains(lower(value), 'the') AND contains(fields[1], 'er')""",
         "file_summary": r"""SELECT lang, CAST(sum(len(lines)) AS BIGINT) AS rows,
               CAST(max(list_max([len(string_split(l, ' ')) FOR l IN lines])) AS BIGINT) AS columns,
               false AS truncated

@@ -84,6 +84,23 @@ def spec_predicate(spec: ViewSpec, log: Log) -> Column:
     return combine(build_predicate(c, log) for c in conditions)
 
 
+def needed_texts(spec: ViewSpec) -> list[str]:
+    """Texts that every row of the view holds, whatever their case, as far as its conditions tell."""
+    texts = []
+    for condition in spec.active_conditions():
+        if isinstance(condition, Column) or is_blank(condition.text):
+            continue
+        query = trim_query(condition.text)
+        body = regex_body(query)
+        if body is None:
+            texts.append(query)
+        elif full_match_pattern(body) is not None:
+            required = required_texts(body) or []
+            # Beyond ASCII, a text may be lower-cased otherwise alone than in its line.
+            texts += required if len(required) == 1 and required[0].isascii() else []
+    return texts
+
+
 def _cost(condition: Condition | Column, log: Log) -> int:
     if isinstance(condition, Column):
         return 3

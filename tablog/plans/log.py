@@ -35,6 +35,8 @@ class Log:
     * ``blocks``: ``block_no, file_path`` of each block, and how many ``rows``
       it and the blocks before it (``first``) have.
     * ``part``: reads some of the files, by their paths, as ``frame`` does.
+    * ``holding``: the rows of the files that may hold all of some texts, if a
+      search can be narrowed to these (else None).
     * ``tasks``: how many splits the scan has, if known.
     * ``summarize``: makes the load summary, one row per file.
     """
@@ -54,6 +56,7 @@ class Log:
     placed: int | None = None
     blocks: DataFrame | None = None
     part: Callable[[list[str]], DataFrame] | None = None
+    holding: Callable[[list[str]], DataFrame | None] | None = None
     tasks: int | None = None
     summarize: Callable[[], DataFrame] | None = None
 
@@ -134,5 +137,6 @@ class Log:
             dense=False,
             placed=None,
             part=None,
+            holding=None,
             summarize=None if whole is None else lambda: whole().where(own),
         )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablog.functions.text import folded
-from tablog.operators.filters import spec_predicate
+from tablog.operators.filters import needed_texts, spec_predicate
 from tablog.operators.numbering import BlockIndex, SortedTable, block_index, sorted_table
 from tablog.plans.log import Log
 from tablog.plans.spec import ViewSpec
@@ -40,7 +40,11 @@ class View:
         """The rows of the view in no particular order."""
         if self.unfiltered:
             return self.log.frame
-        return self.log.frame.where(spec_predicate(self.spec, self.log))
+        frame = None
+        if self.log.holding is not None and needed_texts(self.spec):
+            frame = self.log.holding(needed_texts(self.spec))
+        frame = self.log.frame if frame is None else frame
+        return frame.where(spec_predicate(self.spec, self.log))
 
     def key_parts(self) -> list[tuple[Column, bool]]:
         """Sort expressions with their direction (True: ascending), ties aside."""

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablog.plans.log import Log
+from tablog.sources.search import files_that_may_hold, write_filters
 
 # Facts about a log that hold for its stored copy, too.
 FACTS = (
     "order array<string>, separator string, lines boolean, raw boolean, columns int, "
-    "cells array<string>, total bigint, max_line bigint, dense boolean, summarized boolean"
+    "cells array<string>, total bigint, max_line bigint, dense boolean, summarized boolean, "
+    "searchable boolean"
 )
 
 
-def store_log(log: Log, path: str) -> Log:
+def store_log(log: Log, path: str, searchable: bool = False) -> Log:
     """Write the log's rows with their line numbers and open the copy.
 
+    ``searchable`` writes a filter of the letters in each file beside them,
+    which takes another pass; searches for three letters or more, and patterns
+    that require them, then read only files that may match.
+
     Rows are written where they are, without a shuffle; the line stands in for
     its fields, and facts not known yet are observed meanwhile.  The load
     summary, if the log has one, is written beside them.  Opening the copy
@@ -40,7 +46,11 @@ def store_log(log: Log, path: str) -> Log:
     names = [fact.split()[0] for fact in FACTS.split(", ")]
     found = {name: getattr(log, name, None) for name in names}
     found |= {name: value for name, value in seen.get.items() if found[name] is None}
-    found["summarized"] = log.summarize is not None
+    found["summarized"], found["searchable"] = log.summarize is not None, searchable
+    if searchable:
+        stored = spark.read.parquet(f"{path}/rows")
+        text = F.col("value") if log.lines else F.array_join(log.from_body(), "\n")
+        write_filters(stored, text, f"{path}/search")
     if log.summarize is not None:
         log.summarize().write.mode("overwrite").parquet(f"{path}/summary")
     row = spark.createDataFrame([tuple(found[name] for name in names)], FACTS)
@@ -54,9 +64,19 @@ def open_log(spark: SparkSession, path: str) -> Log:
     rows = spark.read.parquet(f"{path}/rows")
     if about.pop("summarized"):
         about["summarize"] = lambda: spark.read.parquet(f"{path}/summary")
+    searchable = about.pop("searchable")
     for name in ("order", "cells"):
         about[name] = tuple(about[name])
     log = Log(frame=rows, **about)
-    if "fields" not in rows.columns:
-        log = replace(log, frame=rows.select("*", log.from_body()))
-    return log
+
+    def shown(found: DataFrame) -> DataFrame:
+        return found if "fields" in rows.columns else found.select("*", log.from_body())
+
+    def holding(texts: list[str]) -> DataFrame | None:
+        names = files_that_may_hold(spark, f"{path}/search", texts)
+        if names is None:
+            return None
+        # A condition on file names prunes the list of files before any is read.
+        return shown(rows.where(F.col("_metadata.file_name").isin(names)))
+
+    return replace(log, frame=shown(rows), holding=holding if searchable else None)

@@ -16,6 +16,7 @@ from tablog import (
     store_log,
     with_positions,
 )
+from tablog.operators.filters import needed_texts
 
 
 def test_stored_log(spark, write, tmp_path):
@@ -74,3 +75,37 @@ def test_only_the_asked_columns_are_sorted(spark):
     for path in stored:
         assert not {"k", "w"} & set(spark.read.parquet(path).columns)
     assert stored
+
+
+@pytest.mark.parametrize("lines", [True, False])
+def test_searches_read_only_files_that_may_match(spark, write, make_log, tmp_path, lines):
+    words = ["alpha", "Beta", "gamma", "deLta", "ü日本語", "a.b*c", "zz"]
+    texts = [[f"{w} {n}" for n in range(20)] for w in words]
+    if lines:
+        for i, rows in enumerate(texts):
+            write(f"in/f{i}", "".join(f"{i}\t{x}\n" for x in rows).encode())
+        spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task, and so a stored file, for each
+        log = read_log(spark, str(tmp_path / "in"))
+    else:
+        rows = [(7 * i + j, x) for i, own in enumerate(texts) for j, x in enumerate(own)]
+        table = spark.createDataFrame([(n + 1, x) for n, (_, x) in enumerate(rows)], "n int, x string").repartitionByRange(7, "n")
+        log = log_from_table(table, ["n", "x"], line_number=F.col("n"))
+    plain = store_log(log, str(tmp_path / "plain"))
+    stored = store_log(log, str(tmp_path / "stored"), searchable=True)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    everything = stored.frame.select(F.input_file_name()).distinct().count()
+    assert everything > 3
+    for text in ["beta", "GAMMA 1", "ü日本", "/a.b.*/", "/(al|be)pha 3/", "/delta.*/", "/deLta 1.*/", "a.b*", "zz", "nowhere"]:
+        for column in (None, 1):
+            spec = ViewSpec(conditions=(Condition(text, column),))
+            view = View(stored, spec)
+            want = sorted(map(tuple, View(plain, spec).rows().collect()))
+            assert sorted(map(tuple, view.rows().collect())) == want, text
+            if text in ("beta", "GAMMA 1", "ü日本", "/deLta 1.*/", "a.b*"):
+                scanned = [r for r in stored.holding(needed_texts(spec)).select(F.input_file_name()).distinct().collect()]
+                assert len(scanned) < everything, text
+    assert stored.holding(["nowhere"]).count() == 0
+    assert stored.holding(["zz"]) is None  # too short to tell
+    # Two conditions narrow the search together; one of another kind does not get in the way.
+    both = ViewSpec(conditions=(Condition("beta"), Condition("gamma")))
+    assert View(stored, both).count() == 0
