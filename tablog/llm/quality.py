@@ -105,16 +105,18 @@ def fit_rules(
 
     A random forest over the statistics proposes rules, every path of every
     tree; a logistic regression with an L1 penalty over the rules' truth
-    values keeps few of them.  Without labels of both kinds there are no rules
-    and every score is the smoothed share of label 1.
+    values keeps few of them.  Without labels of both kinds, or with too few
+    for any split, there are no rules and every score is the smoothed share of
+    label 1.
     """
     names = list(statistics(F.lit("")))
     rows = training_rows(docs.select(named(id_column), named(text_column)), labels, label, id_column, sample)
     rows = durable(rows.select("_label", measured(text_column).alias("_stats")).coalesce(4))
     ones, total = rows.agg(F.coalesce(F.sum("_label"), F.lit(0.0)), F.count(F.lit(1))).first()
+    share = (ones + 1) / (total + 2)
+    plain = RuleModel((), (), math.log(share / (1 - share)))
     if ones in (0, total):
-        share = (ones + 1) / (total + 2)
-        return RuleModel((), (), math.log(share / (1 - share)))
+        return plain
     table = VectorAssembler(inputCols=names, outputCol="_features").transform(rows.select("_label", "_stats.*"))
     forest = RandomForestClassifier(
         labelCol="_label", featuresCol="_features", numTrees=trees, maxDepth=depth, seed=SEED,
@@ -122,6 +124,8 @@ def fit_rules(
     ).fit(table)
     found = set().union(*[tree_paths(tree._call_java("rootNode"), names) for tree in forest.trees])
     rules = sorted(found)
+    if not rules:
+        return plain
     truths = rows.select("_label", F.array(*[holds(r, "_stats").cast("double") for r in rules]).alias("_truths"))
     lasso = LogisticRegression(
         labelCol="_label", featuresCol="_rules", elasticNetParam=1.0, regParam=penalty,
