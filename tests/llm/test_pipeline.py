@@ -88,6 +88,15 @@ def test_stages_of_no_rows_and_odd_rows(spark, folder, name, stage):
     assert rows.count() <= 8
 
 
+def test_lines_stage_drops_long_lines_whose_letters_moved(spark, folder):
+    path, _ = folder
+    rng = random.Random(31)
+    long = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(1200))
+    texts = [long, "one more " * 30 + long, long[: len(long) // 2], "other"]
+    rows = corpus_pipeline.lines(spark, documents(spark, texts), path).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 2, 3]
+
+
 def test_every_operator_has_a_query():
     names = queries.queries()
     for n in range(1, 14):
