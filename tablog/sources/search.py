@@ -12,22 +12,29 @@ BITMAP = 1 << 15
 MOST_FILES = 1000
 
 
-def trigram_bits(text: Column) -> Column:
-    """The bits of all three letters in a row of a lower-cased text."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(.{3}))"), F.lit(1))
-    return F.transform(F.array_distinct(found), lambda t: F.pmod(F.xxhash64(t), F.lit(BITS)))
+def trigrams(text: Column) -> Column:
+    """All three letters in a row of a lower-cased text, repeats too."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(.{3}))"), F.lit(1))
 
 
-def write_filters(rows: DataFrame, text: Column, path: str) -> None:
-    """Write the filters of the stored ``rows``: ``file, bucket, bits``.
+def trigram_bit(trigram: Column) -> Column:
+    return F.pmod(F.xxhash64(trigram), F.lit(BITS))
+
+
+def file_filters(rows: DataFrame, text: Column) -> DataFrame:
+    """The filters of the stored ``rows``: ``file, bucket, bits``.
 
-    A task adds up the bits of its own lines, so what is shuffled are a few
-    bitmaps for each of its files.
+    A task keeps each bit of a file once, in a table of no more than ``BITS``
+    entries a file, so nothing is sorted or shuffled that grows with the lines.
     """
-    bits = rows.select(F.col("_metadata.file_name").alias("file"), F.explode(trigram_bits(text)).alias("bit"))
+    each = rows.select(F.col("_metadata.file_name").alias("file"), F.explode(trigrams(text)).alias("trigram"))
+    bits = each.select("file", trigram_bit(F.col("trigram")).alias("bit")).distinct()
     placed = bits.select("file", F.floor(F.col("bit") / BITMAP).alias("bucket"), (F.col("bit") % BITMAP).alias("at"))
-    filters = placed.groupBy("file", "bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
-    filters.write.mode("overwrite").parquet(path)
+    return placed.groupBy("file", "bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def write_filters(rows: DataFrame, text: Column, path: str) -> None:
+    file_filters(rows, text).write.mode("overwrite").parquet(path)
 
 
 def files_that_may_hold(spark: SparkSession, path: str, texts: list[str]) -> list[str] | None:
@@ -37,7 +44,8 @@ def files_that_may_hold(spark: SparkSession, path: str, texts: list[str]) -> lis
     """
     wanted = spark.createDataFrame([(t,) for t in texts], "text string")
     asked: dict[int, set[int]] = {}
-    for row in wanted.select(F.explode(trigram_bits(F.col("text")))).distinct().collect():
+    each = wanted.select(F.explode(trigrams(F.col("text"))).alias("trigram"))
+    for row in each.select(trigram_bit(F.col("trigram"))).distinct().collect():
         asked.setdefault(row[0] // BITMAP, set()).add(row[0] % BITMAP)
     if not asked:
         return None

@@ -17,6 +17,7 @@ from tablog import (
     with_positions,
 )
 from tablog.operators.filters import needed_texts
+from tablog.sources import search
 
 
 def test_stored_log(spark, write, tmp_path):
@@ -109,3 +110,24 @@ def test_searches_read_only_files_that_may_match(spark, write, make_log, tmp_pat
     # Two conditions narrow the search together; one of another kind does not get in the way.
     both = ViewSpec(conditions=(Condition("beta"), Condition("gamma")))
     assert View(stored, both).count() == 0
+
+
+def test_filters_are_made_without_sorting_every_three_letters(spark, tmp_path, monkeypatch):
+    lines = [(f"{'Abcab' * 50} ü日{n % 7}",) for n in range(2000)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(lines, "value string").repartition(2).write.parquet(path)
+    wrote = []
+    monkeypatch.setattr(type(spark.range(0).write), "parquet", lambda self, path: wrote.append(self._df))
+    search.write_filters(spark.read.parquet(path), F.col("value"), "nowhere")
+    (filters,) = wrote
+    wanted = {x[i : i + 3].lower() for (x,) in lines for i in range(len(x) - 2)}
+    bits = spark.createDataFrame([(t,) for t in wanted], "t string").select(F.pmod(F.xxhash64("t"), F.lit(search.BITS)))
+    want = {r[0] for r in bits.collect()}
+    found = {}
+    for r in filters.collect():
+        places = [8 * i + j for i, byte in enumerate(bytes(r.bits)) for j in range(8) if byte >> j & 1]
+        found.setdefault(r.file, set()).update(r.bucket * search.BITMAP + at for at in places)
+    assert list(found.values()) == [want, want]
+    # What the letters pass first takes each bit once, in a hash table.
+    plan = filters._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0]
+    assert "HashAggregate" in plan.split("SortAggregate")[-1]
