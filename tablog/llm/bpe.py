@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -109,41 +110,32 @@ class Encoder(dict):
         return np.frombuffer(b"".join(blocks), np.int32)
 
 
-def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """The id column and ``ids``, the token ids of the whole text, special tokens being plain text.
+Batches = Iterator[pa.RecordBatch]
 
-    Each match of ``pattern`` is encoded separately.  The vocabulary file must
-    be readable on every executor (it is installed there with its package).
-    A null text is empty and has no ids; bytes that aren't UTF-8 become U+FFFD.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoding(ranks_path: str, pattern: str, id_column: str) -> Callable[[Batches], Batches]:
+    """Batches of ids and texts become batches of ids and token ids."""
+
+    def run(batches: Batches) -> Batches:
         encoder = Encoder(read_ranks(ranks_path), pattern)
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for a, b in chunks(list(map(len, texts))):
-                ids = [encoder.ids(text.decode("utf-8", "replace")) for text in texts[a:b]]
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for a, b in chunks(sizes):
+                texts = text_bytes(batch.column(1)[a:b])
+                ids = [encoder.ids(text.decode("utf-8", "replace")) for text in texts]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 values = np.concatenate([*ids, np.empty(0, np.int32)])
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], [id_column, "ids"])
 
-    rows = docs.select(named(id_column), whole_text(text_column).alias("_text"))
-    kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
-
+    return run
 
-def decode(encoded: DataFrame, ranks_path: str, ids_column: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``, the bytes of the tokens in a row.
 
-    A null list of ids gives no bytes; an id outside the vocabulary is an error.
-    """
-    kept = [field for field in encoded.schema if field.name != "decoded"]
-    at = [field.name for field in kept].index(ids_column)
+def _decoding(ranks_path: str, names: list[str], ids_column: str) -> Callable[[Batches], Batches]:
+    """Batches of the columns ``names`` get ``decoded`` as their last."""
+    at = names.index(ids_column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         letter_byte = {letter: b for b, letter in enumerate(byte_letters())}
         model, ranks = serialized_model(read_ranks(ranks_path))
         pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -167,7 +159,44 @@ def decode(encoded: DataFrame, ranks_path: str, ids_column: str = "ids") -> Data
                 edges = np.concatenate([[0], ends])[np.cumsum([0, *counts[a:b]])].tolist()
                 decoded = pa.array([bytes(view[x:y]) for x, y in zip(edges[:-1], edges[1:])], pa.binary())
                 columns = [column[a:b] for column in batch.columns]
-                yield pa.RecordBatch.from_arrays([*columns, decoded], [*[f.name for f in kept], "decoded"])
+                yield pa.RecordBatch.from_arrays([*columns, decoded], [*names, "decoded"])
+
+    return run
+
+
+def encode(
+    docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The id column and ``ids``, the token ids of the whole text, special tokens being plain text.
+
+    Each match of ``pattern`` is encoded separately.  The vocabulary file must
+    be readable on every executor (it is installed there with its package).
+    A null text is empty and has no ids; bytes that aren't UTF-8 become U+FFFD.
+    """
+    rows = docs.select(named(id_column), whole_text(text_column).alias("_text"))
+    kind = rows.schema[0].dataType.simpleString()
+    return rows.mapInArrow(_encoding(ranks_path, pattern, id_column), f"`{id_column}` {kind}, ids array<int>")
+
+
+def decode(encoded: DataFrame, ranks_path: str, ids_column: str = "ids") -> DataFrame:
+    """``encoded`` with ``decoded``, the bytes of the tokens in a row.
+
+    A null list of ids gives no bytes; an id outside the vocabulary is an error.
+    """
+    kept = [field for field in encoded.schema if field.name != "decoded"]
+    names = [field.name for field in kept]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    rows = encoded.select(*[named(name) for name in names])
+    return rows.mapInArrow(_decoding(ranks_path, names, ids_column), f"{schema}, decoded binary")
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return encoded.select(*[named(f.name) for f in kept]).mapInArrow(run, f"{names}, decoded binary")
+
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """What :func:`decode` makes of :func:`encode`, with one Python worker a task instead of two."""
+    encoding = _encoding(ranks_path, pattern, id_column)
+    decoding = _decoding(ranks_path, [id_column, "ids"], "ids")
+    rows = docs.select(named(id_column), whole_text(text_column).alias("_text"))
+    kind = rows.schema[0].dataType.simpleString()
+    schema = f"`{id_column}` {kind}, ids array<int>, decoded binary"
+    return rows.mapInArrow(lambda batches: decoding(encoding(batches)), schema)

@@ -2,7 +2,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 from helpers import AWKWARD, documents
-from tablog.llm.bpe import Encoder, decode, encode, read_ranks
+from tablog.llm import queries
+from tablog.llm.bpe import Encoder, decode, encode, read_ranks, round_trip
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TEXTS = [
@@ -51,3 +52,14 @@ def test_unknown_ids_are_an_error(spark):
         decode(rows, PATH).collect()
     none = spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")
     assert bytes(decode(none, PATH).first().decoded) == b""
+
+
+def test_round_trip_is_both_steps_in_one_worker(spark):
+    docs = documents(spark, [*TEXTS, "a b"], ids=[*range(len(TEXTS)), None], extra=["ids", "decoded"])
+    want = decode(encode(docs, PATH, public_tokenizers.PATTERN), PATH)
+    got = round_trip(docs, PATH, public_tokenizers.PATTERN)
+    assert got.schema == want.schema
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id)
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    plan = queries.token_digests(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
