@@ -113,3 +113,25 @@ def test_links_that_stars_alone_would_miss(spark):
     pairs = [(a, b) for x in (1, 2) for k, a in rows if k == x for l, b in rows if l == x and b - a == 10]
     want = components({n for p in pairs for n in p}, pairs)
     assert {n: c for n, c in got.items() if n in want} == want
+
+
+def test_pairs_that_share_many_buckets_are_made_once(spark):
+    rng = random.Random(5)
+    kinds = [[rng.random() < 0.7 for _ in range(6)] for _ in range(40)]
+    rows = [(k, i) for i, own in enumerate(kinds) for k, has in enumerate(own) if has]
+    members = shared_buckets(spark.createDataFrame(rows, "bucket bigint, item bigint")).cache()
+    traits = spark.range(40).withColumnRenamed("id", "item")
+    linked = {(a, a + 20) for a in range(0, 20, 3)}
+    made = []
+
+    def confirm(pairs):
+        made.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.where("b = a + 20 and a % 3 = 0")
+
+    found = link_groups(members, traits, lambda x, y: x("item") != y("item"), confirm)
+    got = {r.node: r.component for r in found.collect() if r.node != r.component}
+    meet = {(a, b) for a in range(40) for b in range(a + 1, 40) if any(x and y for x, y in zip(kinds[a], kinds[b]))}
+    assert len(made) == len(set(made))
+    assert linked & meet <= set(made) <= meet
+    assert got == {b: a for a, b in linked & meet}
+    members.unpersist()
