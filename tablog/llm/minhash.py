@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablog.llm.columns import named, whole_text
 from tablog.llm.links import Side, link_groups, shared_buckets
-from tablog.llm.words import LOWER, Words, chunks, mix64, multipliers, text_bytes
+from tablog.llm.words import LOWER, Words, mix64, multipliers, text_chunks
 from tablog.plans.durable import durable
 
 SHINGLE = 5
@@ -136,9 +136,8 @@ def near_groups(
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for a, b in chunks(list(map(len, texts))):
-                sets = shingle_sets(texts[a:b], shingle)
+            for a, b, texts in text_chunks(batch.column(1)):
+                sets = shingle_sets(texts, shingle)
                 keys, bands = set_keys(sets), band_hashes(sketches(sets, bins), band)
                 parts = odd_sketches(sets, ODD_BITS)
                 ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands.shape[1])
@@ -156,9 +155,8 @@ def near_groups(
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for a, b in chunks(list(map(len, texts))):
-                sets = shingle_sets(texts[a:b], shingle)
+            for a, b, texts in text_chunks(batch.column(1)):
+                sets = shingle_sets(texts, shingle)
                 keys = set_keys(sets)
                 ends = pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32))
                 values = pa.array(np.concatenate(sets).view(np.int64))

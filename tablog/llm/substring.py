@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablog.llm.columns import named, whole_text
-from tablog.llm.words import Words, chunks, joined, text_bytes
+from tablog.llm.words import Words, joined, text_chunks
 
 WINDOW = 13
 SEED = 11
@@ -51,9 +51,9 @@ def repeated_windows(
         names = ["block", "ids", "hashes"]
         edges = (np.arange(1, blocks, dtype=object) * (1 << 64) // blocks).astype(np.uint64)
         for batch in batches:
-            texts, ids = text_bytes(batch.column(1)), batch.column(0).to_numpy()
-            for a, b in chunks(list(map(len, texts))):
-                words = Words(texts[a:b])
+            ids = batch.column(0).to_numpy()
+            for a, b, texts in text_chunks(batch.column(1)):
+                words = Words(texts)
                 hashes, first = words.sequences(words.hashes(), window, SEED)
                 own = np.searchsorted(words.first, first, "right") - 1
                 order = np.argsort(hashes)
@@ -128,9 +128,9 @@ def drop_repeated(
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, late = text_bytes(batch.column(1)), batch.column(2)
-            for a, b in chunks(list(map(len, texts))):
-                words = Words(texts[a:b])
+            late = batch.column(2)
+            for a, b, texts in text_chunks(batch.column(1)):
+                words = Words(texts)
                 hashes, first = words.sequences(words.hashes(), window, SEED)
                 hit = np.zeros(len(words.start) + 1, np.int32)
                 edges = np.searchsorted(first, words.first)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablog.llm.columns import named, whole_text
 from tablog.llm.labels import training_rows
-from tablog.llm.words import LOWER, Words, chunks, text_bytes
+from tablog.llm.words import LOWER, Words, text_chunks
 from tablog.plans.durable import durable
 
 # Word beginnings of so many bytes are features beside whole words.
@@ -84,9 +84,8 @@ def fit_sentences(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for a, b in chunks(list(map(len, texts))):
-                words, _, hashes = _sentences(texts[a:b])
+            for a, b, texts in text_chunks(batch.column(1)):
+                words, _, hashes = _sentences(texts)
                 all_of = np.stack(hashes, 1).view(np.int64)
                 lists = [np.unique(all_of[x:y]) for x, y in zip(words.first[:-1], words.first[1:])]
                 ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
@@ -117,9 +116,8 @@ def fit_sentences(
 
     def instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for a, b in chunks(list(map(len, texts))):
-                words, sentence, hashes = _sentences(texts[a:b])
+            for a, b, texts in text_chunks(batch.column(1)):
+                words, sentence, hashes = _sentences(texts)
                 at, place = _hits(known, sentence, hashes)
                 filled = np.unique(sentence)
                 text = np.searchsorted(words.text_start, words.start[np.searchsorted(sentence, filled)], "right") - 1
@@ -181,9 +179,8 @@ def score_toxicity(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for a, b in chunks(list(map(len, texts))):
-                words, sentence, hashes = _sentences(texts[a:b])
+            for a, b, texts in text_chunks(batch.column(1)):
+                words, sentence, hashes = _sentences(texts)
                 at, place = _hits(model.features, sentence, hashes)
                 n_sentences = int(sentence[-1]) + 1 if len(sentence) else 0
                 z = model.bias + np.bincount(at, model.weights[place], n_sentences)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Texts are handled in chunks of about this many bytes; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -35,6 +36,12 @@ def chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows as ``chunks`` cuts them, with their texts; those of other ranges stay in Arrow."""
+    for a, b in chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        yield a, b, text_bytes(column[a:b])
+
+
 def mix64(values: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (in place)."""
     values ^= values >> np.uint64(33)
