@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablog.llm.columns import named, whole_text
-from tablog.llm.links import Side, link_groups, shared_buckets
+from tablog.llm.links import Side, both_sides, link_groups, settled, shared_buckets
 from tablog.llm.words import LOWER, Words, mix64, multipliers, text_chunks
 from tablog.plans.durable import durable
 
@@ -173,7 +173,7 @@ def near_groups(
     # Of an item's rows the first stands for all.
     first = usable.join(items.withColumnRenamed("item", "id"), ["key1", "key2", "id"])
     first = durable(first.drop("key1", "key2").dropDuplicates(["id"]).withColumnRenamed("id", "item"))
-    members = durable(shared_buckets(first.select(F.explode("bands").alias("bucket"), "item")))
+    members, _ = settled(shared_buckets(first.select(F.explode("bands").alias("bucket"), "item")))
     shared = members.select("item").distinct()
     traits = durable(first.select("item", "n", *parts_of).join(shared, "item"))
     wanted = traits.select(F.col("item").alias("id"))
@@ -183,11 +183,9 @@ def near_groups(
     sets = durable(sets.dropDuplicates(["item", "key1", "key2"]).join(of_item, ["key1", "key2", "item"], "left_semi"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("item").alias("a"), F.col("members").alias("of_a"))
-        right = sets.select(F.col("item").alias("b"), F.col("members").alias("of_b"))
         both = F.size(F.array_intersect("of_a", "of_b"))
         either = F.size("of_a") + F.size("of_b") - both
-        return pairs.join(left, "a").join(right, "b").where(both * 100 >= either * percent)
+        return both_sides(pairs, sets.select("item", "members")).where(both * 100 >= either * percent)
 
     def possible(x: Side, y: Side) -> Column:
         small, large = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))

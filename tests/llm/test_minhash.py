@@ -135,3 +135,35 @@ def test_pairs_that_share_many_buckets_are_made_once(spark):
     assert linked & meet <= set(made) <= meet
     assert got == {b: a for a, b in linked & meet}
     members.unpersist()
+
+
+def tasks_of(spark, group, run):
+    """The tasks of all stages of what ``run`` does."""
+    context, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    stages = {i for job in jobs for i in job.stageIds}
+    return out, sum(info.numCompletedTasks for i in stages if (info := tracker.getStageInfo(i)))
+
+
+def test_links_of_small_tables_take_fewer_tasks_than_their_shuffles_would(spark):
+    rows = [(bucket, item) for item in range(300) for bucket in {item // 3, 100 + item % 7, 200 + item // 20}]
+    members = shared_buckets(spark.createDataFrame(rows, "bucket bigint, item bigint")).coalesce(1).localCheckpoint()
+    traits = spark.range(300).withColumnRenamed("id", "item").coalesce(1).localCheckpoint()
+
+    def groups():
+        pairs = link_groups(members, traits, lambda x, y: x("item") != y("item"), lambda p: p.where("a div 3 = b div 3"))
+        return {r.node: r.component for r in pairs.collect()}
+
+    found, tasks = tasks_of(spark, "links", groups)
+    assert found == {i: i // 3 * 3 for i in range(300)}
+    assert tasks < 3000, tasks
