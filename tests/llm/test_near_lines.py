@@ -164,6 +164,22 @@ def test_a_shared_block_where_fewer_bits_differ_than_there_are_blocks(spark):
     assert table.where(F.arrays_overlap(*keys)).count() == 200
 
 
+def test_all_words_of_a_long_line_count(spark):
+    letters = [chr(97 + i) for i in range(26)]
+    words = [a + b + c + d for a in "xy" for b in letters for c in letters for d in letters][:20_000]
+    counts = [63, 64, 16_383, 16_384, 20_000]
+    keys = keys_of(spark, [" ".join(words[:n] + words[:9]) for n in counts])
+    hashes = F.array(*[F.xxhash64(F.lit(i), F.col("w")) for i in range(HASHES)])
+    hashed = spark.range(1).select(F.explode(F.split(F.lit(" ".join(words)), " ")).alias("w")).select(hashes).collect()
+    rows = []
+    for n in counts:
+        bits = [sum(1 << k for k in range(64) if sum(r[0][i] >> k & 1 for r in hashed[:n]) > n // 2) for i in range(HASHES)]
+        rows.append((n, *[x - (x >> 63 << 64) for x in bits]))
+    table = spark.createDataFrame(rows, ["n"] + [f"b{i}" for i in range(HASHES)]).coalesce(1)
+    blocks = table.select("n", block_keys([F.col(f"b{i}") for i in range(HASHES)]).alias("keys")).collect()
+    assert [n for (n, own), met in zip(sorted(blocks), keys) if not set(own) <= met] == []
+
+
 def test_very_long_lines(spark):
     rng = random.Random(47)
     long = " ".join(word(rng) + str(i) for i in range(20)) + " " + " ".join(word(rng) for _ in range(20_000))
