@@ -2,7 +2,20 @@ import random
 
 from helpers import AWKWARD, components, documents
 from pyspark.sql import functions as F
-from tablog.llm.near_lines import BLOCK_BITS, BLOCKS, HASHES, block_keys, drop_near_lines, least_edits, letter_counts, line_keys
+from tablog.llm.near_lines import (
+    BLOCK_BITS,
+    BLOCKS,
+    HASHES,
+    ITEM_BYTES,
+    block_keys,
+    drop_near_lines,
+    least_edits,
+    letter_counts,
+    line_keys,
+    wanted_texts,
+    with_slots,
+)
+from tablog.plans.durable import broadcast_limit, row_bytes
 from test_lines import distance, norm
 
 LETTERS = "etaoinshrdlu"
@@ -180,6 +193,35 @@ def test_all_words_of_a_long_line_count(spark):
     assert [n for (n, own), met in zip(sorted(blocks), keys) if not set(own) <= met] == []
 
 
+def test_no_broadcast_beyond_the_limit_and_the_same_lines_go(spark):
+    rng = random.Random(49)
+    base = [sentence(rng, 9) for _ in range(30)]
+    texts = ["\n".join(changed(rng, rng.choice(base), k % 2) for _ in range(3)) for k in range(30)]
+    docs = documents(spark, texts)
+
+    def rows():
+        return sorted((r.doc_id, r.kept_text, r.n_removed) for r in drop_near_lines(docs).collect())
+
+    all_at_once = rows()
+    spark.conf.set("spark.tablog.broadcastBytes", str(10 * ITEM_BYTES))
+    try:
+        assert rows() == all_at_once and sum(r[2] for r in all_at_once) > 30
+        items = [(i, f"t{i}") for i in range(200)]
+        lines = with_slots(spark.createDataFrame(items, "item bigint, norm string"))
+        parts = wanted_texts(lines, lines.where("item % 4 < 3").select("item"), 150)
+        assert len(parts) == 4
+        assert sorted(r.item for p in parts for r in p.collect()) == [i for i in range(200) if i % 4 < 3]
+    finally:
+        spark.conf.unset("spark.tablog.broadcastBytes")
+
+
+def test_a_broadcast_is_measured_by_the_drivers_heap(spark):
+    heap = spark._jvm.Runtime.getRuntime().maxMemory()
+    assert broadcast_limit(spark) == min(256 << 20, heap // 32)
+    lead = spark.range(1000).select("id", F.struct("id", F.lit(1).alias("a"), F.lit(2).alias("b")).alias("lead"))
+    assert lead.agg(F.sum(row_bytes(lead))).first()[0] >= 1000 * (16 + 8 + 3 * 8)
+
+
 def test_very_long_lines(spark):
     rng = random.Random(47)
     long = " ".join(word(rng) + str(i) for i in range(20)) + " " + " ".join(word(rng) for _ in range(20_000))
